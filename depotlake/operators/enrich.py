@@ -70,7 +70,7 @@ def items_of_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 def active_experiments(orders: DataFrame, experiments: DataFrame) -> DataFrame:
     """Orders with each experiment that ran on the day of the order in its assigned warehouse. The experiments are few and are broadcast."""
-    e = experiments.select("experiment_id", "start_date", "end_date", F.transform(F.split("target_warehouses", ","), F.trim).alias("targets"))
+    e = experiments.select("experiment_id", "start_date", "end_date", F.transform(F.split("target_warehouses", ","), lambda x: F.trim(x)).alias("targets"))
     on = (F.col("order_date") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("order_date") <= F.col("end_date"))) & F.array_contains("targets", F.col("assigned_warehouse_id"))
     return orders.drop("experiment_id", "experiment_group").join(F.broadcast(e), on).drop("targets", "start_date", "end_date")
 
@@ -86,7 +86,7 @@ def assign_experiments(orders: DataFrame, experiments: DataFrame, share: float =
 
 def supplier_categories(products: DataFrame, suppliers: DataFrame, category: Column) -> DataFrame:
     """Products with the suppliers whose list of categories has theirs."""
-    s = suppliers.select("supplier_id", F.explode(F.transform(F.split("product_categories", ","), F.trim)).alias("supplied"))
+    s = suppliers.select("supplier_id", F.explode(F.transform(F.split("product_categories", ","), lambda x: F.trim(x))).alias("supplied"))
     return products.withColumn("supplied", category).join(s, "supplied")
 
 
