@@ -29,7 +29,7 @@ from depotlake.llm.common import per_batch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker keeps, and bytes of a piece from which merging uses a heap.
-CACHE_PIECES, LONG_PIECE = 600_000, 96
+CACHE_PIECES, LONG_PIECE = 250_000, 96
 
 # The pattern's white space (Unicode White_Space) and what its contractions have after the apostrophe.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -45,7 +45,7 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 128) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: step on slices of at most so many rows, so that memory follows the slice and not the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

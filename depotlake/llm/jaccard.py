@@ -70,7 +70,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     first[text_at] = True
     begins = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | first[:-1]))
     ends = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | first[1:])) + 1
-    up, down = powers(max(1 << 21, 1 << n.bit_length()))
+    up, down = powers(max(1 << 19, 1 << n.bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])])
     word = mix((sums[ends] - sums[begins]) * down[begins])
     word_at = np.searchsorted(begins, text_at)

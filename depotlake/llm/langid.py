@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores), pa.array(family, pa.string()), pa.array(sure)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "family", "family_score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(per_batch(step, 256), schema)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(per_batch(step), schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
@@ -200,7 +200,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFr
         langs, scores, _, _ = of(batch.column(at))
         return batch.filter(pa.array((langs != "und") & (scores >= least)))
 
-    return docs.mapInArrow(per_batch(step, 256), docs.schema)
+    return docs.mapInArrow(per_batch(step), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
