@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("staging", "series")
+AREAS = ("staging", "series", "decisions")
 
 
 def _all():
