@@ -34,7 +34,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, ROUND = 32, 5, 16
 VALUES = BANDS * ROWS
 #: Classes and shingles of a chunk, and pairs that a task holds at once.
-CHUNK_CLASSES, CHUNK_SHINGLES, PAIRS_AT_ONCE = 1024, 1_000_000, 500_000
+CHUNK_CLASSES, CHUNK_SHINGLES, PAIRS_AT_ONCE = 256, 1_000_000, 500_000
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 WORD_GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
