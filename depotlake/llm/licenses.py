@@ -118,7 +118,7 @@ def differences(block: list[str], own: list[str]) -> tuple[int, int, int, int]:
 
 
 def blocks_of(text: str) -> list[tuple[int, int, str]]:
-    """First line, last line and text of each candidate block."""
+    """First and last line with a cue of each candidate block, and its text, with GAP lines more on both sides for wording that goes on."""
     lines, out = text.split("\n"), []
     for k, line in enumerate(lines):
         if re.search(CUES, line):
@@ -126,7 +126,7 @@ def blocks_of(text: str) -> list[tuple[int, int, str]]:
                 out[-1][1] = k
             else:
                 out.append([k, k])
-    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in out]
+    return [(a, b, "\n".join(lines[max(0, a - GAP) : b + 1 + GAP])) for a, b in out]
 
 
 def licenses_in(block: str) -> list[tuple[str, float, int, int]]:

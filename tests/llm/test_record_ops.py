@@ -1,0 +1,209 @@
+"""Media, near duplicates, mixing, sharding, and the pipeline."""
+
+from __future__ import annotations
+
+import os
+import zlib
+from collections import Counter, defaultdict
+from math import log
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from depotlake.llm import components, embeddings, jaccard, media, mixing, sharding
+
+
+def test_ogg_checksum_and_round_trips():
+    def slow(data):
+        c = 0
+        for b in data:
+            c ^= b << 24
+            for _ in range(8):
+                c = ((c << 1) ^ 0x04C11DB7) & 0xFFFFFFFF if c & 0x80000000 else (c << 1) & 0xFFFFFFFF
+        return c
+
+    for data in (b"", b"a", os.urandom(300)):
+        assert media.checksum(data) == slow(data)
+    for n in (0, 1, 575, 576, 577, 576 * 86, 300_001):
+        size, payload = media.padded("x" * n)
+        assert size == n and len(payload) % media.BLOCK == 0 and payload and payload[n:] == b"\xff" * (len(payload) - n)
+        back = media.from_ogg(media.to_ogg(payload))
+        assert b"".join(p for _, _, p in back.in_time()) == payload and back.bad_pages == back.lost_packets == 0 and len(back.streams) == 2
+
+
+def test_ogg_damage_and_packets_across_pages(spark):
+    payload = os.urandom(576 * 400)
+    file = bytearray(media.to_ogg(payload))
+    whole = media.from_ogg(bytes(file))
+    file[len(file) // 2] ^= 1
+    hurt = media.from_ogg(bytes(file))
+    assert hurt.bad_pages == 1 and hurt.pages == whole.pages and 0 < len(hurt.in_time()) < len(whole.in_time())
+    big = [os.urandom(100_000), b"", os.urandom(255), os.urandom(70_000)]
+    ends = list(np.cumsum([len(p) for p in big]).tolist())
+    file = b"".join(p for _, p in media.paged(big, ends, 7, 0))
+    back = media.from_ogg(file)
+    assert [p for _, _, p in sorted((s, i, p) for i, (s, p) in enumerate(back.streams[7].packets))] == big and back.pages > 2
+    df = spark.createDataFrame([(1, bytearray(file)), (2, None), (3, bytearray(b"OggSxx"))], "doc_id long, media binary")
+    assert media.packets(df).groupBy("doc_id").count().collect()[0]["count"] == 4
+
+
+def test_op3_on_odd_and_empty(odd, empty):
+    rows = media.features(media.store(odd)).collect()
+    assert len(rows) == odd.count() and media.features(media.store(empty)).count() == 0
+    want = Counter((r.doc_id, len((r.text or "").encode()), zlib.crc32(media.padded(r.text)[1][-32:])) for r in odd.collect())
+    assert Counter((r.doc_id, r.n_bytes, r.tail_crc32) for r in rows) == want and all(r.bad_pages == 0 for r in rows)
+
+
+def brute_groups(docs, threshold=0.8):
+    sets, seen = [], []
+    for r in docs:
+        w = (r.text or "").lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+        seen.append(r.doc_id)
+    inverted = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            inverted[g].append(k)
+    links, parent = Counter(), list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for other, n in Counter(o for g in s for o in inverted[g] if o != k).items():
+            if n >= threshold * (len(s) + len(sets[other]) - n) - 1e-9:
+                links[k] += 1
+                parent[max(find(k), find(other))] = min(find(k), find(other))
+    low = defaultdict(list)
+    for k in range(len(sets)):
+        low[find(k)].append(seen[k])
+    return Counter((seen[k], links[k], min(x for x in low[find(k)] if x is not None) if any(x is not None for x in low[find(k)]) else None) for k in range(len(sets)))
+
+
+def test_jaccard_against_brute_force(spark, documents):
+    out = jaccard.similar_documents(documents).collect()
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in out) == brute_groups(documents.collect())
+
+
+def test_jaccard_large_group_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_CLASSES", 16)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(base[:k] + [f"edit{i}"] + base[k + 1 :])) for i, k in ((i, i * 7 % 100) for i in range(60))] + [(1000 + i, f"other{i} text of its own with many words {i}") for i in range(20)] + [(2000, " ".join(base)), (2001, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.similar_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in out) == brute_groups(docs.collect())
+
+
+def test_jaccard_odd_and_empty(odd, empty):
+    rows = jaccard.similar_documents(odd).collect()
+    assert len(rows) == odd.count() and jaccard.similar_documents(empty).count() == 0
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert [r.n_links for r in by[4]] == [1, 1] and by[1][0].n_links == by[2][0].n_links == 0 and len(by[5]) == 2
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+
+
+def test_least_matches_bound_the_posterior():
+    least = jaccard.least_matches(0.8, 1e-6)
+    rng = np.random.default_rng(0)
+    hits = rng.random((20000, jaccard.VALUES)) < 0.8
+    sums = hits.cumsum(1)[:, jaccard.ROUND - 1 :: jaccard.ROUND]
+    assert least == sorted(least) and ((sums < np.array(least)).any(1)).mean() < 1e-3
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 105), (105, 103), (103, 100), (7, 7)]
+    out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {k: 0 for k in range(41)} | {100: 100, 103: 100, 105: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_embeddings_against_brute_force(spark, data):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 32))
+    x[50:110] = x[3] + 0.2 * rng.normal(size=(60, 32))
+    x[200:210] = x[11]
+    rows = [(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] + [1.0] * 31, 1), (903, [None] + [1.0] * 31, 1), (904, [1.0, 2.0], 1), (905, [float("inf")] * 32, 1), (11, rows_equal := [float(v) for v in x[11]], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    exact = {}
+    y = np.array([r.embedding for r in df.where("vec_id < 900").collect()], dtype=np.float64)
+    ids = [r.vec_id for r in df.where("vec_id < 900").collect()]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.9
+    out = embeddings.similar_vectors(df).collect()
+    assert len(out) == len(rows) and all(r.n_links == 0 and r.kept for r in out if r.vec_id >= 900)
+    got, want = Counter((r.vec_id, r.n_links) for r in out if r.vec_id < 900), Counter(zip(ids, (near.sum(1) - 1).tolist()))
+    found, there = sum(n * c for (_, n), c in got.items()), sum(n * c for (_, n), c in want.items())
+    assert 0.9 * there <= found <= there and all(r.n_links <= max(n for (i, n) in want if i == r.vec_id) for r in out if r.vec_id < 900)
+    assert embeddings.similar_vectors(df.limit(0)).count() == 0 and exact == {}
+
+
+def test_mixing_weights_and_budget(documents, odd, empty):
+    rows = mixing.mix_documents(documents, limit=0.99, budget=1.0).collect()
+    total, by = sum(r.mix_tokens for r in rows), defaultdict(int)
+    for r in rows:
+        by[r.source] += r.mix_tokens
+    weights = {r.source: r.mix_weight for r in rows}
+    corpus = documents.select(F.sum(mixing.word_count())).first()[0]
+    longest = documents.select(F.max(mixing.word_count())).first()[0]
+    assert abs(sum(weights.values()) - 1) < 1e-6 and all(abs(by[s] - w * corpus) <= longest for s, w in weights.items())
+    assert -sum(w * log(w) for w in weights.values()) >= 0.99 * log(len(weights)) - 1e-4 and abs(total - corpus) <= longest * len(weights)
+    covered = mixing.mix_documents(documents, goal="repetition", limit=2.0, budget=None).collect()
+    times = Counter(r.doc_id for r in covered)
+    assert set(times) == {r.doc_id for r in documents.collect()} and max(times.values()) <= 2
+    assert len({(r.doc_id, r.mix_epoch) for r in covered}) == len(covered)
+    assert mixing.mix_documents(empty).count() == 0 and mixing.mix_documents(odd, goal="repetition", limit=2.0, budget=None).select(odd.columns).count() >= odd.count() - 1
+
+
+def test_mixing_is_the_same_in_each_run(documents):
+    one, two = (sorted((r.doc_id, r.mix_epoch, r.mix_key) for r in mixing.mix_documents(documents.repartition(n)).collect()) for n in (1, 3))
+    assert one == two
+
+
+@pytest.mark.parametrize("copies", [0, 3000])
+def test_shards(spark, documents, copies):
+    docs = documents.select("doc_id", "text").union(spark.range(copies).select(F.col("id") + 10**6, F.lit("the same text " * 30)))
+    rows = sharding.shard_by_bytes(docs).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in rows:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    most = max(r.size for r in rows)
+    share = sum(size.values()) / 24
+    assert len(rows) == docs.count() and all(abs(size[s] - share) <= most for s in range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    text = {r.doc_id: r.text for r in documents.collect()}
+    assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.size == len((text[r.doc_id] or "").encode()) + 8 for r in rows if r.doc_id in text)
+
+
+def test_shards_of_odd_and_empty(odd, empty):
+    rows = sharding.shard_by_bytes(odd).collect()
+    assert len(rows) == odd.count() and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    assert sharding.shard_by_bytes(empty).count() == 0
+
+
+def test_pipeline_stages(spark, documents, odd, empty):
+    import corpus_pipeline
+
+    docs, seen = documents, []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, "").cache()
+        seen.append((name, docs.count()))
+        if name != "encoding":
+            assert docs.columns == before.columns
+    assert [n for n, _ in seen] == ["language", "near_duplicates", "secrets", "mixing", "encoding"]
+    counts = dict(seen)
+    assert counts["language"] >= 0.98 * documents.count() and counts["near_duplicates"] == counts["secrets"] <= counts["mixing"] == counts["encoding"]
+    groups = {}
+    for r in jaccard.similar_documents(corpus_pipeline.known_language(spark, documents, "")).collect():
+        groups.setdefault(r.component_id, []).append(r.doc_id)
+    assert counts["near_duplicates"] == len(groups)
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
