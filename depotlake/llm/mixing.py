@@ -6,7 +6,8 @@ of tokens for each source; a budget of 2.3 times a source's tokens is two whole
 pass goes through the source in another order: blocks of hash values, in turn, each ordered by the hash.
 
 A null text has no tokens, null and empty sources are one source "", documents of a repeated id go through the passes
-together, an empty table gives an empty mix, and further columns of the input are kept by mix_documents().
+together, an empty table gives an empty mix, and further columns of the input are kept by
+mix_documents(), except those whose names begin with mix_, which are replaced.
 """
 
 from __future__ import annotations
@@ -104,13 +105,14 @@ def mix_documents(docs: DataFrame, goal: str = "entropy", limit: float = 0.95, b
     name = F.coalesce(F.col("source"), F.lit(""))
     counted = materialize(docs.select("doc_id", name.alias("source"), word_count().alias("tokens")), "mix-counts")
     plan, sources = mixing_plan(counted, goal, limit, budget, block_tokens, seed)
-    plan = plan.select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), "passes", "blocks", "cut")
-    own = [c for c in docs.columns if not c.startswith("mix_") and c not in ("passes", "blocks", "cut")]
+    plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "weight", "passes", "blocks", "cut")])
+    own = [c for c in docs.columns if not c.startswith("mix_")]
     taken = docs.select(*own, name.alias("mix_source"), word_count().alias("mix_tokens")).join(small(plan, sources), "mix_source")
-    partial = F.when(F.col("cut").isNotNull() & (order_key(F.col("doc_id"), F.col("passes") + 1, seed) <= F.col("cut")), 1).otherwise(0)
-    times = F.col("passes") + partial
+    passes = F.col("mix_passes")
+    partial = F.when(F.col("mix_cut").isNotNull() & (order_key(F.col("doc_id"), passes + 1, seed) <= F.col("mix_cut")), 1).otherwise(0)
+    times = passes + partial
     taken = taken.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), times)))
-    taken = taken.withColumn("mix_key", order_key(F.col("doc_id"), F.col("mix_epoch"), seed)).withColumn("mix_block", block_of(F.col("mix_key"), F.col("blocks")))
+    taken = taken.withColumn("mix_key", order_key(F.col("doc_id"), F.col("mix_epoch"), seed)).withColumn("mix_block", block_of(F.col("mix_key"), F.col("mix_blocks")))
     return taken.select(*own, "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_key")
 
 
