@@ -338,4 +338,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op2_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).drop("row_key")
