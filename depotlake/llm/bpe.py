@@ -181,6 +181,65 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
+NONE = np.int32(2**31 - 1)
+#: Pieces of at most so many bytes are merged together, in matrices of these widths.
+WIDTHS = (8, 16, 32)
+
+
+class Merges:
+    """The rank of each pair of tokens that a merge can join, for arrays of pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.ranks = np.array([*(found[k] for k in self.keys.tolist()), NONE], np.int32)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        every = np.repeat(self.single, 256), np.tile(self.single, 256)
+        self.of_bytes = self.of(*every).reshape(256, 256)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs (a, b); NONE where there is none or either is negative."""
+        key = a.astype(np.int64) << 32 | np.maximum(b, 0)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
+
+    def together(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
+        """Ids of words of at most width bytes. Each round joins, in every word that has one, the leftmost pair of the lowest rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        inside = np.arange(width) < size[:, None]
+        done = np.where(inside, self.single[data], -1).astype(np.int32)
+        pair = np.where(inside[:, 1:], self.of_bytes[data[:, :-1], data[:, 1:]], NONE)
+        pair = np.concatenate([pair, np.full((len(words), 1), NONE)], 1).astype(np.int32)
+        rows, ids = np.arange(len(words)), done
+        column = np.arange(width)
+        while True:
+            j = pair.argmin(1)
+            low = pair[np.arange(len(rows)), j]
+            live = low < NONE
+            if not live.all():
+                done[rows[~live]] = ids[~live]
+                rows, ids, pair, j, low = rows[live], ids[live], pair[live], j[live], low[live]
+            if not len(rows):
+                break
+            each, at = np.arange(len(rows)), j[:, None]
+            ids = np.concatenate([ids, np.full((len(rows), 1), -1, np.int32)], 1)
+            ids = np.take_along_axis(ids, column + (column > at), 1)
+            pair = np.concatenate([pair, np.full((len(rows), 1), NONE)], 1)
+            pair = np.take_along_axis(pair, column + (column >= at), 1)
+            ids[each, j] = low
+            pair[each, j] = self.of(low, np.where(j + 1 < width, ids[each, np.minimum(j + 1, width - 1)], -1))
+            left = np.flatnonzero(j > 0)
+            pair[left, j[left] - 1] = self.of(ids[left, j[left] - 1], low[left])
+        count = (done >= 0).sum(1).tolist()
+        return [tuple(r[:k]) for r, k in zip(done.tolist(), count)]
+
+
 class Encoder:
     """Ranks, their bytes by id, and the ids of the pieces met so far, in one worker."""
 
@@ -191,6 +250,23 @@ class Encoder:
             self.tokens[rank] = token
         self.names = [str(i) for i in range(len(self.tokens))]
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.merges = Merges(self.ranks)
+
+    def learn(self, missing: set[bytes]) -> None:
+        """Ids of new pieces into the cache, short ones together by width."""
+        by_width: dict[int, list[bytes]] = {w: [] for w in WIDTHS}
+        for piece in missing:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self.cache[piece] = (whole,)
+            elif len(piece) > WIDTHS[-1]:
+                self.cache[piece] = merge(piece, self.ranks)
+            else:
+                by_width[next(w for w in WIDTHS if len(piece) <= w)].append(piece)
+        for width, pieces in by_width.items():
+            for at in range(0, len(pieces), 4096):
+                part = pieces[at : at + 4096]
+                self.cache.update(zip(part, self.merges.together(part, width)))
 
     def pieces(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
         """Ids of each piece, each piece's first byte in its text, and where each text's pieces begin in these lists (and the end)."""
@@ -205,15 +281,14 @@ class Encoder:
             return [], np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
         starts = np.searchsorted(byte_at, text_at[:-1][size > 0])
         at = byte_at[np.flatnonzero(boundaries(points, starts))]
-        cache, ranks = self.cache, self.ranks
+        cache = self.cache
         cut = at.tolist()
         words = [data[a:b] for a, b in zip(cut, [*cut[1:], len(data)])]
         missing = set(words).difference(cache)
         if len(cache) + len(missing) > CACHE_PIECES:
             cache.clear()
             missing = set(words)
-        for w in missing:
-            cache[w] = merge(w, ranks)
+        self.learn(missing)
         of_text = np.searchsorted(at, text_at)
         return list(map(cache.__getitem__, words)), at - text_at[np.searchsorted(text_at, at, "right") - 1], of_text
 
@@ -228,18 +303,17 @@ def ragged(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, and offsets: the byte at which each piece begins, with the number of ids before it in piece_ids."""
+    """doc_id, ids, and offsets: the byte at which each piece begins. The ids' own bytes, as many as their tokens have, give theirs."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces, offsets, of_text = encoder(path).pieces(batch.column(1))
         before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
         ids = np.fromiter(chain.from_iterable(pieces), np.int32, before[-1])
-        first = np.repeat(before[of_text[:-1]], np.diff(of_text))
-        columns = [batch.column(0), ragged(ids, before[of_text]), ragged(offsets, of_text), ragged(before[:-1] - first, of_text)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets", "piece_ids"])
+        columns = [batch.column(0), ragged(ids, before[of_text]), ragged(offsets, of_text)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(step), "doc_id long, ids array<int>, offsets array<int>, piece_ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(per_batch(step), "doc_id long, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
