@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("staging", "series", "decisions")
+AREAS = ("staging", "series", "decisions", "io")
 
 
 def _all():

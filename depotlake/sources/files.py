@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ def good_rows(df: DataFrame) -> DataFrame:
 
 
 def bad_rows(df: DataFrame) -> DataFrame:
-    """The quarantine: unparsable lines as text."""
+    """The quarantine: unparsable lines as text. Spark reads them only from a cached or written frame, as it parses nothing for a query without other columns."""
     return df.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"))
 
 
@@ -117,3 +118,9 @@ def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.to_date(by)).alias("last_date")).select(F.lit(name).alias("table_name"), "n", "last_date")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
