@@ -11,6 +11,7 @@ from depotlake.catalog.series import dates_of, kpis_of, rounded
 from depotlake.catalog.staging import ASSIGNED, CUSTOMERS, DELIVERIES, INT_ORDERS, INVENTORY, ITEMS, O_DAY, ORDERS, PRODUCT_KPIS, PRODUCTS, Staged, assignments, pct, warehouse_kpis
 from depotlake.functions import costs as C
 from depotlake.functions.rounding import half_up
+from depotlake.operators import enrich as E
 from depotlake.operators import experiments as X
 from depotlake.operators import marts as M
 from depotlake.operators import optimize as O
@@ -101,11 +102,11 @@ query("dq_time_order", lambda t: Q.time_order(Staged(t).deliveries), "delivery_i
 query("dq_sla_logic", lambda t: Q.sla_logic(Staged(t).deliveries), "delivery_id", f"SELECT delivery_id FROM {DELIVERIES} d WHERE sla_breach_flag AND actual_delivery_minutes <= sla_minutes")
 query("dq_cross_region", lambda t: Q.cross_region_logic(Staged(t).orders), "order_id", f"SELECT order_id FROM {ORDERS} o WHERE is_cross_region <> (assigned_warehouse_id <> nearest_warehouse_id)")
 query("dq_experiment_fields", lambda t: Q.experiment_fields(Staged(t).orders), "order_id", f"SELECT order_id FROM {ORDERS} o WHERE is_experiment_order AND (experiment_id IS NULL OR experiment_group IS NULL)")
-query("dq_rate_bounds", lambda t: Q.rate_bounds(M.allocation_efficiency(Staged(t).int_orders, Staged(t).int_deliveries), ["nearest_assignment_rate", "cross_region_pct"]), "date warehouse_id")
+query("dq_rate_bounds", lambda t: Q.rate_bounds(M.allocation_efficiency(E.with_allocation(Staged(t).orders, Staged(t).warehouses), E.with_delivery_date(Staged(t).deliveries)), ["nearest_assignment_rate", "cross_region_pct"]), "date warehouse_id")
 ORACLES["dq_rate_bounds"] = f"SELECT date, warehouse_id FROM ({ORACLES['mart_allocation_efficiency']}) m WHERE nearest_assignment_rate NOT BETWEEN 0 AND 100 OR cross_region_pct NOT BETWEEN 0 AND 100"
 query("dq_capacity_warn", lambda t: Q.capacity_warning(warehouse_kpis(t), 1.0), "date warehouse_id capacity_utilization_pct")
 ORACLES["dq_capacity_warn"] = f"SELECT date, warehouse_id, capacity_utilization_pct FROM ({KPIS}) k WHERE capacity_utilization_pct > 1"
-query("dq_savings_math", lambda t: (lambda s: Q.savings_math(M.cost_optimization(s.int_orders, s.int_deliveries, s.int_inventory, s.warehouses)))(Staged(t)), "date warehouse_id")
+query("dq_savings_math", lambda t: (lambda s: Q.savings_math(M.cost_optimization(s.orders, E.with_delivery_date(s.deliveries), s.inventory, s.warehouses)))(Staged(t)), "date warehouse_id")
 ORACLES["dq_savings_math"] = f"SELECT date, warehouse_id FROM ({ORACLES['mart_cost_optimization']}) m WHERE ABS(baseline_total_cost - optimized_total_cost - savings_amount) > 0.05"
 query("dq_significance", lambda t: Q.significance(X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"])), "experiment_id")
 

@@ -140,7 +140,7 @@ def assignments(t: Tables):
 
 def warehouse_kpis(t: Tables):
     s = Staged(t)
-    return M.daily_warehouse_kpis(s.int_orders, s.int_deliveries, s.int_inventory, s.shipments, s.warehouses)
+    return M.daily_warehouse_kpis(s.orders, E.with_delivery_date(s.deliveries), s.inventory, s.shipments, s.warehouses)
 
 
 def pct(a: str, b: str, d: int = 2) -> str:
@@ -175,19 +175,19 @@ query("win_volatility", lambda t: M.demand_volatility(Staged(t).inventory), None
 query("join_items_orders", lambda t: (lambda s: E.items_of_orders(s.items, s.orders).groupBy(F.col("order_date").alias("date"), "product_id").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("items")))(Staged(t)), None,
       f"SELECT {day('date')}, product_id, {dbl('revenue')}, quantity, items FROM {ITEM_DAYS} r")
 A_DAY = f"(SELECT activity_date AS date, warehouse_id, AVG(CAST(utilization_pct AS DOUBLE)) AS used FROM {ACTIVITY} a GROUP BY 1, 2)"
-query("mart_delivery_performance", lambda t: (lambda s: M.delivery_performance(s.int_deliveries, s.activity))(Staged(t)), None,
+query("mart_delivery_performance", lambda t: (lambda s: M.delivery_performance(E.with_priority(s.deliveries, s.orders), s.activity))(Staged(t)), None,
       f"""SELECT {day('d.date').replace('AS d.date', 'AS date')}, d.warehouse_id, records AS total_deliveries, {r2('minutes', 'avg_delivery_time_min')}, {r2('km', 'avg_distance_km')}, {pct('on_time_any', 'delivered')} AS on_time_pct, {pct('breaches', 'records')} AS sla_breach_pct,
       {r2('delivery', 'total_delivery_cost')}, {r2(z('used'), 'avg_driver_utilization')}, failed AS failed_delivery_count, {pct('express', 'records')} AS express_order_pct, {r2('accuracy', 'avg_eta_accuracy_pct')}, {r2('error', 'avg_eta_error_minutes')}
       FROM {D_DAY} d LEFT JOIN {A_DAY} a ON d.date = a.date AND d.warehouse_id = a.warehouse_id""")
 OUT_DAY = f"(SELECT order_date AS date, nearest_warehouse_id AS warehouse_id, COUNT(*) AS moved_out FROM {ORDERS} o WHERE order_status <> 'Cancelled' AND assigned_warehouse_id <> nearest_warehouse_id GROUP BY 1, 2)"
-query("mart_allocation_efficiency", lambda t: (lambda s: M.allocation_efficiency(s.int_orders, s.int_deliveries))(Staged(t)), None,
+query("mart_allocation_efficiency", lambda t: (lambda s: M.allocation_efficiency(E.with_allocation(s.orders, s.warehouses), E.with_delivery_date(s.deliveries)))(Staged(t)), None,
       f"""SELECT {day('o.date').replace('AS o.date', 'AS date')}, o.warehouse_id, total_orders AS total_orders_assigned, near AS orders_from_nearest, crossed_in AS orders_redirected_in, COALESCE(moved_out, 0) AS orders_redirected_out, {pct('near', 'total_orders')} AS nearest_assignment_rate,
       {r2(z('km'), 'avg_delivery_distance_km')}, {r2(z('cost'), 'avg_cost_per_order')}, {pct('crossed', 'total_orders')} AS cross_region_pct FROM {O_DAY} o LEFT JOIN {OUT_DAY} x ON o.date = x.date AND o.warehouse_id = x.warehouse_id LEFT JOIN {D_DAY} d ON o.date = d.date AND o.warehouse_id = d.warehouse_id""")
 query("agg_allocation_efficiency", lambda t: M.allocation_rates(Staged(t).orders).select("date", "warehouse_id", S.ratio(F.col("orders_from_nearest"), F.col("total_orders_assigned"), factor=100.0).alias("allocation_efficiency_pct")), None,
       f"SELECT {day('date')}, warehouse_id, {pct('near', 'total_orders')} AS allocation_efficiency_pct FROM {O_DAY} o")
 COSTS = f"""(SELECT COALESCE(h.date, t.date) AS date, COALESCE(h.warehouse_id, t.warehouse_id) AS warehouse_id, CAST(COALESCE(h.holding, 0) AS DOUBLE) AS h, CAST(COALESCE(t.delivery, 0) AS DOUBLE) AS t, CAST(COALESCE(h.holding, 0) + COALESCE(t.delivery, 0) + operating_cost_per_day AS DOUBLE) AS base, operating_cost_per_day, near, total_orders
       FROM {I_DAY} h FULL OUTER JOIN {D_DAY} t ON h.date = t.date AND h.warehouse_id = t.warehouse_id LEFT JOIN {WAREHOUSES} w ON COALESCE(h.warehouse_id, t.warehouse_id) = w.warehouse_id LEFT JOIN {O_DAY} o ON COALESCE(h.date, t.date) = o.date AND COALESCE(h.warehouse_id, t.warehouse_id) = o.warehouse_id)"""
-query("mart_cost_optimization", lambda t: (lambda s: M.cost_optimization(s.int_orders, s.int_deliveries, s.int_inventory, s.warehouses))(Staged(t)), None,
+query("mart_cost_optimization", lambda t: (lambda s: M.cost_optimization(s.orders, E.with_delivery_date(s.deliveries), s.inventory, s.warehouses))(Staged(t)), None,
       f"""SELECT {day('date')}, warehouse_id, ROUND(base, 2) AS baseline_total_cost, ROUND(base * 0.92E0, 2) AS optimized_total_cost, ROUND(base * 0.08E0, 2) AS savings_amount, CAST(8 AS DOUBLE) AS savings_pct, ROUND(h, 2) AS holding_cost_baseline, ROUND(h * 0.9E0, 2) AS holding_cost_optimized,
       ROUND(t, 2) AS transport_cost_baseline, ROUND(t * 0.93E0, 2) AS transport_cost_optimized, {pct('near', 'total_orders')} AS allocation_efficiency_pct FROM {COSTS} c""")
 RESULTS = f"""(SELECT c.*, d.minutes, d.on_time, d.delivered, s.out_n, s.n FROM (SELECT a.experiment_id, group_name, COUNT(DISTINCT a.order_id) AS total_orders, AVG(CAST(total_fulfillment_cost AS DOUBLE)) AS cost, SUM(total_fulfillment_cost) AS costs FROM {ASSIGNED} a JOIN {ORDERS} o ON a.order_id = o.order_id WHERE order_status <> 'Cancelled' GROUP BY 1, 2) c

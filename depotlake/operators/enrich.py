@@ -27,15 +27,21 @@ def agg_order_items(items: DataFrame) -> DataFrame:
     )
 
 
-def order_enriched(orders: DataFrame, customers: DataFrame, warehouses: DataFrame, items: DataFrame) -> DataFrame:
-    c = current(customers).select("customer_id", "customer_segment", "engagement_tier", F.col("region").alias("customer_region"))
+def with_allocation(orders: DataFrame, warehouses: DataFrame) -> DataFrame:
+    """orders with the regions of both warehouses and allocation_result; no shuffle."""
     w = warehouses.select(F.col("warehouse_id").alias("assigned_warehouse_id"), F.col("warehouse_name").alias("assigned_warehouse_name"), F.col("region").alias("assigned_region"))
     n = warehouses.select(F.col("warehouse_id").alias("nearest_warehouse_id"), F.col("region").alias("nearest_region"))
-    i = agg_order_items(items).drop("discounted_items").withColumnRenamed("total_revenue", "item_total_revenue")
-    joined = orders.join(i, "order_id", "left").join(c, "customer_id", "left").join(F.broadcast(w), "assigned_warehouse_id", "left").join(F.broadcast(n), "nearest_warehouse_id", "left")
+    joined = orders.join(F.broadcast(w), "assigned_warehouse_id", "left").join(F.broadcast(n), "nearest_warehouse_id", "left")
     result = F.when(F.col("assigned_warehouse_id") == F.col("nearest_warehouse_id"), "Nearest").when(F.col("assigned_region") == F.col("nearest_region"), "Same Region").otherwise("Cross Region")
-    zeros = {k: F.coalesce(k, F.lit(0)) for k in ("line_item_count", "total_quantity", "item_total_revenue", "total_discount", "avg_discount_pct")}
-    return joined.withColumns(zeros | {"allocation_result": result})
+    return joined.withColumn("allocation_result", result)
+
+
+def order_enriched(orders: DataFrame, customers: DataFrame, warehouses: DataFrame, items: DataFrame) -> DataFrame:
+    """The wide order table. Marts that need a part of it take that part's function: Spark can't drop a left join that nothing reads."""
+    c = current(customers).select("customer_id", "customer_segment", "engagement_tier", F.col("region").alias("customer_region"))
+    i = agg_order_items(items).drop("discounted_items").withColumnRenamed("total_revenue", "item_total_revenue")
+    joined = with_allocation(orders.join(i, "order_id", "left").join(c, "customer_id", "left"), warehouses)
+    return joined.withColumns({k: F.coalesce(k, F.lit(0)) for k in ("line_item_count", "total_quantity", "item_total_revenue", "total_discount", "avg_discount_pct")})
 
 
 def minutes_between(earlier: Column, later: Column) -> Column:
@@ -51,6 +57,15 @@ def delivery_enriched(deliveries: DataFrame, drivers: DataFrame, orders: DataFra
     return joined.withColumns({"pickup_wait_minutes": minutes_between(F.col("assigned_time"), F.col("pickup_time")), "delivery_date": F.to_date("assigned_time")})
 
 
+def with_delivery_date(deliveries: DataFrame) -> DataFrame:
+    return deliveries.withColumn("delivery_date", F.to_date("assigned_time"))
+
+
+def with_priority(deliveries: DataFrame, orders: DataFrame) -> DataFrame:
+    """Deliveries with their order's priority and their date."""
+    return with_delivery_date(deliveries).join(orders.select("order_id", "order_priority"), "order_id", "left")
+
+
 def inventory_enriched(inventory: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
     p = current(products).select("product_id", "product_name", "category", "subcategory", "cost_price", "selling_price", "profit_margin_pct", "price_tier", "lead_time_days", "reorder_point", "safety_stock", "lead_time_risk")
     w = warehouses.select("warehouse_id", "warehouse_name", F.col("region").alias("warehouse_region"), F.col("capacity_units").alias("warehouse_capacity"), F.col("capacity_tier").alias("warehouse_capacity_tier"))
