@@ -33,8 +33,8 @@ from depotlake.llm.components import components, join_labels
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, ROUND = 32, 5, 16
 VALUES = BANDS * ROWS
-#: Classes and shingles of a chunk, and pairs that a task holds at once.
-CHUNK_CLASSES, CHUNK_SHINGLES, PAIRS_AT_ONCE = 256, 1_000_000, 500_000
+#: Classes of a bucket's chunk, classes and shingles of a candidate group's chunk, and pairs that a task holds at once.
+BUCKET_CLASSES, CHUNK_CLASSES, CHUNK_SHINGLES, PAIRS_AT_ONCE = 1024, 256, 1_000_000, 500_000
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 WORD_GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -221,7 +221,7 @@ def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> D
     banded = classes.where("n > 0").select("set_key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = banded.join(shared, "bucket").join(classes.select("set_key", "sketch"), "set_key")
-    rows = in_blocks(met, "bucket", F.ceil(F.col("members") / CHUNK_CLASSES)).select("block", "chunk", "crossed", "set_key", "sketch")
+    rows = in_blocks(met, "bucket", F.ceil(F.col("members") / BUCKET_CLASSES)).select("block", "chunk", "crossed", "set_key", "sketch")
 
     def step(rows: pa.Table) -> pa.RecordBatch | None:
         sketch, keys = sketch_matrix(rows), rows.column("set_key").to_numpy()

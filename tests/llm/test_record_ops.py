@@ -91,6 +91,7 @@ def test_jaccard_against_brute_force(spark, documents):
 
 def test_jaccard_large_group_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_CLASSES", 16)
+    monkeypatch.setattr(jaccard, "BUCKET_CLASSES", 16)
     base = [f"w{k}" for k in range(100)]
     rows = [(i, " ".join(base[:k] + [f"edit{i}"] + base[k + 1 :])) for i, k in ((i, i * 7 % 100) for i in range(60))] + [(1000 + i, f"other{i} text of its own with many words {i}") for i in range(20)] + [(2000, " ".join(base)), (2001, " ".join(base))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
