@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import per_batch, table
+from depotlake.llm.common import materialize, per_batch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker keeps, and bytes of a piece from which merging uses a heap.
@@ -357,6 +357,7 @@ def length_histogram(counts: DataFrame, bucket: int = 1024) -> DataFrame:
     """
     by_length = counts.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     by_length = by_length.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("bucket", F.floor(F.col("n_tokens") / bucket))
+    by_length = materialize(by_length, "lengths")  # read twice below, so that the texts are encoded once
     later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     totals = by_length.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
