@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from base64 import b64decode
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,14 +23,14 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import materialize, per_batch, table
+from depotlake.llm.common import materialize, per_batch, per_bytes, slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose ids a worker keeps, and bytes of a piece from which merging uses a heap.
-CACHE_PIECES, LONG_PIECE = 250_000, 96
+#: Pieces after which a worker forgets those it has met, and bytes of a piece from which merging uses a heap.
+CACHE_PIECES, LONG_PIECE = 1_000_000, 96
 
 # The pattern's white space (Unicode White_Space) and what its contractions have after the apostrophe.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -184,6 +185,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 NONE = np.int32(2**31 - 1)
 #: Pieces of at most so many bytes are merged together, in matrices of these widths.
 WIDTHS = (8, 16, 32)
+#: The first 0 to 8 bytes of a little-endian integer.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Merges:
@@ -208,15 +211,14 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def together(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Ids of words of at most width bytes. Each round joins, in every word that has one, the leftmost pair of the lowest rank."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+    def together(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, which are the rows of data up to size, one after another, and how many each has. Each round joins, in every word that has one, the leftmost pair of the lowest rank."""
+        width = data.shape[1]
         inside = np.arange(width) < size[:, None]
         done = np.where(inside, self.single[data], -1).astype(np.int32)
         pair = np.where(inside[:, 1:], self.of_bytes[data[:, :-1], data[:, 1:]], NONE)
-        pair = np.concatenate([pair, np.full((len(words), 1), NONE)], 1).astype(np.int32)
-        rows, ids = np.arange(len(words)), done
+        pair = np.concatenate([pair, np.full((len(data), 1), NONE)], 1).astype(np.int32)
+        rows, ids = np.arange(len(data)), done
         column = np.arange(width)
         while True:
             j = pair.argmin(1)
@@ -236,61 +238,124 @@ class Merges:
             pair[each, j] = self.of(low, np.where(j + 1 < width, ids[each, np.minimum(j + 1, width - 1)], -1))
             left = np.flatnonzero(j > 0)
             pair[left, j[left] - 1] = self.of(ids[left, j[left] - 1], low[left])
-        count = (done >= 0).sum(1).tolist()
-        return [tuple(r[:k]) for r, k in zip(done.tolist(), count)]
+        used = done >= 0
+        return done[used], used.sum(1)
 
 
 class Encoder:
-    """Ranks, their bytes by id, and the ids of the pieces met so far, in one worker."""
+    """Ranks, their bytes by id, and the ids of the pieces met so far, in one worker: piece number k has count[k] ids from flat[start[k]] on."""
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.names = [str(i) for i in range(len(self.tokens))]
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.names = pa.array([b"%d," % i for i in range(len(tokens))], pa.large_binary())
         self.merges = Merges(self.ranks)
-
-    def learn(self, missing: set[bytes]) -> None:
-        """Ids of new pieces into the cache, short ones together by width."""
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all but the tokens of a word's length."""
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 17, np.int32), 0
+        self.start, self.count, self.known = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), 0
+        short = [t for t in self.ranks if len(t) <= 8 and b"\0" not in t]
+        keys = np.frombuffer(b"".join(t.ljust(8, b"\0") for t in short), "<u8")
+        order = np.argsort(keys)
+        ids = np.fromiter(map(self.ranks.__getitem__, short), np.int32, len(short))[order]
+        self.keys, self.key_place = keys[order], self.add(ids, np.ones(len(ids), np.int64))
+
+    def add(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces with these ids."""
+        n, k, ends = self.known, len(count), self.used + np.cumsum(count)
+        while n + k > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[n : n + k], self.count[n : n + k] = ends - count, count
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used, self.known = self.used + len(ids), n + k
+        return np.arange(n, n + k)
+
+    def short_numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of pieces of at most 8 bytes without a zero byte; a key is such a piece as an integer."""
+        different, back = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.keys, different)
+        new = different[self.keys[np.minimum(at, len(self.keys) - 1)] != different]
+        if len(new):
+            data = new.view(np.uint8).reshape(-1, 8)
+            added = self.add(*self.merges.together(data, (data != 0).sum(1)))
+            places = np.searchsorted(self.keys, new)
+            self.keys, self.key_place = np.insert(self.keys, places, new), np.insert(self.key_place, places, added)
+            at = np.searchsorted(self.keys, different)
+        return self.key_place[at][back]
+
+    def long_numbers(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """Numbers of any other pieces; new ones of up to the last width are merged together, by width."""
+        words = words.dictionary_encode()
+        different = words.dictionary.to_pylist()
         by_width: dict[int, list[bytes]] = {w: [] for w in WIDTHS}
-        for piece in missing:
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                self.cache[piece] = (whole,)
-            elif len(piece) > WIDTHS[-1]:
-                self.cache[piece] = merge(piece, self.ranks)
-            else:
-                by_width[next(w for w in WIDTHS if len(piece) <= w)].append(piece)
+        alone: dict[bytes, tuple[int, ...]] = {}
+        for piece in different:
+            if piece not in self.place:
+                whole = self.ranks.get(piece)
+                if whole is not None:
+                    alone[piece] = (whole,)
+                elif len(piece) > WIDTHS[-1]:
+                    alone[piece] = merge(piece, self.ranks)
+                else:
+                    by_width[next(w for w in WIDTHS if len(piece) <= w)].append(piece)
+        count = np.fromiter(map(len, alone.values()), np.int64, len(alone))
+        self.place.update(zip(alone, self.add(np.fromiter(chain.from_iterable(alone.values()), np.int32, count.sum()), count).tolist()))
         for width, pieces in by_width.items():
-            for at in range(0, len(pieces), 4096):
-                part = pieces[at : at + 4096]
-                self.cache.update(zip(part, self.merges.together(part, width)))
+            if pieces:
+                data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                self.place.update(zip(pieces, self.add(*self.merges.together(data, size)).tolist()))
+        return np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[words.indices.to_numpy()]
+
+    def numbers(self, data: bytes, at: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces of data that begin at these places."""
+        end = np.append(at[1:], len(data))
+        size = end - at
+        short = size <= 8
+        if b"\0" in data:
+            zeros = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) == 0)])
+            short &= zeros[end] == zeros[at]
+        out = np.zeros(len(at), np.int64)
+        eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place on
+        out[short] = self.short_numbers(eight[at[short]] & MASKS[size[short]])
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+            out[rest] = self.long_numbers(every.take(pa.array(rest)))
+        return out
 
-    def pieces(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
-        """Ids of each piece, each piece's first byte in its text, and where each text's pieces begin in these lists (and the end)."""
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each piece, each piece's first byte in its text, and where each text's pieces begin in these lists (and the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         data = "".join(texts.to_pylist())
         points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
         data = data.encode("utf-8", "surrogatepass")
-        byte_at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))])
         text_at = np.concatenate([[0], np.cumsum(size)])
         if not len(points):
-            return [], np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64)])
         starts = np.searchsorted(byte_at, text_at[:-1][size > 0])
         at = byte_at[np.flatnonzero(boundaries(points, starts))]
-        cache = self.cache
-        cut = at.tolist()
-        words = [data[a:b] for a, b in zip(cut, [*cut[1:], len(data)])]
-        missing = set(words).difference(cache)
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            missing = set(words)
-        self.learn(missing)
+        if self.known > CACHE_PIECES:
+            self.clear()
+        number = self.numbers(data, at)
         of_text = np.searchsorted(at, text_at)
-        return list(map(cache.__getitem__, words)), at - text_at[np.searchsorted(text_at, at, "right") - 1], of_text
+        return number, at - np.repeat(text_at[:-1], np.diff(of_text)), of_text
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and where each piece's begin (and the end)."""
+        count = self.count[number]
+        before = np.concatenate([[0], np.cumsum(count)])
+        return self.flat[np.repeat(self.start[number] - before[:-1], count) + np.arange(before[-1])], before
 
 
 @lru_cache(2)
@@ -303,17 +368,28 @@ def ragged(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, and offsets: the byte at which each piece begins. The ids' own bytes, as many as their tokens have, give theirs."""
+    """doc_id, ids, and offsets: the byte at which each piece begins. The ids' own bytes, as many as their tokens have, give theirs.
+
+    Equal texts that come together, as repeats of a mix do, are encoded once.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces, offsets, of_text = encoder(path).pieces(batch.column(1))
-        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
-        ids = np.fromiter(chain.from_iterable(pieces), np.int32, before[-1])
-        columns = [batch.column(0), ragged(ids, before[of_text]), ragged(offsets, of_text)]
+        own, texts = encoder(path), pc.fill_null(batch.column(1).cast(pa.large_string()), "").dictionary_encode()
+        number, offsets, of_text = own.pieces(texts.dictionary)
+        ids, before = own.ids(number)
+        columns = [batch.column(0), ragged(ids, before[of_text]).take(texts.indices), ragged(offsets, of_text).take(texts.indices)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(step), "doc_id long, ids array<int>, offsets array<int>")
+    return docs.select("doc_id", "text").mapInArrow(per_bytes(step, 1), "doc_id long, ids array<int>, offsets array<int>")
+
+
+def joined(parts: pa.LargeBinaryArray, ids: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+    """For each list of ids, its parts one after another."""
+    taken = parts.take(ids)
+    at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)[ends]
+    data = memoryview(taken.buffers()[2] or b"")
+    return (data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
 
 
 def decode(encoded: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
@@ -322,33 +398,42 @@ def decode(encoded: DataFrame, path: str | None = None, digests: bool = False) -
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long" if digests else "decoded binary"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, rows = encoder(path), []
-        for ids, offsets in zip(batch.column(1), batch.column(2)):
-            at = ids.values.to_numpy().tolist()
-            data = b"".join([own.tokens[i] for i in at])
-            names = ",".join([own.names[i] for i in at]).encode() if digests else b""
-            rows.append((len(at), hashlib.sha256(names).hexdigest(), hashlib.sha256(data).hexdigest(), len(offsets.values)) if digests else (data,))
-        names = [x.split()[0] for x in kinds.split(", ")]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.binary()]
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+        own, ids = encoder(path), batch.column(1)
+        ends = ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+        decoded = joined(own.tokens, ids.flatten(), ends)
+        if not digests:
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, decoded), pa.binary())], names=["doc_id", "decoded"])
+        names = [hashlib.sha256(x[:-1]).hexdigest() for x in joined(own.names, ids.flatten(), ends)]
+        columns = [pa.array(np.diff(ends)), pa.array(names, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()), pc.list_value_length(batch.column(2)).cast(pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(x.split()[0] for x in kinds.split(", "))])
 
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(per_batch(step), f"doc_id long, {kinds}")
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens."""
+def token_count(text: Column, path: str | None = None) -> Column:
+    """Number of tokens of a text column, null texts included."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces, _, of_text = encoder(path).pieces(batch.column(1))
-        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before[of_text]))], names=["doc_id", "n_tokens"])
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([counted(encoder(path), part) for part in slices(batch)])
+
+    return count(text)
+
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch(step), "doc_id long, n_tokens long")
+def counted(own: Encoder, texts: pa.Array) -> pa.Array:
+    number, _, of_text = own.pieces(texts)
+    before = np.concatenate([[0], np.cumsum(own.count[number])])
+    return pa.array(np.diff(before[of_text]))
+
+
+def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and n_tokens."""
+    return docs.select("doc_id", token_count(F.col("text"), path).alias("n_tokens"))
 
 
-def length_histogram(counts: DataFrame, bucket: int = 1024) -> DataFrame:
+def length_histogram(counts: DataFrame, bucket: int = 128) -> DataFrame:
     """One row for each length that occurs: its documents and tokens, and the suffix sums that answer every context limit.
 
     docs_from, tokens_from: documents at least so long, and their tokens; truncated_tokens: tokens of the corpus when each

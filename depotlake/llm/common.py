@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,5 +58,28 @@ def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 128)
     return run
 
 
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """texts in slices of about so many bytes; a longer text is a slice of its own. An empty array is one slice."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(size), 0
+    while at < len(texts) or not len(texts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def per_bytes(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: step on slices of batches by the bytes of the text in a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(column)):
+                yield step(batch.slice(at, len(part)))
+                at += len(part)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
