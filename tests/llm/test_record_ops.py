@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from depotlake.llm import components, embeddings, jaccard, media, mixing, sharding
+from depotlake.llm import bpe, components, embeddings, jaccard, media, mixing, sharding
 
 
 def test_ogg_checksum_and_round_trips():
@@ -145,21 +145,90 @@ def test_embeddings_against_brute_force(spark, data):
     assert embeddings.similar_vectors(df.limit(0)).count() == 0 and exact == {}
 
 
-def test_mixing_weights_and_budget(documents, odd, empty):
-    rows = mixing.mix_documents(documents, limit=0.99, budget=1.0).collect()
-    total, by = sum(r.mix_tokens for r in rows), defaultdict(int)
+
+
+def brute_mix(rows, entropy, repeats, budget, keys):
+    """Times that each row (id, source, tokens) is taken: weights from a plain bisection, passes counted row by row. keys: (id, epoch) to order key."""
+    total = Counter()
+    for _, source, tokens in rows:
+        total[source] += tokens
+    everything = sum(total.values())
+    p = {s: t / everything for s, t in total.items() if t}
+
+    def often(a):
+        z = sum(x**a for x in p.values())
+        scale = budget / z if budget is not None else 1 / min(x ** (a - 1) for x in p.values())
+        return {s: x ** (a - 1) * scale for s, x in p.items()}
+
+    def spread(a):
+        w = [x**a for x in p.values()]
+        return -sum(x / sum(w) * log(x / sum(w)) for x in w)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (low, a) if max(often(a).values()) <= repeats else (a, high)
+    least, low, high = high, 0.0, 1.0
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (a, high) if spread(a) >= entropy * log(len(p)) else (low, a)
+    want, out = often(max(least, low)), []
+    for source, often_ in want.items():
+        own = [r for r in rows if r[1] == source]
+        passes = int(often_ + 1e-6)
+        out += [r[0] for r in own] * passes
+        rest, some = max(0, round((often_ - passes) * total[source])), False
+        for k in sorted({keys[r[0], passes + 1] for r in own}):
+            same = [r for r in own if keys[r[0], passes + 1] == k]
+            if (rest := rest - sum(r[2] for r in same)) < 0 and (passes or some):
+                break
+            some = some or any(r[2] for r in same)
+            out += [r[0] for r in same]
+            if rest < 0:
+                break
+    return Counter(out) + Counter(r[0] for r in rows if not total[r[1]])
+
+
+@pytest.mark.parametrize("entropy, repeats, budget", [(0.95, 4.0, 1.0), (0.0, 4.0, 0.3), (0.999, 1.5, 1.0), (1.0, 2.0, None), (1.0, 50.0, 2.5)])
+def test_mixing_against_row_by_row(spark, documents, entropy, repeats, budget):
+    rows = [(r.doc_id, r.source or "", r.n) for r in documents.select("doc_id", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n")).collect()] + [(10**6 + k, "rare", 1) for k in range(3)] + [(10**7 + k, "rarer", 90) for k in range(2)] + [(10**8, "none", 0)]
+    ids = spark.createDataFrame([(r[0], e) for r in rows for e in range(1, 52)], "doc_id long, epoch long")
+    keys = {(r.doc_id, r.epoch): r.k for r in ids.select("doc_id", "epoch", mixing.order_key(F.col("doc_id"), F.col("epoch"), 7).alias("k")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long").withColumn("mix_tokens", F.lit("clash"))
+    mixed = mixing.mix_documents(docs, F.col("n"), None if entropy == 1.0 else entropy, repeats, budget, block_tokens=500).collect()
+    got, want = Counter(r.doc_id for r in mixed), brute_mix(rows, entropy, repeats, budget, keys)
+    apart = (got - want) + (want - got)
+    n_sources = len({r[1] for r in rows})
+    assert sum(apart.values()) <= n_sources, apart  # a budget within rounding of a document's end
+    assert {r.source for r in mixed} == {r[1] for r in rows} and max(got.values()) <= repeats + 1
+    assert len({(r.doc_id, r.mix_epoch) for r in mixed}) == len(mixed)
+
+
+def test_mixing_keeps_sources_of_any_share(spark):
+    rows = [(1, "huge", 10**12), (2, "mid", 10**6), (3, "tiny", 90), (4, "empty", 0)] + [(10 + k, "huge", 10**9) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    covered = Counter(r.doc_id for r in mixing.mix_documents(docs, F.col("n"), None, 2.0, None).collect())
+    assert set(covered) == {r[0] for r in rows} and max(covered.values()) <= 2
+    for budget in (1.0, 0.001):
+        mixed = mixing.mix_documents(docs, F.col("n"), 0.95, 4.0, budget).collect()
+        assert {r.source for r in mixed} == {"huge", "mid", "tiny", "empty"} and max(Counter(r.doc_id for r in mixed).values()) <= 4
+    with pytest.raises(ValueError):
+        mixing.mix_documents(docs, F.col("n"), repeats=1.0, budget=3.0)
+
+
+def test_mixing_query_and_odd_rows(spark, data, documents, odd, empty):
+    rows = mixing.op7_temperature_mixing(spark, data).collect()
+    total, by = sum(r.mix_tokens for r in rows), Counter()
     for r in rows:
         by[r.source] += r.mix_tokens
-    weights = {r.source: r.mix_weight for r in rows}
-    corpus = documents.select(F.sum(mixing.word_count())).first()[0]
-    longest = documents.select(F.max(mixing.word_count())).first()[0]
-    assert abs(sum(weights.values()) - 1) < 1e-6 and all(abs(by[s] - w * corpus) <= longest for s, w in weights.items())
-    assert -sum(w * log(w) for w in weights.values()) >= 0.99 * log(len(weights)) - 1e-4 and abs(total - corpus) <= longest * len(weights)
-    covered = mixing.mix_documents(documents, goal="repetition", limit=2.0, budget=None).collect()
-    times = Counter(r.doc_id for r in covered)
-    assert set(times) == {r.doc_id for r in documents.collect()} and max(times.values()) <= 2
-    assert len({(r.doc_id, r.mix_epoch) for r in covered}) == len(covered)
-    assert mixing.mix_documents(empty).count() == 0 and mixing.mix_documents(odd, goal="repetition", limit=2.0, budget=None).select(odd.columns).count() >= odd.count() - 1
+    tokens = {r.doc_id: r.n_tokens for r in bpe.token_counts(documents).collect()}
+    corpus, longest, weights = sum(tokens.values()), max(tokens.values()), {r.source: r.mix_weight for r in rows}
+    assert all(r.mix_tokens == tokens[r.doc_id] for r in rows)
+    assert abs(sum(weights.values()) - 1) < 1e-9 and all(abs(by[s] - w * corpus) <= longest for s, w in weights.items())
+    assert -sum(w * log(w) for w in weights.values()) >= 0.95 * log(len(weights)) - 1e-4 and abs(total - corpus) <= longest * len(weights)
+    assert mixing.mix_documents(empty).count() == 0
+    covered = mixing.mix_documents(odd, entropy=None, repeats=2.0, budget=None).select(odd.columns).collect()
+    assert not Counter(map(repr, odd.collect())) - Counter(map(repr, covered))
 
 
 def test_mixing_is_the_same_in_each_run(documents):
