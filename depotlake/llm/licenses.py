@@ -1,9 +1,15 @@
 """License scans by conditional compression.
 
-Lines with a license's cue words, and the lines between such lines that are close together, form candidate blocks. Each
-block is compressed alone and with each template as a zstandard raw dictionary; templates are ranked by how much smaller
-the block gets. The best ones are confirmed, or not, by the exact differences of wording around the longest stretch that
-block and template share. A block may hold several licenses; one without any confirmed template is reported as unknown.
+A candidate block is all words within reach of a license's cue words, where reach is the length of the longest template, so
+it doesn't depend on how the text is wrapped; blocks that touch are one. Each block is compressed alone and with each
+template as a zstandard raw dictionary; templates are ranked by how much smaller the block gets. All that make it smaller, and
+those of a few words, which can save less than entropy coding varies, are then confirmed, or not, by the exact differences of wording at every place where enough of the template's word triples are.
+
+Up to a tenth of the words may differ, besides a name that is filled in, but not those that tell a template from the others that
+it is like (versions, "affero", "lesser"), no word that tells other ones apart may come in, and a wording that goes on as a
+longer template does (with a third clause) isn't the shorter one. Where places overlap, the one with the most words
+in common counts (ties: fewer differences, then the order of the names). A block may hold any number of licenses; one without any is
+reported as unknown.
 
 Null and empty texts have no blocks and give no rows; texts are taken whole; repeated rows each give theirs; an empty table
 gives an empty result; only the id and the text are read.
@@ -12,6 +18,9 @@ gives an empty result; only the id and the text are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -22,8 +31,8 @@ from pyspark.sql import functions as F
 
 from depotlake.llm.common import per_batch, table
 
-# Cue words, and templates of public licenses: notices and the texts' own wording.
-CUES = r"(?i)licen[sc]e|copyright|\(c\) ?[0-9]{4}|rights reserved|public domain|permission is hereby|redistribution and use|without warranty|warranties|spdx"
+# Cue words, and templates of public licenses: notices and the texts' own wording. What is in <> is to be filled in.
+CUES = r"(?i)licen[sc]e|copyright|\(c\)\s?[0-9]{4}|rights[\W_]+reserved|public[\W_]+domain|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|warranty|warranties|spdx"
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -41,6 +50,32 @@ distribute, sublicense, and/or sell copies of the Software, and to permit person
 following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
 Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
 MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope
+that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    ],
+    "LGPL-2.1": [
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed
+in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE.""",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed
+in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE.""",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed
+in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE.""",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -55,6 +90,35 @@ that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warra
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["This work has been dedicated to the public domain under CC0 1.0 Universal."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "Apache-1.1": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. The end-user documentation included with the redistribution, if any,
+must include the following acknowledgment: "This product includes software developed by the Apache Software Foundation
+(http://www.apache.org/)." Alternately, this acknowledgment may appear in the software itself, if and wherever such third-party acknowledgments
+normally appear. 4. The names "Apache" and "Apache Software Foundation" must not be used to endorse or promote products derived from this
+software without prior written permission.""",
+    ],
+    "BSD-4-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software
+must display the following acknowledgement: This product includes software developed by <the copyright holder>. 4. Neither the name of <the
+copyright holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission.""",
+    ],
+    "BSD-3-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. Neither the name of <the copyright holder> nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    ],
     "BSD-2-Clause": [
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
 are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -64,6 +128,21 @@ documentation and/or other materials provided with the distribution.""",
     "ISC": [
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
 the above copyright notice and this permission notice appear in all copies.""",
+    ],
+    "Zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+and to alter it and redistribute it freely, subject to the following restrictions.""",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "EPL-2.0": [
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+http://www.eclipse.org/legal/epl-2.0.""",
+    ],
+    "MPL-1.1": [
+        """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in
+compliance with the License.""",
     ],
     "MPL-2.0": [
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
@@ -71,31 +150,72 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ],
     "Proprietary": ["All rights reserved.", "All Rights Reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
-#: Templates to confirm for a block; differing words in relation to the template's; lines between cue lines of a block; level of zstandard.
-CONFIRMED, DIFFERING, GAP, LEVEL = 6, 0.1, 2, 3
-WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+#: Differing words in relation to the template's; words of a seed; level of zstandard; share of common words from which templates are like each other; words of a name that is filled in; of a template that is confirmed whatever it saves.
+DIFFERING, SEED, LEVEL, ALIKE, FILL, FEW = 0.1, 3, 3, 0.5, 12, 16
+WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
+CUE = re.compile(CUES)
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+@dataclass
+class Template:
+    name: str
+    words: list[str]
+    #: Places of the words that are filled in.
+    free: set[int]
+    compressor: zstandard.ZstdCompressor
+    #: Places of the words that tell it from templates like it, words that those have instead, and words with which longer ones go on.
+    telling: set[int] = field(default_factory=set)
+    foreign: set[str] = field(default_factory=set)
+    goes_on: set[str] = field(default_factory=set)
+
+    def __post_init__(self):
+        self.slack = int(DIFFERING * len(self.words))
+        self.fills = sum(i - 1 not in self.free for i in self.free)
+        self.shift = self.slack + FILL * self.fills
+        k = min(SEED, len(self.words))
+        self.seeds = [(i, tuple(self.words[i : i + k])) for i in range(len(self.words) - k + 1) if self.free.isdisjoint(range(i, i + k))]
+
+    def learn_from(self, other: Template) -> None:
+        matcher = SequenceMatcher(None, self.words, other.words, autojunk=False)
+        same = sum(m.size for m in matcher.get_matching_blocks())
+        if self.name == other.name or same < ALIKE * max(len(self.words), len(other.words)):
+            return
+        for kind, a, b, c, d in matcher.get_opcodes():
+            if kind == "equal":
+                continue
+            if a == b == len(self.words):
+                self.goes_on.add(other.words[c])
+            if b - a <= self.slack + 1 and d - c <= self.slack + 1:  # longer ones are too many differences anyway
+                self.telling.update(set(range(a, b)) - self.free)
+                self.foreign.update({other.words[i] for i in range(c, d) if i not in other.free} - set(self.words))
+
+
 class Templates:
     def __init__(self):
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.all = []
+        self.all: list[Template] = []
         for name, texts in TEMPLATES.items():
             for text in texts:
+                free = {k for m in re.finditer("<[^>]*>", text) for k in range(len(words(text[: m.start()])), len(words(text[: m.end()])))}
                 own = words(text)
                 known = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.all.append((name, own, zstandard.ZstdCompressor(level=LEVEL, dict_data=known)))
+                known.precompute_compress(level=LEVEL)
+                self.all.append(Template(name, own, free, zstandard.ZstdCompressor(level=LEVEL, dict_data=known)))
+        for one in self.all:
+            for other in self.all:
+                one.learn_from(other)
+        self.reach = max(len(t.words) + t.shift for t in self.all)
 
-    def ranked(self, block: list[str]) -> list[tuple[float, str, list[str]]]:
-        """Reduction, name and words of each template, the largest reduction in bytes first."""
+    def ranked(self, block: list[str]) -> list[tuple[int, float, Template]]:
+        """Bytes that each template saves, in relation to the block's alone too; the largest reduction first. Those that save nothing are left out, but for those of a FEW words."""
         data = " ".join(block).encode()
         alone = len(self.plain.compress(data))
-        found = [(alone - len(z.compress(data)), name, own) for name, own, z in self.all]
-        return [(gain / alone, name, own) for gain, name, own in sorted(found, key=lambda x: (-x[0], x[1], len(x[2])))]
+        found = [(alone - len(t.compressor.compress(data)), k) for k, t in enumerate(self.all)]
+        return [(gain, gain / alone, self.all[k]) for gain, k in sorted(found, key=lambda x: (-x[0], x[1])) if gain > 0 or len(self.all[k].words) <= FEW]
 
 
 @lru_cache(1)
@@ -103,58 +223,102 @@ def templates() -> Templates:
     return Templates()
 
 
-def differences(block: list[str], own: list[str]) -> tuple[int, int, int, int]:
-    """Words of the template that the block lacks, words it has in between, and where the wording begins and ends in it."""
-    core = SequenceMatcher(None, block, own, autojunk=False).find_longest_match()
-    slack = max(2, len(own) // 10)
-    low = max(0, core.a - core.b - slack)
-    part = block[low : core.a - core.b + len(own) + slack]
-    shared = [m for m in SequenceMatcher(None, part, own, autojunk=False).get_matching_blocks() if m.size]
-    if not shared:
-        return len(own), 0, 0, 0
-    same = sum(m.size for m in shared)
-    begin, end = shared[0].a, shared[-1].a + shared[-1].size
-    return len(own) - same, end - begin - same, low + begin, low + end
-
-
-def blocks_of(text: str) -> list[tuple[int, int, str]]:
-    """First and last line with a cue of each candidate block, and its text, with GAP lines more on both sides for wording that goes on."""
-    lines, out = text.split("\n"), []
-    for k, line in enumerate(lines):
-        if re.search(CUES, line):
-            if out and k - out[-1][1] <= GAP + 1:
-                out[-1][1] = k
-            else:
-                out.append([k, k])
-    return [(a, b, "\n".join(lines[max(0, a - GAP) : b + 1 + GAP])) for a, b in out]
-
-
-def licenses_in(block: str) -> list[tuple[str, float, int, int]]:
-    """Name, reduction, and words lacking and added, of each confirmed license; longer wordings go first, and none covers another's words."""
-    own_words, found, taken = words(block), [], set()
-    if not own_words:
-        return []
-    best = templates().ranked(own_words)[:CONFIRMED]
-    for gain, name, own in sorted(best, key=lambda x: -len(x[2])):
-        lacking, added, begin, end = differences(own_words, own)
-        if lacking + added <= DIFFERING * len(own) and not taken.intersection(range(begin, end)):
-            taken.update(range(begin, end))
-            found.append((begin, name, round(gain, 4), lacking, added))
-    return [x[1:] for x in sorted(found)]
+@dataclass
+class Found:
+    name: str
+    reduction: float
+    begin: int
+    end: int
+    same: int
+    lacking: int
+    added: int
+
+
+def places(at: dict[tuple[str, ...], list[int]], t: Template) -> list[tuple[int, int]]:
+    """Where the template may begin, from the first to the last possible word, by its word triples and their offsets in it."""
+    hits = sorted((place - offset, offset) for offset, s in t.seeds for place in at.get(s, ()))
+    out, k = [], 0
+    while k < len(hits):
+        end = k
+        while end + 1 < len(hits) and hits[end + 1][0] - hits[end][0] <= t.shift:
+            end += 1
+        # each differing word spoils SEED triples at most
+        if len({offset for _, offset in hits[k : end + 1]}) >= max(1, len(t.seeds) - SEED * t.slack):
+            out.append((hits[k][0], hits[end][0]))
+        k = end + 1
+    return out
+
+
+def compared(block: list[str], t: Template, low: int, high: int, reduction: float) -> Found | None:
+    """The differences of wording where the template begins between low and high; None if they are too many or touch telling words."""
+    low = max(0, low)
+    part = block[low : high + len(t.words)]
+    changes = [c for c in SequenceMatcher(None, part, t.words, autojunk=False).get_opcodes() if not (c[0] == "delete" and (c[1] == 0 or c[2] == len(part)))]
+    kept = {i for kind, _, _, c, d in changes if kind == "equal" for i in range(c, d)}
+    begin, end = low + changes[0][1], low + changes[-1][2]
+    lacking = added = counted = 0
+    for kind, a, b, c, d in changes:
+        if kind == "equal":
+            continue
+        lacking, added = lacking + d - c, added + b - a
+        if not (c < d and t.free.issuperset(range(c, d)) and b - a <= FILL):
+            counted += d - c + b - a
+            if t.foreign.intersection(part[a:b]):
+                return None
+    if counted > t.slack or not t.telling <= kept or (end < len(block) and block[end] in t.goes_on):
+        return None
+    return Found(t.name, round(reduction, 4), begin, end, len(kept), lacking, added)
+
+
+def licenses_in(block: list[str]) -> list[Found]:
+    """Each confirmed license at each place, in the order of the text; none overlaps another."""
+    at = defaultdict(list)
+    for k in range(1, SEED + 1):
+        for i in range(len(block) - k + 1):
+            at[tuple(block[i : i + k])].append(i)
+    every = [f for _, share, t in templates().ranked(block) for low, high in places(at, t) if (f := compared(block, t, low, high, share))]
+    out: list[Found] = []
+    for f in sorted(every, key=lambda f: (-f.same, f.lacking + f.added, f.name, f.begin)):
+        k = bisect_left(out, f.begin, key=lambda o: o.begin)
+        if (k == 0 or out[k - 1].end <= f.begin) and (k == len(out) or out[k].begin >= f.end):
+            out.insert(k, f)
+    return out
+
+
+def blocks_of(text: str) -> list[tuple[int, int, list[tuple[int, str]]]]:
+    """First and last line with a cue of each candidate block, and its words with the place of each in the text."""
+    every = [(m.start(), m[0].lower()) for m in WORD.finditer(text)]
+    starts, reach, out = [at for at, _ in every], templates().reach, []
+    for cue in CUE.finditer(text):
+        k = bisect_right(starts, cue.start())
+        low, high = max(0, k - 1 - reach), min(len(every), k + reach)
+        if out and low <= out[-1][3]:
+            out[-1][1], out[-1][3] = cue.start(), high
+        else:
+            out.append([cue.start(), cue.start(), low, high])
+    return [(text.count("\n", 0, a), text.count("\n", 0, b), every[low:high]) for a, b, low, high in out]
+
+
+def scan_text(text: str) -> list[tuple[int, int, int, str, float, int | None, int | None]]:
+    """Block, first and last line, license, reduction, words lacking and added, of each license or unknown block of a text."""
+    rows = []
+    for n, (first, last, own) in enumerate(blocks_of(text)):
+        found = licenses_in([w for _, w in own])
+        for f in found:
+            rows.append((n, text.count("\n", 0, own[f.begin][0]), text.count("\n", 0, own[f.end - 1][0]), f.name, f.reduction, f.lacking, f.added))
+        if not found:
+            rows.append((n, first, last, "unknown", 0.0, None, None))
+    return rows
 
 
 SCHEMA = "doc_id long, block int, first_line int, last_line int, license string, reduction double, lacking int, added int, exact boolean"
 
 
 def license_blocks(docs: DataFrame) -> DataFrame:
-    """One row for each license in each candidate block, or one with the license unknown; exact: word for word."""
+    """One row for each license at each place, or one for a block with none, which is unknown; exact: word for word."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for k, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for n, (first, last, block) in enumerate(blocks_of(text)):
-                for name, gain, lacking, added in licenses_in(block) or [("unknown", 0.0, None, None)]:
-                    rows.append((k, n, first, last, name, gain, lacking, added, lacking == 0 and added == 0))
+        rows = [(k, *r, r[-2] == 0 and r[-1] == 0) for k, text in zip(*(c.to_pylist() for c in batch.columns)) for r in scan_text(text)]
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
