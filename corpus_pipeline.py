@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is taken once, and those of small sources again, but none over twice."""
-    return mixing.mix_documents(docs, goal="repetition", limit=2.0, budget=None).select(docs.columns)
+    return mixing.mix_documents(docs, entropy=None, repeats=2.0, budget=None).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
