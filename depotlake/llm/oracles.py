@@ -18,11 +18,13 @@ def found(kind: int, pattern: str, group: int, keep: str) -> str:
 
 SIZES = lambda part: f"COALESCE(list_sum(list_transform({part}, lambda s: length(s))), 0)"
 NAMES = "[" + ", ".join(quoted(k) for k in secrets.KINDS) + "]"
-NEAR = f"((x.s, x.kind, x.e) < (p.s, p.kind, p.e) AND p.s - x.e <= {secrets.SCOPE} OR (x.s, x.kind, x.e) > (p.s, p.kind, p.e) AND x.s - p.e <= {secrets.SCOPE})"
+NEAR = f"(x.e <= p.s AND p.s - x.e <= {secrets.SCOPE} OR x.s >= p.e AND x.s - p.e <= {secrets.SCOPE})"
 SPANS = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
 hits AS ({' UNION ALL '.join([found(0, secrets.ASSIGN, 2, f'length(g[i]) >= {secrets.LEAST}'), found(1, secrets.ACCESS, 0, 'TRUE'), found(2, secrets.HEX, 0, 'TRUE'), found(3, secrets.SECRET, 0, f'length(g[i]) = {secrets.SECRET_LENGTH}'), found(4, secrets.ENDPOINT, 0, 'TRUE')])}),
 p AS (SELECT doc_id, kind, CAST(s AS BIGINT) AS s, CAST(s + length(hits[i]) AS BIGINT) AS e FROM (SELECT *, {SIZES('gaps[1:i]')} + {SIZES('hits[1:i-1]')} AS s FROM hits) h),
-kept AS (SELECT * FROM p WHERE kind <= 2 OR EXISTS (SELECT 1 FROM p x WHERE x.doc_id = p.doc_id AND x.kind = 1 AND {NEAR}) AND (kind = 3 OR EXISTS (SELECT 1 FROM p x WHERE x.doc_id = p.doc_id AND x.kind IN (0, 3) AND {NEAR}))),
+a AS (SELECT * FROM p WHERE kind = 1),
+q AS (SELECT *, EXISTS (SELECT 1 FROM a x WHERE x.doc_id = p.doc_id AND x.s < p.e AND x.e > p.s) AS in_access FROM p),
+kept AS (SELECT * FROM q p WHERE kind <= 2 OR NOT in_access AND EXISTS (SELECT 1 FROM a x WHERE x.doc_id = p.doc_id AND {NEAR}) AND (kind = 3 OR EXISTS (SELECT 1 FROM q x WHERE x.doc_id = p.doc_id AND x.kind IN (0, 3) AND NOT x.in_access AND {NEAR}))),
 named AS (SELECT *, ({NAMES})[kind + 1] || ':' || s || ':' || e AS name FROM kept)
 SELECT d.doc_id, COUNT(CASE WHEN kind = 0 THEN 1 END) AS n_assign, COUNT(CASE WHEN kind = 1 THEN 1 END) AS n_access, COUNT(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
 sha256(COALESCE(string_agg(CASE WHEN kind <= 2 THEN name END, ',' ORDER BY s, kind), '')) AS base_sha256, COALESCE(string_agg(name, ',' ORDER BY s, kind), '') AS spans, COUNT(CASE WHEN kind > 2 THEN 1 END) AS n_linked

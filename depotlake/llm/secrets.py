@@ -2,9 +2,11 @@
 
 Base kinds are assign, access and hex. Weak kinds are reported only next to what completes them: a ``secret`` (a lone run of
 40 base-64 characters) within SCOPE characters of an access identifier, and an ``endpoint`` (a URL) within SCOPE of both an
-access identifier and a secret (a weak one or an assigned one). The join is an interval join by sorting: windows over a
-text's parts in order of position give each part the nearest access identifier and secret on either side, so many parts in
-one text cost no pairs. Only texts with an access identifier and a weak part go through it.
+access identifier and a secret (a weak one or an assigned one). What overlaps an access identifier, as a longer run of which
+that is the first half does, is neither its complement nor a secret. The join is an interval join by sorting: each part is
+two events, its start and its end, and windows over a text's events in order of position count the access identifiers that
+end within SCOPE before a start, and begin within SCOPE after an end, so many parts in one text cost no pairs. Only texts with
+an access identifier and a weak part go through it; all others are searched once and never shuffled.
 
 Spans are code points, end exclusive. Null texts count as empty; a text without findings gives empty span lists; equal texts
 have equal spans, so repeated rows and ids are all right; an empty table gives an empty result; extra columns are kept by
@@ -58,23 +60,31 @@ def can_link() -> Column:
     return F.exists("base", lambda s: s["kind"] == KINDS.index("access")) & (F.size("weak") > 0)
 
 
+def near(parts: DataFrame, wanted: Column, scope: int, name: str) -> DataFrame:
+    """parts with two more columns: whether one of the wanted parts is within scope before or after (near_<name>), and whether one overlaps (in_<name>, which a wanted part does itself)."""
+    own = ["text_key", "start", "kind", "end"]
+    events = parts.select(*parts.columns, wanted.alias("wanted"), F.inline(F.array(*[F.struct(F.col(c).alias("pos"), F.lit(c == "start").alias("opens")) for c in ("start", "end")])))
+    order = Window.partitionBy("text_key").orderBy("pos")
+    ends, begins = F.count_if(F.col("wanted") & ~F.col("opens")), F.count_if(F.col("wanted") & F.col("opens"))
+    events = events.select(
+        "*",
+        F.when(F.col("opens"), ends.over(order.rangeBetween(-scope, 0))).otherwise(begins.over(order.rangeBetween(0, scope))).alias("close"),
+        # opened before a part's end, less closed up to its start
+        F.when(F.col("opens"), -ends.over(order.rangeBetween(Window.unboundedPreceding, 0))).otherwise(begins.over(order.rangeBetween(Window.unboundedPreceding, -1))).alias("over"),
+    )
+    rest = [F.first(c).alias(c) for c in parts.columns if c not in own]
+    return events.groupBy(*own).agg(*rest, (F.max("close") > 0).alias(f"near_{name}"), (F.sum("over") > 0).alias(f"in_{name}"))
+
+
 def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """text_key and its reported weak spans, for texts that have any. found: text_key, base, weak."""
     once = found.where(can_link()).groupBy("text_key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))  # copies of a text meet before the shuffle
-    parts = once.select("text_key", F.inline(F.concat("base", "weak")))
     kind = F.col("kind")
     is_access = kind == KINDS.index("access")
-    is_secret = kind.isin(KINDS.index("assign"), KINDS.index("secret"))
-    order = Window.partitionBy("text_key").orderBy("start", "kind", "end")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(condition: Column) -> Column:
-        before = F.col("start") - F.max(F.when(condition, F.col("end"))).over(earlier) <= scope
-        after = F.min(F.when(condition, F.col("start"))).over(later) - F.col("end") <= scope
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
-    joined = parts.select("*", near(is_access).alias("by_access"), near(is_secret).alias("by_secret"))
-    reported = joined.where("by_access").where((kind == KINDS.index("secret")) | ((kind == KINDS.index("endpoint")) & F.col("by_secret")))
+    parts = near(once.select("text_key", F.inline(F.concat("base", "weak"))), is_access, scope, "access")
+    is_secret = kind.isin(KINDS.index("assign"), KINDS.index("secret")) & ~F.col("in_access")
+    parts = near(parts, is_secret, scope, "secret").where(F.col("near_access") & ~F.col("in_access"))
+    reported = parts.where((kind == KINDS.index("secret")) | ((kind == KINDS.index("endpoint")) & F.col("near_secret")))
     return reported.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("linked"))
 
 
@@ -89,16 +99,19 @@ def joined_names(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with base and spans, both lists of (start, kind, end). Rows with the parts of a multipart credential are joined; others pass by."""
+    """docs with base and spans, both lists of (start, kind, end). Rows with an access identifier are joined with their text's links; others pass by."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base, weak = parts_of(text)
-    found = docs.withColumns({"base": base, "weak": weak})
+    has_access = F.coalesce(F.col("text").rlike(ACCESS), F.lit(False))
+    others = docs.where(~has_access).withColumn("base", base).withColumn("spans", F.col("base"))
+    found = docs.where(has_access).withColumns({"base": base, "weak": weak})
     # what can't link gets a key of its own that matches nothing, so that a common text is dealt out evenly
     alone = F.struct(F.xxhash64(F.col("doc_id"), text).alias("a"), F.lit(-1).cast("long").alias("b"))
     found = found.withColumn("text_key", F.when(can_link(), text_key(text)).otherwise(alone))
     linked = linked_parts(found.select("text_key", "base", "weak"))
     spans = F.when(F.col("linked").isNotNull(), F.array_sort(F.concat("base", "linked"))).otherwise(F.col("base"))
-    return found.join(linked, "text_key", "left").withColumn("spans", spans).drop("weak", "linked", "text_key")
+    found = found.join(linked, "text_key", "left").withColumn("spans", spans).drop("weak", "linked", "text_key")
+    return others.unionByName(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:

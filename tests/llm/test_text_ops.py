@@ -8,6 +8,7 @@ import re
 import textwrap
 from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -112,15 +113,56 @@ TEXTS = [
 ]
 
 
+def brute_links(text, scope=secrets.SCOPE):
+    """Weak spans by comparing all pairs of parts."""
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/]+", text) if len(m[0]) == 40] + [(m.start(), 4, m.end()) for m in re.finditer(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", text)]
+    parts = brute_spans(text) + weak
+    overlap = lambda p, x: x[0] < p[2] and x[2] > p[0]
+    close = lambda p, x: not overlap(p, x) and max(p[0] - x[2], x[0] - p[2]) <= scope
+    access = [p for p in parts if p[1] == 1]
+    secret = [p for p in parts if p[1] in (0, 3) and not any(overlap(p, x) for x in access)]
+    linked = [p for p in weak if not any(overlap(p, x) for x in access) and any(close(p, x) for x in access)]
+    return sorted(p for p in linked if p[1] == 3 or any(close(p, x) for x in secret))
+
+
 def test_secret_spans(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    for r in secrets.scan(df).collect():
-        base = brute_spans(TEXTS[r.doc_id] or "")
-        names = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
-        assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest(), TEXTS[r.doc_id]
+    rng = random.Random(4)
+    bits = [KEY, SECRET, "https://s3.example.com/b", "token=abcdefgh", f"{KEY}QRSTUVWXYZ0123456789", f"secret={KEY}", "x " * 60, "pq " * 70, "é😀", f"url=http://h:80/{SECRET}"]
+    planted = [" ".join(rng.choice(bits) for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    texts = [*TEXTS, f"{KEY}QRSTUVWXYZ0123456789", f"{KEY}QRSTUVWXYZ0123456789 https://x.example.com", f"token={KEY} https://x.example.com", *planted, f"{KEY} {SECRET} " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")
+    rows = secrets.scan(df).collect()
+    assert len(rows) == 2 * len(texts)
+    names = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    want = {}
+    for r in rows:
+        if r.doc_id not in want:
+            base = brute_spans(texts[r.doc_id] or "")
+            links = brute_links(texts[r.doc_id]) if texts[r.doc_id] and r.doc_id < len(texts) - 1 else None
+            want[r.doc_id] = base, links
+        base, links = want[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(names(base).encode()).hexdigest(), texts[r.doc_id]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
-    linked = {r.doc_id: r.spans for r in secrets.scan(df).collect() if r.n_linked}
-    assert set(linked) == {0} and f"secret:25:65" in linked[0] and "endpoint:66:" in linked[0]
+        if links is not None:
+            assert r.spans == names(sorted(base + links)) and r.n_linked == len(links), texts[r.doc_id]
+    # counted by hand: a pair with an endpoint, no link of an identifier with itself, and 2000 pairs in one text
+    by = {r.doc_id: r for r in rows}
+    n = len(TEXTS)
+    assert by[0].spans == "access:2:22,secret:25:65,endpoint:66:88" and [by[n + k].n_linked for k in range(3)] == [0, 0, 0] and by[len(texts) - 1].n_linked == 2000
+    assert sum(by[k].n_linked > 0 for k in range(n)) == 1 and sum(len(x or []) for _, x in want.values()) > 60
+
+
+def test_secrets_against_sql_on_planted_parts(spark):
+    from depotlake.llm.oracles import SPANS
+
+    texts = [f"{KEY} {SECRET} https://a.b", f"{KEY}QRSTUVWXYZ0123456789 https://a.b", f"secret={KEY} http://a.b", f"token=abcdefgh https://a.b:80/x {KEY}", "plain", None]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    cursor = c.execute(SPANS)
+    names = [d[0] for d in cursor.description]
+    ours = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(repr, (tuple(r) for r in ours.select(names).collect()))) == sorted(map(repr, cursor.fetchall()))
 
 
 def test_redaction_keeps_columns_and_clean_rows(odd, empty, spark):
