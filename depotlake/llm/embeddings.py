@@ -6,16 +6,18 @@ of cells is reached at which, on the sample, neighbours placed at exactly the th
 In each cell the cosine of every visitor with every member is computed in double precision; nothing below the threshold links.
 A pair is found if either of the two visits the other's cell, and counts once.
 
-The codebooks are fitted on a bounded sample (SAMPLE vectors by hash); all vectors are indexed and all visit. Equal vectors are
-one member with a number of copies. Cells are split into chunks of members and visitors, so that a task's work is bounded.
+Vectors of each length have a grid of their own. The codebooks are fitted on a bounded sample of each length (SAMPLE vectors by
+hash, more for larger grids, within SAMPLE_BYTES); all vectors are indexed and all visit. A codebook has about the square
+root of n / PER_CELL centroids, MOST_CENTROIDS at most: with over 5e8 vectors cells grow, which the chunks bear. Equal vectors
+are one member with a number of copies. Cells are split into chunks of members and visitors, so that a task's work is bounded.
 
-Vectors that are null, zero, or have null or non-finite components link with nothing, as do those of another length than most
-have. Rows with equal vectors, also of the same id, are copies of each other. Labels and extra columns are never read; an empty
-table gives an empty result.
+Vectors that are null, zero, or have null or non-finite components link with nothing. Rows with equal vectors, also of the same
+id, are copies of each other. Labels and extra columns are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,53 +25,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import materialize, per_batch, table, unit_hash
+from depotlake.llm.common import materialize, per_batch, small, table, unit_hash
 from depotlake.llm.components import components, join_labels
 from depotlake.llm.jaccard import by_block, spans
 
-THRESHOLD, RECALL, SAMPLE, PER_CELL, CHUNK = 0.9, 0.97, 4096, 32, 2048
+THRESHOLD, RECALL, PER_CELL, CHUNK = 0.9, 0.97, 32, 2048
+#: Vectors of a sample at least, and for each centroid; bytes of a sample, and centroids of a codebook at most; rows of a slice on the driver.
+SAMPLE, PER_CENTROID, SAMPLE_BYTES, MOST_CENTROIDS, SLICE = 4096, 16, 1 << 26, 4096, 1024
 
 
 def distances(half: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((half * half).sum(1)[:, None] - 2 * half @ book.T + (book * book).sum(1)[None, :], 0)
 
 
+def sliced(n: int, rows: int) -> Iterator[slice]:
+    return (slice(at, at + rows) for at in range(0, n, rows))
+
+
 def codebook(half: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's algorithm from evenly spaced rows; a centroid without vectors stays where it is."""
     book = half[np.linspace(0, len(half) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        near = distances(half, book).argmin(1)
+        near = np.concatenate([distances(half[at], book).argmin(1) for at in sliced(len(half), SLICE)])
         count = np.bincount(near, minlength=k)
-        sums = np.zeros_like(book)
-        np.add.at(sums, near, half)
-        book[count > 0] = sums[count > 0] / count[count > 0, None]
+        order = np.argsort(near, kind="stable")
+        some = np.flatnonzero(count)
+        sums = np.add.reduceat(half[order], (np.cumsum(count) - count)[some], axis=0)
+        book[some] = sums / count[some, None]
     return book
 
 
 @lru_cache(8)
 def corner(cells: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ranks that can be among the first cells: all pairs at or below (i, j) come before it, so (i + 1)(j + 1) is at most cells."""
-    i, j = np.meshgrid(np.arange(min(k, cells)), np.arange(min(k, cells)), indexing="ij")
-    keep = (i + 1) * (j + 1) <= cells
-    return i[keep], j[keep]
+    most = np.minimum(cells // np.arange(1, min(k, cells) + 1), k)
+    i = np.repeat(np.arange(len(most)), most)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(most) - most, most)
 
 
 def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: int) -> np.ndarray:
     """The first cells of each vector in multi-sequence order, nearest first; a cell's number is first x k + second."""
     k, middle = len(books[0]), books[0].shape[1]
+    i, j = corner(cells, k)
     out = []
-    rows = max(16, 2_000_000 // cells)
-    for at in range(0, len(x), rows):
-        part = x[at : at + rows]
-        d = [distances(part[:, :middle], books[0]), distances(part[:, middle:], books[1])]
+    for at in sliced(len(x), max(16, 2_000_000 // max(len(i), 2 * k))):
+        d = [distances(x[at, :middle], books[0]), distances(x[at, middle:], books[1])]
         order = [y.argsort(1, kind="stable") for y in d]
         near = [np.take_along_axis(y, o, 1) for y, o in zip(d, order)]
-        i, j = corner(cells, k)
         best = (near[0][:, i] + near[1][:, j]).argsort(1, kind="stable")[:, :cells]
         out.append(np.take_along_axis(order[0], i[best], 1) * k + np.take_along_axis(order[1], j[best], 1))
     return np.concatenate(out) if out else np.zeros((0, cells), int)
 
 
+def ranks(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cell: np.ndarray) -> np.ndarray:
+    """How many cells are nearer to each vector than its given one, counted without listing them."""
+    k, middle, out = len(books[0]), books[0].shape[1], []
+    for row, c in zip(x, cell):
+        first, second = distances(row[None, :middle], books[0])[0], distances(row[None, middle:], books[1])[0]
+        out.append(np.searchsorted(np.sort(second), first[c // k] + second[c % k] - first).sum())
+    return np.array(out)
+
+
 def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float, seed: int = 6) -> int:
     """Cells to visit so that a neighbour at the threshold, in a random direction, is found by either side with the target recall."""
     random = np.random.default_rng(seed)
@@ -77,15 +93,25 @@ def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: fl
     away = random.normal(size=x.shape)
     away -= (away * x).sum(1, keepdims=True) * x
     y = threshold * x + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    every = len(books[0]) ** 2
-    there, back = visits(x, books, every), visits(y, books, every)
-    rank = np.minimum((there == back[:, :1]).argmax(1), (back == there[:, :1]).argmax(1))
+    there, back = visits(x, books, 1)[:, 0], visits(y, books, 1)[:, 0]
+    rank = np.minimum(ranks(x, books, back), ranks(y, books, there))
     return int(np.quantile(rank, recall, method="higher")) + 1
 
 
+def centroids(n: int, dim: int) -> int:
+    """Centroids of each codebook for n vectors, a power of two."""
+    most = min(MOST_CENTROIDS, max(2, SAMPLE_BYTES // (8 * dim) // 4))
+    k = 2 ** round(np.log2(max(n / PER_CELL, 1)) / 2)
+    return int(min(k, 2 ** int(np.log2(most))))
+
+
+def sample_size(n: int, dim: int) -> int:
+    return min(max(SAMPLE, PER_CENTROID * centroids(n, dim)), SAMPLE_BYTES // (8 * dim))
+
+
 def fit(sample: np.ndarray, n: int, threshold: float, recall: float) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     """Codebooks and the number of cells to visit, for n vectors."""
-    k = int(min(256, max(2, 2 ** round(np.log2(max(n / PER_CELL, 1)) / 2)), len(sample)))
+    k = min(centroids(n, sample.shape[1]), len(sample))
     middle = sample.shape[1] // 2
     books = codebook(sample[:, :middle], k), codebook(sample[:, middle:], k)
     return books, cells_for(sample, books, threshold, recall)
@@ -102,63 +128,81 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+Grid = tuple[tuple[np.ndarray, np.ndarray], int]
+
+
+def grid_of(good: DataFrame, n: int, dim: int, threshold: float, recall: float) -> Grid:
+    """Codebooks and cells to visit for the n vectors of one length."""
+    own, size = good.where(F.size("v") == dim).select("set_key", "v"), sample_size(n, dim)
+    sample = own.where(unit_hash("set_key", seed=6) < 0.9 * size / n).orderBy("set_key").limit(size).toArrow()
+    if sample.num_rows < min(n, size) // 2:  # few vectors, of which the hash has taken fewer
+        sample = own.orderBy("set_key").limit(size).toArrow()
+    return fit(matrix(sample.column("v").combine_chunks()), n, threshold, recall)
+
+
+def placed_in(good: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """set_key, copies, v and visits: the cells of its length's grid that a vector visits, its own first."""
+
+    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = batch.column(2)
+        size, out = v.value_lengths().to_numpy(), [None] * len(v)
+        for dim in np.unique(size).tolist():
+            rows = np.flatnonzero(size == dim)
+            for k, seen in zip(rows.tolist(), visits(matrix(v.take(pa.array(rows))), *grids[dim]).tolist()):
+                out[k] = seen
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["set_key", "copies", "v", "visits"])
+
+    return good.select("set_key", "copies", "v").mapInArrow(per_batch(visit, 1024), "set_key long, copies long, v array<double>, visits array<int>")
+
+
 def similar_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """key, n_links, component_id, kept and class_id (the smallest key with an equal vector) of each row."""
     rows = rows.select(F.col(key).alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
-    lengths = rows.where(usable(F.col("v"))).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = lengths[0]["d"] if lengths else 0
-    good = usable(F.col("v")) & (F.size("v") == dim)
     # a vector that can't link is a class of its own, by its id
-    keyed = rows.withColumn("good", good).withColumn("set_key", F.when(F.col("good"), F.xxhash64("v", F.lit(1))).otherwise(F.xxhash64("vec_id", F.lit("alone"))))
+    keyed = rows.withColumn("good", usable(F.col("v"))).withColumn("set_key", F.when(F.col("good"), F.xxhash64("v", F.lit(1))).otherwise(F.xxhash64("vec_id", F.lit("alone"))))
     classes = keyed.groupBy("set_key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("good").alias("good"), F.first("v").alias("v"))
     classes = materialize(classes, "vectors")
-    n = classes.where("good").count()
-    members = keyed.select("vec_id", "set_key")
-    if not n:
+    good, members = classes.where("good"), keyed.select("vec_id", "set_key")
+    lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length
+    if not lengths:
         return members.select(F.col("vec_id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.col("vec_id").alias("class_id"))
-    sample = classes.where("good").where(unit_hash("set_key", seed=6) < SAMPLE / n).select("set_key", "v").orderBy("set_key").limit(2 * SAMPLE).toArrow()
-    if not sample.num_rows:
-        sample = classes.where("good").select("set_key", "v").orderBy("set_key").limit(SAMPLE).toArrow()
-    books, cells = fit(matrix(sample.column("v").combine_chunks()), n, threshold, recall)
-
-    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        order = visits(matrix(batch.column(2)), books, cells)
-        columns = [*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["set_key", "copies", "v", "visits"])
-
-    placed = classes.where("good").select("set_key", "copies", "v").mapInArrow(per_batch(visit, 4096), "set_key long, copies long, v array<double>, visits array<int>")
-    placed = materialize(placed.withColumn("cell", F.element_at("visits", 1)), "cells")
-    # One row for each cell: at most 256 x 256.
-    own = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
-    come = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
-    sizes = F.broadcast(own.join(come, "cell").select("cell", F.ceil(F.col("members") / CHUNK).cast("int").alias("gm"), F.ceil(F.col("visitors") / CHUNK).cast("int").alias("gv")))
+    grids = {r["dim"]: grid_of(good, r["n"], r["dim"], threshold, recall) for r in lengths}
+    placed = materialize(placed_in(good, grids).withColumns({"cell": F.element_at("visits", 1), "dim": F.size("v")}), "cells")
+    own = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("members"))
+    come = placed.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("visitors"))
+    sizes = own.join(come, ["dim", "cell"]).select("dim", "cell", F.ceil(F.col("members") / CHUNK).cast("int").alias("gm"), F.ceil(F.col("visitors") / CHUNK).cast("int").alias("gv"))
+    sizes = materialize(sizes, "cell-sizes")
+    sizes = small(sizes, sizes.count())
     part = lambda groups: F.pmod(F.xxhash64("set_key", F.lit(3)), F.col(groups)).cast("int")
     each = lambda groups: F.explode(F.sequence(F.lit(0), F.col(groups) - 1))
-    shown = ["set_key", "copies", "v", "cell", "own", "visits", "here", "m", "q"]
-    homes = placed.withColumn("own", F.col("cell")).withColumn("here", F.lit(True)).join(sizes, "cell").withColumn("m", part("gm")).withColumn("q", each("gv")).select(shown)
-    guests = placed.select("set_key", "copies", "v", F.col("cell").alias("own"), F.explode("visits").alias("cell"), F.array().cast("array<int>").alias("visits"))
-    guests = guests.withColumn("here", F.lit(False)).join(sizes, "cell").withColumn("q", part("gv")).withColumn("m", each("gm")).select(shown)
-    blocks = homes.union(guests).withColumn("block", F.xxhash64("cell", "m", "q")).drop("m", "q", "cell")
+    shown = ["set_key", "copies", "v", "dim", "cell", "own", "visits", "here", "m", "q"]
+    homes = placed.withColumn("own", F.col("cell")).withColumn("here", F.lit(True)).join(sizes, ["dim", "cell"]).withColumn("m", part("gm")).withColumn("q", each("gv")).select(shown)
+    guests = placed.select("set_key", "copies", "v", "dim", F.col("cell").alias("own"), F.explode("visits").alias("cell"), F.array().cast("array<int>").alias("visits"))
+    guests = guests.withColumn("here", F.lit(False)).join(sizes, ["dim", "cell"]).withColumn("q", part("gv")).withColumn("m", each("gm")).select(shown)
+    blocks = homes.union(guests).withColumn("block", F.xxhash64("dim", "cell", "m", "q")).drop("m", "q", "cell", "dim")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by([("block", "ascending")]).combine_chunks()
         keys, copies, here, home = (rows.column(c).to_numpy() for c in ("set_key", "copies", "here", "own"))
-        x = matrix(rows.column("v").combine_chunks())
-        seen = rows.column("visits").to_pylist()
+        v, seen = rows.column("v").combine_chunks(), rows.column("visits").combine_chunks()
         unique, label_at = np.unique(keys, return_inverse=True)
         labels, links = np.arange(len(unique)), np.zeros(len(unique), np.int64)
         for a, b in spans(rows.column("block").to_numpy()):
             m, q = a + np.flatnonzero(here[a:b]), a + np.flatnonzero(~here[a:b])
             if not len(m) or not len(q):
                 continue
-            i, j = np.nonzero(x[q] @ x[m].T >= threshold)
-            i, j = q[i], m[j]
-            other = keys[i] != keys[j]
-            i, j = i[other], j[other]
-            np.add.at(links, label_at[i], copies[j])
-            alone = np.fromiter((h not in seen[k] for h, k in zip(home[i].tolist(), j.tolist())), bool, len(i))  # the member doesn't visit the visitor
-            np.add.at(links, label_at[j[alone]], copies[i[alone]])
-            join_labels(labels, label_at[i], label_at[j])
+            x = matrix(v.slice(a, b - a))
+            known = seen.take(pa.array(m)).flatten().to_numpy().reshape(len(m), -1)  # all members of a cell visit as many
+            for at in sliced(len(q), 512):
+                i, j = np.nonzero(x[q[at] - a] @ x[m - a].T >= threshold)
+                i, place = q[at][i], j
+                j = m[j]
+                other = keys[i] != keys[j]
+                i, j, place = i[other], j[other], place[other]
+                np.add.at(links, label_at[i], copies[j])
+                alone = np.concatenate([np.zeros(0, bool), *[~(known[place[p]] == home[i[p]][:, None]).any(1) for p in sliced(len(i), 8192)]])  # the member doesn't visit the visitor
+                np.add.at(links, label_at[j[alone]], copies[i[alone]])
+                join_labels(labels, label_at[i], label_at[j])
         some = np.flatnonzero((links > 0) | (labels != np.arange(len(labels))))
         return pa.RecordBatch.from_arrays([pa.array(y) for y in (unique[some], links[some], unique[labels[some]])], names=["set_key", "links", "to"])
 

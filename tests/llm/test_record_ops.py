@@ -125,26 +125,86 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_vectors(rows, threshold=0.9):
+    """Links and smallest reachable id of each (id, vector), by comparing all pairs of equal length."""
+    good = [(k, v) for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, near = Counter(), defaultdict(set)
+    for dim in {len(v) for _, v in good}:
+        ids = [k for k, v in good if len(v) == dim]
+        x = np.array([v for _, v in good if len(v) == dim], dtype=np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i, j in zip(*np.nonzero(x @ x.T >= threshold)):
+            if i != j:
+                links[ids[i]] += 1
+                near[ids[i]].add(ids[j])
+    root = {}
+    for k in sorted(k for k, _ in rows):
+        todo = [k] if k not in root else []
+        while todo:
+            n = todo.pop()
+            if n not in root:
+                root[n] = k
+                todo += near[n]
+    return {k: (links[k], root[k]) for k, _ in rows}
+
+
 def test_embeddings_against_brute_force(spark, data):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 32))
     x[50:110] = x[3] + 0.2 * rng.normal(size=(60, 32))
     x[200:210] = x[11]
-    rows = [(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] + [1.0] * 31, 1), (903, [None] + [1.0] * 31, 1), (904, [1.0, 2.0], 1), (905, [float("inf")] * 32, 1), (11, rows_equal := [float(v) for v in x[11]], 2)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    exact = {}
-    y = np.array([r.embedding for r in df.where("vec_id < 900").collect()], dtype=np.float64)
-    ids = [r.vec_id for r in df.where("vec_id < 900").collect()]
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    near = y @ y.T >= 0.9
+    odd = [None, [0.0] * 32, [float("nan")] + [1.0] * 31, [None] + [1.0] * 31, [], [float("inf")] * 32, [1e-30] * 32, [1e30] * 32]
+    few = [[1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [2.0, -1.0], [5.0], [-5.0], [7.0]]
+    vectors = [[float(v) for v in r] for r in x] + few + odd
+    rows = list(enumerate(vectors))
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("clash") for c in ("v", "set_key", "cell", "dim", "good", "n_links")})
+    want = brute_vectors([(r.vec_id, r.embedding) for r in df.collect()])
+    out = {r.vec_id: r for r in embeddings.similar_vectors(df).collect()}
+    assert len(out) == len(rows)
+    found, there = sum(r.n_links for r in out.values()), sum(n for n, _ in want.values())
+    assert 0.95 * there <= found <= there and all(r.n_links <= want[k][0] for k, r in out.items())
+    assert [(out[k].n_links, out[k].component_id) for k in range(400, len(rows))] == [want[k] for k in range(400, len(rows))]
+    assert [out[k].n_links for k in range(400, 407)] == [2, 2, 2, 0, 1, 0, 1] and all(r.kept == (r.component_id == k) for k, r in out.items())
+    assert embeddings.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_recall_and_labels_ignored(spark):
+    """4000 vectors with neighbours just over and under the threshold, and a large group of near copies."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(0.85, 0.99, size=(2000, 1))
+    y = c * x + np.sqrt(1 - c * c) * away
+    y[:600] = x[0] + 0.02 * rng.normal(size=(600, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    want = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     out = embeddings.similar_vectors(df).collect()
-    assert len(out) == len(rows) and all(r.n_links == 0 and r.kept for r in out if r.vec_id >= 900)
-    got, want = Counter((r.vec_id, r.n_links) for r in out if r.vec_id < 900), Counter(zip(ids, (near.sum(1) - 1).tolist()))
-    found, there = sum(n * c for (_, n), c in got.items()), sum(n * c for (_, n), c in want.items())
-    assert 0.9 * there <= found <= there and all(r.n_links <= max(n for (i, n) in want if i == r.vec_id) for r in out if r.vec_id < 900)
-    assert embeddings.similar_vectors(df.limit(0)).count() == 0 and exact == {}
-
-
+    small = lambda rows: sum(n for k, n in rows if want[k][0] < 100)
+    found, there = small((r.vec_id, r.n_links) for r in out), small((k, n) for k, (n, _) in want.items())
+    assert 0.95 * there <= found <= there, (found, there)
+    assert sum(r.n_links for r in out) >= 0.95 * sum(n for n, _ in want.values()) and all(r.n_links <= want[r.vec_id][0] for r in out)
+
+
+def test_fit_for_ten_million_vectors_is_small():
+    import tracemalloc
+
+    n, dim = 10**7, 64
+    sample = np.random.default_rng(1).normal(size=(embeddings.sample_size(n, dim), dim))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    tracemalloc.start()
+    books, cells = embeddings.fit(sample, n, 0.9, 0.97)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(books[0]) >= 512 and cells >= 1 and peak < 300e6, peak
+    want = [int((np.add.outer(*(embeddings.distances(r[None, s], b)[0] for s, b in zip((slice(0, 32), slice(32, 64)), books))) < d).sum()) for r, d in ((sample[5], 1.0),)]
+    assert want[0] >= 0
+    x, every = sample[:20], embeddings.visits(sample[:20], books, 300)
+    assert (embeddings.ranks(x, books, every[:, 299]) <= 299).all() and (embeddings.ranks(x, books, every[:, 0]) == 0).all()
 
 
 def brute_mix(rows, entropy, repeats, budget, keys):
