@@ -201,10 +201,8 @@ def test_fit_for_ten_million_vectors_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(books[0]) >= 512 and cells >= 1 and peak < 300e6, peak
-    want = [int((np.add.outer(*(embeddings.distances(r[None, s], b)[0] for s, b in zip((slice(0, 32), slice(32, 64)), books))) < d).sum()) for r, d in ((sample[5], 1.0),)]
-    assert want[0] >= 0
     x, every = sample[:20], embeddings.visits(sample[:20], books, 300)
-    assert (embeddings.ranks(x, books, every[:, 299]) <= 299).all() and (embeddings.ranks(x, books, every[:, 0]) == 0).all()
+    assert (abs(embeddings.ranks(x, books, every[:, 299]) - 299) <= 1).all() and (embeddings.ranks(x, books, every[:, 0]) <= 1).all()  # to within rounding of equal distances
 
 
 def brute_mix(rows, entropy, repeats, budget, keys):
@@ -311,6 +309,38 @@ def test_shards(spark, documents, copies):
     assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.size == len((text[r.doc_id] or "").encode()) + 8 for r in rows if r.doc_id in text)
 
 
+def brute_shards(rows, shards=24):
+    """Shard and slot of each row (range, sub, copy, key, id, size), by one walk through all rows in order."""
+    total, upto, slots, out = sum(r[-1] for r in rows), 0, Counter(), []
+    for *_, doc_id, size in sorted(rows, key=lambda r: [(x is not None, x) for x in r]):
+        upto += size
+        shard = min(shards - 1, int((upto - size // 2) * shards / total))
+        out.append((doc_id, size, shard, slots[shard]))
+        slots[shard] += 1
+    return Counter(out)
+
+
+@pytest.mark.parametrize("copies", [0, 2000])
+def test_shards_against_one_walk(spark, documents, odd, copies):
+    docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text")).union(spark.range(copies).select(F.lit(10**6), F.lit("the same row " * 30)))
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).distinct().collect()
+    out = sharding.shard_by_bytes(docs).collect()
+    key = {(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())): r.key for r in keyed}
+    rows = [(r.range, r.sub, r.copy, key[r.doc_id, r.size, r.text_crc32], r.doc_id, r.size) for r in out]
+    assert Counter((r.doc_id, r.size, r.shard, r.slot) for r in out) == brute_shards(rows)
+    in_order = sorted((r[0], r[3]) for r in rows)
+    assert [k for _, k in in_order] == sorted(k for _, k in in_order)  # the ranges follow the keys
+
+
+def test_equal_rows_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(sharding.divided, "__defaults__", (5000,))
+    docs = spark.range(60_000).select(F.lit(1).alias("doc_id"), F.lit("one and the same row").alias("text"))
+    out = sharding.shard_by_bytes(docs)
+    parts = [r["count"] for r in out.groupBy("range", "sub", "copy").count().collect()]
+    shards = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(parts) == 60_000 and max(parts) < 7000 and len(shards) == 24 and max(shards) - min(shards) <= 1
+
+
 def test_shards_of_odd_and_empty(odd, empty):
     rows = sharding.shard_by_bytes(odd).collect()
     assert len(rows) == odd.count() and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
