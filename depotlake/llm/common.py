@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or the warehouse where it is unset."""
+    """This application's folder for tables between stages, where the driver and all executors see it: below spark.checkpoint.dir, or the warehouse where that is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if not given:
+        given = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and (":" not in given or given.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = given.rstrip("/") + "/_stages"
+    return f"{given.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all tables between stages of this application, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

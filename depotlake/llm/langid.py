@@ -11,6 +11,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -31,8 +32,8 @@ FAMILIES = {
     "romance": ["ca", "es", "fr", "gl", "it", "pt", "ro"],
     "slavic": ["bg", "cs", "hr", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
-#: Length of the hashed feature vector, and documents of each language in the training sample.
-SIZE, PER_LANGUAGE = 2048, 300
+#: Length of the hashed feature vector, documents of each language in the training sample, and machines fitted at a time.
+SIZE, PER_LANGUAGE, FITS = 2048, 300, 4
 
 
 def family_of(lang: str) -> str:
@@ -51,12 +52,13 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = pc.binary_join_element_wise(low, pa.scalar("  ", pa.large_string()), pa.scalar("", pa.large_string()))
     data = letters()[np.frombuffer("".join(low.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8)]
     starts = np.concatenate([[0], np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))])
-    # each text ends with two blanks, and so no feature reaches into the next one
+    # each text ends with two blanks, of which the last begins no feature, and so none reaches into the next text
     blank = data == 0x20
     after, third = np.append(data[1:], 0x20).astype(np.uint32), np.append(data[2:], [0x20, 0x20]).astype(np.uint32)
     pair = (data * np.uint32(0x9E3779B1)) ^ (after * np.uint32(0x85EBCA77))
     triple = (pair * np.uint32(0xC2B2AE3D)) ^ (third * np.uint32(0x27D4EB2F))
     used = np.stack([~blank | (after != 0x20), ~blank & (after != 0x20)])
+    used[:, starts[1:] - 1] = False
     shift = np.uint32(32 - (SIZE // 2).bit_length() + 1)
     spots = np.stack([(pair * np.uint32(0x165667B1)) >> shift, ((triple * np.uint32(0x165667B1)) >> shift) + np.uint32(SIZE // 2)])
     return np.where(used, spots, SIZE).astype(np.int64), starts, used
@@ -125,7 +127,7 @@ def machine(sample: DataFrame, label: Column, first: str, second: str) -> Machin
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """None if there is no document to learn from."""
     # in one ordered partition, so that sums of gradients, and the weights, are the same in each run
-    sample = materialize(sample_of(docs, per_language).orderBy("lang", "doc_id").coalesce(1), "lang-sample").coalesce(1)
+    sample = materialize(sample_of(docs, per_language).repartition(1).sortWithinPartitions("lang", "doc_id"), "lang-sample").coalesce(1)
     langs = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
@@ -134,9 +136,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     family = F.lit(None).cast("string")
     for f in families:
         family = F.when(F.col("lang").isin(own[f]), f).otherwise(family)
-    among = [machine(sample, family, a, b) for a, b in combinations(families, 2)]
-    within = {f: [machine(sample, F.col("lang"), a, b) for a, b in combinations(own[f], 2)] for f in families}
-    return Model(families, own, among, within)
+    duels = [(family, a, b) for a, b in combinations(families, 2)] + [(F.col("lang"), a, b) for f in families for a, b in combinations(own[f], 2)]
+    with ThreadPoolExecutor(FITS) as pool:  # each fit is many short jobs of one task
+        fitted = iter(list(pool.map(lambda duel: machine(sample, *duel), duels)))
+    among = [next(fitted) for _ in combinations(families, 2)]
+    return Model(families, own, among, {f: [next(fitted) for _ in combinations(own[f], 2)] for f in families})
 
 
 def vote(names: list[str], machines: list[Machine], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

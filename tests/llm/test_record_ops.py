@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -48,11 +49,53 @@ def test_ogg_damage_and_packets_across_pages(spark):
     assert media.packets(df).groupBy("doc_id").count().collect()[0]["count"] == 4
 
 
-def test_op3_on_odd_and_empty(odd, empty):
-    rows = media.features(media.store(odd)).collect()
-    assert len(rows) == odd.count() and media.features(media.store(empty)).count() == 0
-    want = Counter((r.doc_id, len((r.text or "").encode()), zlib.crc32(media.padded(r.text)[1][-32:])) for r in odd.collect())
-    assert Counter((r.doc_id, r.n_bytes, r.tail_crc32) for r in rows) == want and all(r.bad_pages == 0 for r in rows)
+def brute_ogg(payload):
+    """The file of a payload, byte by byte: two streams of a header page and pages of whole or split packets in turn, with a bitwise checksum from a table."""
+    table = []
+    for b in range(256):
+        c = b << 24
+        for _ in range(8):
+            c = (c << 1) ^ (0x104C11DB7 if c & 0x80000000 else 0)
+        table.append(c)
+
+    def page(kind, granule, serial, number, lacing, body):
+        head = b"OggS\0" + bytes([kind]) + granule.to_bytes(8, "little", signed=True) + serial.to_bytes(4, "little") + number.to_bytes(4, "little")
+        c = 0
+        for b in head + bytes(4) + bytes([len(lacing)]) + bytes(lacing) + body:
+            c = ((c << 8) & 0xFFFFFFFF) ^ table[(c >> 24) ^ b]
+        return head + c.to_bytes(4, "little") + bytes([len(lacing)]) + bytes(lacing) + body
+
+    heads, rest = [], []
+    for side in (0, 1):
+        serial = (zlib.crc32(payload) + side) % 2**32
+        blocks = [payload[i : i + 576] for i in range(0, len(payload), 576)][side::2]
+        header = b"PCM     " + bytes([0, 0, 0, 0, 0, 0, 0, 1]) + (8000).to_bytes(4, "big") + bytes([8, 1]) + (576).to_bytes(2, "big") + bytes(4)
+        heads.append(page(2 if blocks else 6, 0, serial, 0, [28], header))
+        # a packet of 576 bytes has lacing values 255, 255, 66, so that a page ends with every 85th packet
+        own = [blocks[i : i + 85] for i in range(0, len(blocks), 85)]
+        rest.append([page(4 if k == len(own) - 1 else 0, (85 * k + len(part)) * 576, serial, k + 1, [255, 255, 66] * len(part), b"".join(part)) for k, part in enumerate(own)])
+    return b"".join(heads) + b"".join(p[k] for k in range(max(map(len, rest))) for p in rest if k < len(p))
+
+
+def brute_media(text):
+    data = (text or "").encode()
+    payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+    file = brute_ogg(payload)
+    blocks, loud = len(payload) // 576, [b - 128 for b in payload]
+    seconds, last = blocks * 576 / 8000, ((blocks + 1) // 2 - 1) * 576 / 8000
+    feature = f"streams=2;packets={blocks};seconds={seconds:.3f};last={last:.3f};mean={sum(loud) / len(loud):.3f};rms={(sum(x * x for x in loud) / len(loud)) ** 0.5:.3f}"
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    return len(data), len(payload), digest(payload), zlib.crc32(payload[-32:]), len(file), digest(file), feature
+
+
+def test_op3_against_brute_force(spark, data, documents, odd, empty):
+    assert media.features(media.store(empty)).count() == 0
+    long = spark.createDataFrame([(70, "é€" * 40_000), (71, "x" * 576 * 170), (71, "x" * 576 * 170)], "doc_id long, text string")
+    shown = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    for docs, rows in ((odd, media.features(media.store(odd))), (long, media.features(media.store(long))), (documents, media.op3_ogg_media(spark, data))):
+        rows = rows.collect()
+        assert Counter((r.doc_id, *(r[c] for c in shown)) for r in rows) == Counter((r.doc_id, *brute_media(r.text)) for r in docs.collect())
+        assert all(r.bad_pages == 0 for r in rows)
 
 
 def brute_groups(docs, threshold=0.8):
@@ -99,7 +142,18 @@ def test_jaccard_large_group_in_chunks(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_links, r.component_id) for r in out) == brute_groups(docs.collect())
 
 
-def test_jaccard_odd_and_empty(odd, empty):
+def test_jaccard_chain_of_chunks(spark, monkeypatch):
+    """A long chain is one group, but each class meets only the chunks of its two neighbours."""
+    monkeypatch.setattr(jaccard, "CHUNK_CLASSES", 8)
+    words = [f"w{k}" for k in range(8 * 320 + 100)]
+    docs = spark.createDataFrame([(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(300)], "doc_id long, text string")
+    out = jaccard.similar_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in out) == brute_groups(docs.collect()) and {r.component_id for r in out} == {0}
+    sketched = jaccard.sketches(docs).withColumn("chunk", jaccard.chunk_of(F.lit(38)))
+    assert jaccard.partner_chunks(sketched, 0.8, 1e-6).count() < 5 * 300
+
+
+def test_jaccard_odd_and_empty(spark, odd, empty):
     rows = jaccard.similar_documents(odd).collect()
     assert len(rows) == odd.count() and jaccard.similar_documents(empty).count() == 0
     by = defaultdict(list)
@@ -108,6 +162,15 @@ def test_jaccard_odd_and_empty(odd, empty):
     assert [r.n_links for r in by[4]] == [1, 1] and by[1][0].n_links == by[2][0].n_links == 0 and len(by[5]) == 2
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    # one id for two similar texts, null ids, copies of very long texts, ties of equal similarity
+    base, long = " ".join(f"w{k}" for k in range(60)), "some long text of words " * 30_000
+    rows = [(1, base), (1, base + " more"), (None, base), (None, base), (2, long), (3, long), (4, long + "end"), (4, long + "end"), (9, "alone here"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row_key", "mark_row", "kept", "set_key")})
+    out = jaccard.similar_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_links, r.component_id) for r in out) == brute_groups(docs.collect())
+    kept = jaccard.one_of_each(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) [:3] == [(False, 1, min((base, base + " more"), key=lambda t: kept.where(F.col("text") == t).count() == 0)), (False, 2, long), (False, 9, "alone here")]
+    assert kept.columns == docs.columns and kept.count() == 5
 
 
 def test_least_matches_bound_the_posterior():

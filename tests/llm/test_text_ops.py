@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import duckdb
@@ -87,6 +89,51 @@ def test_language_held_out_accuracy(spark, data):
     assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found) and all(0 <= r.score <= 1 for r in found)
 
 
+def brute_language(text, model):
+    """Language and score of a text, pair by pair and triple by triple."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = [b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in text.lower().encode()] + [0x20, 0x20]
+    spots, mask = Counter(), 2**32 - 1
+    for a, b, c in zip(data, [*data[1:], 0x20], [*data[2:], 0x20, 0x20]):
+        if a != 0x20 or b != 0x20:
+            pair = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask)
+            spots[(pair * 0x165667B1 & mask) >> 22] += 1
+            if a != 0x20 and b != 0x20:
+                spots[1024 + (((pair * 0xC2B2AE3D & mask) ^ (c * 0x27D4EB2F & mask)) * 0x165667B1 & mask) % 2**32 // 2**22] += 1
+    total = sum(spots.values())
+
+    def winner(names, machines):
+        chance = dict.fromkeys(names, 0.0)
+        for m in machines:
+            margin = sum(100 * n / total * m.weights[k] for k, n in spots.items()) + m.intercept
+            p = 1 / (1 + math.exp(-2 * max(-30, min(30, margin))))
+            chance[m.first] += p
+            chance[m.second] += 1 - p
+        best = max(names, key=lambda x: (chance[x], -names.index(x)))
+        return best, chance[best] / max(len(names) - 1, 1) if machines else 1.0
+
+    family, sure = winner(model.families, model.among_families)
+    lang, share = winner(model.languages[family], model.within[family])
+    return lang, round(share * sure, 6)
+
+
+def test_language_against_brute_force(spark, data, documents, odd):
+    model = langid.train(documents)
+    long = spark.createDataFrame([(77, "le chat est sur la table " * 20_000), (78, "ü" * 300_000)], "doc_id long, text string")
+    for docs in (documents, odd, long):
+        want = Counter((r.doc_id, *brute_language(r.text, model)) for r in docs.select("doc_id", "text").collect())
+        got = Counter((r.doc_id, r.lang_pred, r.score) for r in langid.predict(docs, model).collect())
+        assert sorted((repr(k[0]), k[1]) for k in got.elements()) == sorted((repr(k[0]), k[1]) for k in want.elements())
+        assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got.elements(), key=repr), sorted(want.elements(), key=repr)))
+    again = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in langid.op1_hierarchical_svm(spark, data).collect()}
+    assert all(again[r.doc_id][:2] == (r.lang_pred, r.score) for r in langid.predict(documents, model).collect())
+    assert all(v[2] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, v in again.items())
+    hidden = documents.withColumns({"lang": F.when(langid.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")), "source": F.lit("z")})
+    blind = langid.train(hidden)
+    assert all((a.weights == b.weights).all() for a, b in zip(model.machines(), blind.machines()))
+
+
 def test_language_odd_rows(odd, empty, documents):
     model = langid.train(documents)
     rows = langid.predict(odd, model).collect()
