@@ -9,7 +9,11 @@
    intersections of the sets, which also finds pairs that shared no bucket.
 
 Large buckets and groups are split into chunks, and each task compares two chunks; pairs never become rows: a task returns
-a count of links and one edge for each class. Groups of exact copies of any size are one row from step 1 on.
+a count of links and one edge for each class. A class of a group with many chunks goes only where step 3 has left it a partner
+(a second pass over such groups' buckets finds these chunks), so that a long chain of similar texts costs a few copies of each.
+Groups of exact copies of any size are one row from step 1 on.
+
+Texts of candidates are fetched by a broadcast of their ids while these are few (common.small), else by a shuffled join.
 
 Null, empty and wordless texts have no shingles and link with nothing. Rows with the same id and text count as copies of each
 other; the same id with another text is another row. Extra columns are ignored; an empty table gives an empty result.
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import materialize, per_batch, table
+from depotlake.llm.common import materialize, per_batch, small, table
 from depotlake.llm.components import components, join_labels
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -181,15 +185,22 @@ def by_block(step: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Ite
     return run
 
 
-def in_blocks(rows: DataFrame, group: str, size: F.Column) -> DataFrame:
-    """rows, each in the blocks of its chunk and each chunk of its group, with block, chunk and crossed; size: chunks of the group."""
-    rows = rows.withColumn("chunks", F.greatest(F.lit(1), size).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("set_key", F.lit(2)), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.withColumn("other", other)
+def chunk_of(chunks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("set_key", F.lit(2)), chunks).cast("int")
+
+
+def between(rows: DataFrame, group: str) -> DataFrame:
+    """rows with chunk and other, the chunk that theirs is compared with, get block and crossed."""
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     return rows.withColumn("block", F.xxhash64(group, low, high)).withColumn("crossed", low != high)
 
 
+def in_blocks(rows: DataFrame, group: str, size: F.Column) -> DataFrame:
+    """rows, each in the blocks of its chunk and each chunk of its group, with block, chunk and crossed; size: chunks of the group."""
+    rows = rows.withColumn("chunks", F.greatest(F.lit(1), size).cast("int")).withColumn("chunk", chunk_of(F.col("chunks")))
+    return between(rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), group)
+
+
 def row_key() -> F.Column:
     """Equal for rows of the same id and text."""
     return F.xxhash64("doc_id", "text")
@@ -216,12 +227,17 @@ def sketch_matrix(rows: pa.Table) -> np.ndarray:
 EDGES = "a long, b long"
 
 
-def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges between classes that share a bucket and pass the incremental comparison: a star for each connected part of a bucket."""
+def in_buckets(classes: DataFrame) -> DataFrame:
+    """Rows of classes in the blocks of each bucket that they share with another class."""
     banded = classes.where("n > 0").select("set_key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = banded.join(shared, "bucket").join(classes.select("set_key", "sketch"), "set_key")
-    rows = in_blocks(met, "bucket", F.ceil(F.col("members") / BUCKET_CLASSES)).select("block", "chunk", "crossed", "set_key", "sketch")
+    met = banded.join(shared, "bucket").join(classes.drop("bands", "n"), "set_key")
+    return in_blocks(met.withColumnRenamed("chunk", "own_chunk") if "chunk" in met.columns else met, "bucket", F.ceil(F.col("members") / BUCKET_CLASSES))
+
+
+def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Edges between classes that share a bucket and pass the incremental comparison: a star for each connected part of a bucket."""
+    rows = in_buckets(classes.select("set_key", "n", "bands", "sketch")).select("block", "chunk", "crossed", "set_key", "sketch")
 
     def step(rows: pa.Table) -> pa.RecordBatch | None:
         sketch, keys = sketch_matrix(rows), rows.column("set_key").to_numpy()
@@ -234,6 +250,22 @@ def candidate_edges(classes: DataFrame, threshold: float, tolerance: float) -> D
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(by_block(step), EDGES)
 
 
+def partner_chunks(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """set_key and other: the chunks in which a class has partners that the incremental comparison leaves. classes: set_key, n, bands, sketch and chunk."""
+    rows = in_buckets(classes).select("block", "chunk", "crossed", "set_key", "sketch", "own_chunk")
+
+    def step(rows: pa.Table) -> pa.RecordBatch:
+        sketch, keys, own = sketch_matrix(rows), rows.column("set_key").to_numpy(), rows.column("own_chunk").to_numpy()
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in pairs(*(rows.column(c).to_numpy() for c in ("block", "chunk", "crossed"))):
+            i, j = likely(sketch, i, j, threshold, tolerance)
+            found.append(np.unique(np.concatenate([np.stack([keys[i], own[j]], 1), np.stack([keys[j], own[i]], 1)]), axis=0))
+        every = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1].astype(np.int32))], names=["set_key", "other"])
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(by_block(step), "set_key long, other int").distinct()
+
+
 def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets i and j: exact products of 0/1 matrices for many pairs, sorted merges for few."""
     rows = np.unique(np.concatenate([i, j]))
@@ -262,26 +294,28 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 def verified(grouped: DataFrame, docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """set_key, links (documents of other classes linked, in this block) and to, the smallest class of its connected part of the block.
 
-    grouped: set_key, rep (a document of the class), copies, n and root of the classes in candidate groups.
+    grouped: set_key, doc_id and row_key (of a document of the class), copies, n, root, bands and sketch of the classes in candidate groups.
     """
     sizes = grouped.groupBy("root").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("classes"))
-    wanted = grouped.join(sizes, "root").withColumnRenamed("rep", "doc_id")
-    chunks = F.greatest(F.ceil(F.col("shingles") / CHUNK_SHINGLES), F.ceil(F.col("classes") / CHUNK_CLASSES))
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id", "set_key", "root", "copies", chunks.alias("size")), "doc_id")
+    chunks = F.greatest(F.ceil(F.col("shingles") / CHUNK_SHINGLES), F.ceil(F.col("classes") / CHUNK_CLASSES)).cast("int")
+    wanted = materialize(grouped.join(sizes.select("root", chunks.alias("size")), "root").withColumn("chunk", chunk_of(F.col("size"))), "candidates")
+    texts = docs.select(row_key().alias("row_key"), "text").join(small(wanted.select("row_key", "set_key"), wanted.count()), "row_key")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(batch.column(0))
-        right = [set_key(s) == k for s, k in zip(found, batch.column(1).to_pylist())]  # another text may have the same id
-        data = [pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bytes_of(minhash(s)).tobytes() for s in found], pa.binary())]
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], *data], names=["set_key", "root", "copies", "size", "shingles", "sketch"]).filter(pa.array(right))
+        right = [set_key(s) == k for s, k in zip(found, batch.column(1).to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["set_key", "shingles"]).filter(pa.array(right))
 
-    rows = texts.select("text", "set_key", "root", "copies", "size").mapInArrow(per_batch(sets), "set_key long, root long, copies long, size long, shingles binary, sketch binary")
-    rows = in_blocks(rows, "root", F.col("size")).select("block", "chunk", "crossed", "set_key", "copies", "shingles", "sketch")
+    own = materialize(texts.select("text", "set_key").mapInArrow(per_batch(sets), "set_key long, shingles binary").dropDuplicates(["set_key"]), "shingles")  # repeated rows of a document
+    shown = ["set_key", "root", "chunk", "copies", "sketch"]
+    alone = wanted.where("size = 1").select(*shown, F.lit(0).alias("other"))
+    large = wanted.where("size > 1")
+    spread = large.select(shown).join(partner_chunks(large.select("set_key", "n", "bands", "sketch", "chunk"), threshold, tolerance), "set_key").select(*shown, "other")
+    rows = between(alone.unionByName(spread).join(own, "set_key"), "root").select("block", "chunk", "crossed", "set_key", "copies", "shingles", "sketch")
 
     def step(rows: pa.Table) -> pa.RecordBatch:
         keys, block = rows.column("set_key").to_numpy(), rows.column("block").to_numpy()
         order = np.lexsort([keys, block])
-        order = order[np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (block[order][1:] != block[order][:-1])])]  # repeated rows of a document
         rows = rows.take(pa.array(order))
         keys, copies, sketch = keys[order], rows.column("copies").to_numpy(), sketch_matrix(rows)
         own = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
@@ -308,16 +342,17 @@ def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id (smallest id with the same shingles), n_links (other rows linked directly), component_id (smallest id reachable) and kept."""
+    """doc_id, class_id (smallest id with the same shingles), n_links (other rows linked directly), component_id (smallest id reachable), kept (one row of each component, or rows equal to it) and row_key."""
     docs = docs.select("doc_id", "text")
     sketched = materialize(sketches(docs), "sketches")
-    own = F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.xxhash64("doc_id", F.lit("alone")))  # texts without words don't meet
+    own = F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.xxhash64("row_key", F.lit("alone")))  # texts without words don't meet
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     classes = sketched.withColumn("set_key", own).groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
     )
     classes = materialize(classes, "classes")
     groups = components(candidate_edges(classes, threshold, tolerance))
-    grouped = groups.select(F.col("node").alias("set_key"), "root").join(classes.select("set_key", "rep", "copies", "n"), "set_key")
+    grouped = groups.select(F.col("node").alias("set_key"), "root").join(classes.select("set_key", "rep.row_key", "copies", "n", "bands", "sketch"), "set_key")
     found = materialize(verified(grouped, docs, threshold, tolerance), "links")
     parts = components(found.select(F.col("set_key").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
@@ -325,16 +360,28 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     placed = materialize(placed.withColumn("root", F.coalesce("root", "set_key")), "placed")
     first = placed.where("links is not null").groupBy("root").agg(F.min("rep").alias("first"))
     linked = F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("n_links")
-    of_class = placed.join(first, "root", "left").select("set_key", F.col("rep").alias("class_id"), linked, F.coalesce("first", "rep").alias("component_id"))
+    head = F.coalesce("first", "rep")
+    of_class = placed.join(first, "root", "left").select("set_key", F.col("rep.doc_id").alias("class_id"), linked, head["doc_id"].alias("component_id"), head["row_key"].alias("kept_key"))
     out = sketched.select("doc_id", "row_key", own.alias("set_key")).join(materialize(of_class, "answers"), "set_key")
-    return out.select("doc_id", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+    return out.select("doc_id", "class_id", "n_links", "component_id", (F.col("row_key") == F.col("kept_key")).alias("kept"), "row_key")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that are kept: the smallest id of each group, once."""
-    kept = similar_documents(docs, threshold).where("kept").select(F.col("row_key").alias("kept_row_key"))
+    """The rows of docs, all columns, that are kept: the smallest id of each group, once.
+
+    Rows go by their id and the hash of id and text; rows that repeat another as a whole, id and text, are compared as such.
+    While there are few to remove (common.small) the texts stay where they are.
+    """
+    similar = similar_documents(docs, threshold).select("doc_id", "row_key", "kept")
+    gone = materialize(similar.where(~F.col("kept")).select("doc_id", "row_key").distinct(), "removed")
+    repeated = materialize(similar.where("kept").groupBy("doc_id", "row_key").count().where("count > 1").select("doc_id", "row_key"), "repeated")
     own = docs.columns
-    return docs.withColumn("kept_row_key", row_key()).join(kept.distinct(), "kept_row_key", "left_semi").dropDuplicates(["kept_row_key"]).select(own)
+    keyed = docs.withColumn("mark_row", row_key())
+    same = lambda other: docs["doc_id"].eqNullSafe(other["doc_id"]) & (F.col("mark_row") == other["row_key"])
+    some, many = small(gone, gone.count()), small(repeated, repeated.count())
+    left = keyed.join(some, same(some), "left_anti")
+    once = left.join(many, same(many), "left_anti").select(own)
+    return once.union(left.join(many, same(many), "left_semi").dropDuplicates(["doc_id", "text"]).select(own))
 
 
 def op2_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
