@@ -83,7 +83,10 @@ query("calendar_dim", lambda t: calendar(t.spark, dates=t.lineitem.select(F.to_d
       CASE {' '.join(f"WHEN month(d) IN ({', '.join(map(str, m))}) THEN '{s}'" for s, m in MONTHS.items())} END AS season FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM {{lineitem}}) x""")
 query("join_active_experiment", lambda t: E.active_experiments(Staged(t).orders, t.dim_experiments), "order_id experiment_id",
       f"""SELECT order_id, e.experiment_id FROM {ORDERS} o JOIN {{dim_experiments}} e ON o.order_date >= e.start_date AND (e.end_date IS NULL OR o.order_date <= e.end_date) AND list_contains(list_transform(string_split(e.target_warehouses, ','), lambda s: trim(s)), o.assigned_warehouse_id)""")
-query("experiment_assign", lambda t: E.assign_experiments(Staged(t).orders, t.dim_experiments), None)
+query("experiment_assign", lambda t: E.assign_experiments(Staged(t).orders, t.dim_experiments), None,
+      f"""SELECT CONCAT('A-', experiment_id, '-', order_id) AS assignment_id, experiment_id, order_id, CASE WHEN h // 1000 % 2 = 0 THEN 'Control' ELSE 'Treatment' END AS group_name, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS assigned_at, assigned_warehouse_id AS warehouse_id
+      FROM (SELECT o.*, e.experiment_id AS experiment_id_, CAST('0x' || substr(md5(CONCAT(order_id, '|', e.experiment_id)), 1, 7) AS BIGINT) AS h FROM {ORDERS} o JOIN {{dim_experiments}} e ON o.order_date >= e.start_date AND (e.end_date IS NULL OR o.order_date <= e.end_date)
+      AND list_contains(list_transform(string_split(e.target_warehouses, ','), lambda s: trim(s)), o.assigned_warehouse_id)) x WHERE h % 1000 < 400""".replace("'A-', experiment_id,", "'A-', experiment_id_,").replace("AS assignment_id, experiment_id, order_id", "AS assignment_id, experiment_id_ AS experiment_id, order_id"))
 query("join_supplier_category", lambda t: E.supplier_categories(t.dim_product, t.dim_supplier, F.col("category")).groupBy("product_id").agg(F.count(F.lit(1)).alias("suppliers")), None,
       """SELECT product_id, COUNT(*) AS suppliers FROM {dim_product} p JOIN (SELECT supplier_id, UNNEST(list_transform(string_split(product_categories, ','), lambda s: trim(s))) AS supplied FROM {dim_supplier}) s ON category = supplied GROUP BY 1""")
 query("fk_anti", lambda t: E.orphans(t.fact_order_items, t.fact_orders.where("order_status <> 'Cancelled'"), "order_id"), None,
@@ -126,13 +129,13 @@ for name, kept in {"win_lags_panel": [f"{c}_lag_{k}d" for c in ("closing_stock",
     query(name, lambda t, kept=kept: rounded(P.stockout_features(Staged(t).int_inventory, dates_of(t)), ["snapshot_date", "warehouse_id", "product_id", *kept]), None)
     ORACLES[name] = f"SELECT snapshot_date, warehouse_id, product_id, {', '.join(kept)} FROM ({ORACLES['stockout_features']}) y"
 D = f"(SELECT * FROM {INT_DELIVERIES} x WHERE delivery_status = 'Delivered')"
-query("eta_features", lambda t: rounded(P.eta_features(Staged(t).int_deliveries, dates_of(t)), ["delivery_id", "distance_squared", "distance_log", "vehicle_type_encoded", "driver_hist_speed_kmh", "eta_speed_estimate", "driver_avg_delivery", "warehouse_avg_delivery", "hour", "is_peak_hour", "is_evening", "pickup_wait", "priority_encoded"], 5), None,
+query("eta_features", lambda t: rounded(P.eta_features(Staged(t).int_deliveries, dates_of(t), facts=Staged(t).deliveries), ["delivery_id", "distance_squared", "distance_log", "vehicle_type_encoded", "driver_hist_speed_kmh", "eta_speed_estimate", "driver_avg_delivery", "warehouse_avg_delivery", "hour", "is_peak_hour", "is_evening", "pickup_wait", "priority_encoded"], 5), None,
       f"""SELECT delivery_id, ROUND(km * km, 5) AS distance_squared, ROUND(LN(1 + km), 5) AS distance_log, CAST(CASE vehicle_type WHEN 'Bike' THEN 0 WHEN 'Van' THEN 2 WHEN 'Truck' THEN 3 ELSE 1 END AS BIGINT) AS vehicle_type_encoded, ROUND(LEAST(120, AVG(km) OVER (PARTITION BY driver_id) / (AVG(m) OVER (PARTITION BY driver_id) / 60)), 5) AS driver_hist_speed_kmh,
       ROUND(km / (CAST(estimated_eta_minutes AS DOUBLE) / 60), 5) AS eta_speed_estimate, ROUND(AVG(m) OVER (PARTITION BY driver_id), 5) AS driver_avg_delivery, ROUND(AVG(m) OVER (PARTITION BY warehouse_id), 5) AS warehouse_avg_delivery, h AS hour, CAST(h IN (8, 9, 10, 11, 12, 17, 18, 19) AS BIGINT) AS is_peak_hour, CAST(h >= 18 AS BIGINT) AS is_evening,
       CAST(COALESCE(pickup_wait_minutes, 0) AS DOUBLE) AS pickup_wait, CAST(CASE order_priority WHEN 'Express' THEN 1 WHEN 'Same-Day' THEN 2 ELSE 0 END AS BIGINT) AS priority_encoded FROM (SELECT *, CAST(distance_km AS DOUBLE) AS km, CAST(actual_delivery_minutes AS DOUBLE) AS m, hour(assigned_time) AS h FROM {D} d) e""")
-query("agg_driver_stats", lambda t: rounded(P.eta_features(Staged(t).int_deliveries, dates_of(t)).groupBy("driver_id").agg(F.first("driver_avg_delivery").alias("minutes"), F.first("driver_hist_speed_kmh").alias("speed"), F.count(F.lit(1)).alias("deliveries")), ["driver_id", "minutes", "speed", "deliveries"], 5), None,
+query("agg_driver_stats", lambda t: rounded(P.driver_stats(Staged(t).deliveries), ["driver_id", "minutes", "speed", "deliveries"], 5), None,
       f"SELECT driver_id, ROUND(AVG(CAST(actual_delivery_minutes AS DOUBLE)), 5) AS minutes, ROUND(LEAST(120, AVG(CAST(distance_km AS DOUBLE)) / (AVG(CAST(actual_delivery_minutes AS DOUBLE)) / 60)), 5) AS speed, COUNT(*) AS deliveries FROM {D} d GROUP BY 1")
-query("agg_warehouse_stats", lambda t: rounded(P.eta_features(Staged(t).int_deliveries, dates_of(t)).groupBy("warehouse_id").agg(F.first("warehouse_avg_delivery").alias("minutes"), F.count(F.lit(1)).alias("deliveries")), ["warehouse_id", "minutes", "deliveries"], 5), None,
+query("agg_warehouse_stats", lambda t: rounded(P.warehouse_stats(Staged(t).deliveries), ["warehouse_id", "minutes", "deliveries"], 5), None,
       f"SELECT warehouse_id, ROUND(AVG(CAST(actual_delivery_minutes AS DOUBLE)), 5) AS minutes, COUNT(*) AS deliveries FROM {D} d GROUP BY 1")
 query("temporal_split", lambda t: P.temporal_split(kpis_of(t), "date", date(1998, 6, 30), date(1999, 12, 31)).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stockout_count") > 0).alias("positives")), None,
       f"SELECT CASE WHEN date <= DATE '1998-06-30' THEN 'train' WHEN date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END AS split, COUNT(*) AS n, COUNT(CASE WHEN stockout_count > 0 THEN 1 END) AS positives FROM {PRODUCT_KPIS} k GROUP BY 1")
@@ -144,6 +147,8 @@ query("shipments_in_flight", lambda t: W.in_flight(t.fact_shipments, F.lit(date(
 query("agg_units_ledger", lambda t: W.units_ledger(Staged(t).items, Staged(t).orders, t.fact_shipments), None,
       f"""SELECT {day('date')}, warehouse_id, product_id, {', '.join(f'CAST(SUM({c}) AS BIGINT) AS units_{c}' for c in ('sold', 'received', 'returned'))} FROM (SELECT order_date AS date, assigned_warehouse_id AS warehouse_id, product_id, CASE WHEN order_status IN ('Delivered', 'Shipped', 'Processing') THEN quantity ELSE 0 END AS sold, 0 AS received, CASE WHEN return_flag THEN quantity ELSE 0 END AS returned
       FROM {ITEMS} i JOIN {ORDERS} o ON i.order_id = o.order_id UNION ALL SELECT actual_arrival_date, warehouse_id, product_id, 0, quantity, 0 FROM {{fact_shipments}} WHERE actual_arrival_date IS NOT NULL) x GROUP BY 1, 2, 3""")
-query("ema_demand", lambda t: rounded(W.ema_demand(Staged(t).inventory), ["snapshot_date", "warehouse_id", "product_id", "ema_demand", "ema_days_of_supply"]), None)
+EMA = f"""(SELECT snapshot_date, warehouse_id, product_id, closing_stock, list_reduce(list(CAST(units_sold AS DOUBLE)) OVER (PARTITION BY warehouse_id, product_id ORDER BY snapshot_date), lambda a, x: 0.9E0 * a + 0.1E0 * x) AS e FROM {INVENTORY} i)"""
+query("ema_demand", lambda t: rounded(W.ema_demand(Staged(t).inventory), ["snapshot_date", "warehouse_id", "product_id", "ema_demand", "ema_days_of_supply"]), None,
+      f"SELECT {day('snapshot_date')}, warehouse_id, product_id, ROUND(e, 6) AS ema_demand, ROUND(CASE WHEN e > 0 THEN LEAST(99.99E0, closing_stock / e) ELSE 99.99E0 END, 6) AS ema_days_of_supply FROM {EMA} x")
 query("agg_driver_activity", lambda t: Staged(t).activity.groupBy("driver_id").agg(F.sum("deliveries_completed").alias("deliveries"), half_up(F.sum("total_active_hours"), 2).alias("hours")), None)
 ORACLES["agg_driver_activity"] = f"SELECT driver_id, CAST(SUM(deliveries_completed) AS BIGINT) AS deliveries, ROUND(SUM(total_active_hours), 2) AS hours FROM ({ORACLES['stg_driver_activity']}) a GROUP BY 1"

@@ -91,8 +91,8 @@ def active_experiments(orders: DataFrame, experiments: DataFrame) -> DataFrame:
 
 
 def assign_experiments(orders: DataFrame, experiments: DataFrame, share: float = 0.4) -> DataFrame:
-    """Assignment rows: a share of the eligible orders, by the hash of order and experiment; the group is the next bit of the hash."""
-    h = F.crc32(F.concat_ws("|", "order_id", "experiment_id"))
+    """Assignment rows: a share of the eligible orders, by the hash (28 bits of md5, which any engine has) of order and experiment; the group is the next bit of the hash."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "order_id", "experiment_id")), 1, 7), 16, 10).cast("long")
     return active_experiments(orders, experiments).where(h % 1000 < int(share * 1000)).select(
         F.concat_ws("-", F.lit("A"), "experiment_id", "order_id").alias("assignment_id"), "experiment_id", "order_id",
         F.when(F.floor(h / 1000) % 2 == 0, "Control").otherwise("Treatment").alias("group_name"), F.col("order_timestamp").alias("assigned_at"), F.col("assigned_warehouse_id").alias("warehouse_id"),

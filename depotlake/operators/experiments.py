@@ -67,7 +67,7 @@ def welch(stats: DataFrame, keys: list[str], tests: bool = True) -> DataFrame:
     rows = both.withColumns({"_se": F.when(enough, F.sqrt(vc + vt)), "_diff": F.when(enough, F.col("mean_t") - F.col("mean_c"))})
     rows = rows.withColumns({"_t": F.col("_diff") / F.col("_se"), "_df": F.when(enough, F.pow(vc + vt, F.lit(2.0)) / (vc * vc / (F.col("n_c") - 1) + vt * vt / (F.col("n_t") - 1)))})
     out = {
-        "difference": half_up("_diff", 4), "pct_change": F.when(F.col("mean_c") != 0, half_up(F.col("_diff") / F.abs("mean_c") * 100, 2)), "t_statistic": half_up("_t", 4), "degrees_of_freedom": half_up("_df", 4),
+        "difference": half_up("_diff", 4), "pct_change": F.when(F.col("_diff").isNotNull(), F.when(F.col("mean_c") != 0, half_up(F.col("_diff") / F.col("mean_c") * 100, 2)).otherwise(0.0)), "t_statistic": half_up("_t", 4), "degrees_of_freedom": half_up("_df", 4),
     }
     if tests:
         wide = t_95(F.col("_df")) * F.col("_se")

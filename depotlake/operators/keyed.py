@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotlake.functions.sizes import small
+
 
 def dedup_latest(df: DataFrame, keys: list[str], order: str = "created_at") -> DataFrame:
     """The newest row of each key. Ties go by the other columns in name order, so that each run keeps the same row."""
@@ -25,9 +27,10 @@ def same_key(a: str, b: str, keys: list[str]) -> Column:
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], insert: bool = True) -> DataFrame:
     """target merged with source: where keys match, null keys included, the update columns come from source; other source rows are added.
 
-    A key that occurs twice in source is an error of the caller's; dedup_latest() comes first. Columns that source lacks are null in added rows.
+    A key that occurs twice in source fails the job; dedup_latest() comes first. Columns that source lacks are null in added rows.
     """
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
+    once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1, True).otherwise(F.raise_error(F.lit(f"upsert: a key ({', '.join(keys)}) occurs twice in source")).cast("boolean"))
+    t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", once).alias("s")
     both = t.join(s, same_key("t", "s", keys), "full_outer" if insert else "left")
     in_source, in_target = F.col("s._s").isNotNull(), F.col("t._t").isNotNull()
 
@@ -44,7 +47,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[s
 def upsert_table(path: str, source: DataFrame, keys: list[str], update: list[str], partition: str, insert: bool = True) -> None:
     """Upsert into a partitioned Parquet table; only partitions that source touches are read and rewritten, and a rerun changes nothing."""
     spark = source.sparkSession
-    touched = F.broadcast(source.select(partition).distinct())  # one row for each partition
+    touched = small(source.select(partition).distinct())
     old = spark.read.parquet(path)
     merged = upsert(old.join(touched, partition, "left_semi"), source, keys, update, insert).select(old.columns)
     staged = f"{path.rstrip('/')}__new"  # a table can't be read and overwritten in one job
@@ -86,7 +89,7 @@ def incremental(target: DataFrame | None, facts: DataFrame, day: str, build, key
 def overlay(df: DataFrame, factors: DataFrame, keys: list[str], columns: dict[str, str], guard: Column | None = None) -> DataFrame:
     """df with an adjusted copy, ``<column>_adj``, of each column: times its factor where the keys match and the guard holds. The measured columns stay."""
     named = factors.select(*keys, *[F.col(f).alias(f"_f_{c}") for c, f in columns.items()])
-    joined = df.join(F.broadcast(named), keys, "left")
+    joined = df.join(small(named), keys, "left")
     apply = F.lit(True) if guard is None else guard
     adjusted = {f"{c}_adj": F.when(apply & F.col(f"_f_{c}").isNotNull(), F.col(c).cast("double") * F.col(f"_f_{c}")).otherwise(F.col(c).cast("double")) for c in columns}
     return joined.withColumns(adjusted).drop(*[f"_f_{c}" for c in columns])

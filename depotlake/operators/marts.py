@@ -47,22 +47,27 @@ def daily_warehouse_kpis(orders: DataFrame, deliveries: DataFrame, inventory: Da
     )
 
 
-def demand_volatility(inventory: DataFrame, rows: int = 7) -> DataFrame:
+def volatility_of(units: str, rows: int = 7) -> Column:
     """Standard deviation of a product's daily units over so many rows; null for one row."""
+    return half_up(F.stddev_samp(units).over(Window.partitionBy("product_id").orderBy("date").rowsBetween(1 - rows, 0)), 2)
+
+
+def demand_volatility(inventory: DataFrame, rows: int = 7) -> DataFrame:
     daily = inventory.groupBy(F.col("snapshot_date").alias("date"), "product_id").agg(F.sum("units_sold").alias("units"))
-    frame = Window.partitionBy("product_id").orderBy("date").rowsBetween(1 - rows, 0)
-    return daily.select("date", "product_id", half_up(F.stddev_samp("units").over(frame), 2).alias("demand_volatility"))
+    return daily.select("date", "product_id", volatility_of("units", rows).alias("demand_volatility"))
 
 
 def daily_product_kpis(inventory: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
     key = ["date", "product_id"]
+    # a product has one category and price tier, so that the groups are those of day and product
     i = inventory.groupBy(F.col("snapshot_date").alias("date"), "product_id", "category", "price_tier").agg(
         F.sum("units_sold").alias("total_units_sold"), F.avg("closing_stock").alias("stock"), F.count_if("stockout_flag").alias("stockout_count"), F.sum("holding_cost").alias("holding"),
         F.sum("inventory_value").alias("value"), F.avg("days_of_supply").alias("days"),
     )
     r = items_of_orders(items, orders).groupBy(F.col("order_date").alias("date"), "product_id").agg(F.sum("revenue").alias("revenue"))
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    return i.join(r, key, "left").join(demand_volatility(inventory), key, "left").select(
+    i = i.withColumn("demand_volatility", volatility_of("total_units_sold"))
+    return i.join(r, key, "left").select(
         *key, "category", "price_tier", "total_units_sold", r2(zero("revenue")).alias("total_revenue"), "stockout_count", r2("stock").alias("avg_closing_stock"),
         ratio(F.col("total_units_sold"), F.col("stock")).alias("inventory_turnover"), r2("days").alias("avg_days_of_supply"), r2("holding").alias("total_holding_cost"), r2("value").alias("total_inventory_value"),
         null("double", "demand_forecast"), null("double", "forecast_error"), "demand_volatility", null("double", "stockout_risk_score"), F.lit(False).alias("is_forecast"), null("int", "forecast_horizon"), null("date", "forecast_generated_date"),

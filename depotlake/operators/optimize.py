@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,36 +92,60 @@ def inventory_summary(kpis: DataFrame, products: DataFrame, lead_deviation: Data
     return rows.withColumns({"avg_daily_demand": half_up(d, 4), "std_demand": half_up("std_demand", 4)}).drop("cost", "lead", "lead_std", "avg_stock", "total_holding")
 
 
-ALLOCATED = "order_id string, order_date date, warehouse_id string, original_warehouse_id string, cost double, original_cost double"
+ALLOCATED = "order_id string, order_date date, warehouse_id string, original_warehouse_id string, optimal_cost double, baseline_cost double, is_optimal_assignment boolean"
 
 
-def greedy_allocation(orders: DataFrame, costs: DataFrame, capacity: dict[str, int], usable: float = USABLE) -> DataFrame:
-    """Each day's orders, urgent ones first, then by id, go to the cheapest warehouse that has room for their items.
+def greedy_allocation(orders: DataFrame, costs: DataFrame, warehouses: DataFrame, usable: float = USABLE) -> DataFrame:
+    """Each day's orders, urgent ones first (an unknown priority is Standard), then by id, go to the cheapest warehouse that has any room left.
 
-    An order of a customer without costs, or for which no warehouse has room, keeps its warehouse. A day is one task: the next order depends on
-    the room that the last one left. Costs come as one map for each order, so the grouped rows are small.
+    Room is capacity_units times usable, floored, of each day; an order may take more than is left, which then is none. An order of a customer without
+    costs, or for which no warehouse has room, keeps its warehouse and costs what it did. baseline_cost is total_fulfillment_cost.
+
+    A day is one task, as the next choice depends on the room that the last one left. In it, all orders choose among the open warehouses at once; the choices
+    stand up to the order that fills one, which then is closed: as many rounds as there are warehouses, each over arrays.
     """
+    names = [(r["warehouse_id"], math.floor(r["capacity_units"] * usable)) for r in warehouses.select("warehouse_id", "capacity_units").orderBy("warehouse_id").collect()]  # one row for each warehouse
     maps = costs.groupBy("customer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("warehouse_id", "cost")))).alias("costs"))
-    rank = F.lit(3)
+    rank = F.lit(2)
     for k, v in PRIORITY.items():
         rank = F.when(F.col("order_priority") == k, v).otherwise(rank)
-    rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", "total_items", rank.alias("rank")).join(maps, "customer_id", "left")
-    room = {k: v * usable for k, v in capacity.items()}
+    by_warehouse = F.transform(F.array(*[F.lit(w) for w, _ in names]), lambda w: F.try_element_at("costs", w))
+    rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", "total_items", F.col("total_fulfillment_cost").cast("double").alias("baseline_cost"), rank.alias("rank"))
+    rows = rows.join(maps, "customer_id", "left").withColumn("costs", by_warehouse).drop("customer_id")
 
     def day(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, out = dict(room), []
-        for r in pdf.sort_values(["rank", "order_id"]).itertuples():
-            known = dict(r.costs) if r.costs is not None else {}
-            fits = [(c, w) for w, c in known.items() if left.get(w, 0) >= r.total_items]
-            best = min(fits)[1] if fits else r.assigned_warehouse_id
-            if fits:
-                left[best] -= r.total_items
-            out.append((r.order_id, r.order_date, best, r.assigned_warehouse_id, known.get(best), known.get(r.assigned_warehouse_id)))
-        return pd.DataFrame(out, columns=["order_id", "order_date", "warehouse_id", "original_warehouse_id", "cost", "original_cost"])
+        pdf = pdf.sort_values(["rank", "order_id"], ignore_index=True)
+        known = pdf["costs"].notna().to_numpy()
+        cost = np.array([np.full(len(names), np.nan) if c is None else np.asarray(c, float) for c in pdf["costs"]]).reshape(len(pdf), len(names))
+        items, chosen = pdf["total_items"].fillna(0).to_numpy(np.int64), np.full(len(pdf), -1)
+        room, open_, todo = np.array([r for _, r in names]), np.array([r > 0 for _, r in names]), np.flatnonzero(known & ~np.isnan(cost).all(1))
+        while len(todo) and open_.any():
+            priced = np.where(open_ & ~np.isnan(cost[todo]), cost[todo], np.inf)
+            best, end = np.where(np.isinf(priced).all(1), -1, priced.argmin(1)), len(todo)
+            for w in np.flatnonzero(open_):
+                full = np.flatnonzero(np.where(best == w, items[todo], 0).cumsum() >= room[w])
+                end = min(end, full[0] + 1) if len(full) else end
+            done, taken = todo[:end], best[:end]
+            chosen[done] = taken
+            room = room - np.bincount(taken[taken >= 0], weights=items[done][taken >= 0], minlength=len(names)).astype(np.int64)
+            open_, todo = room > 0, todo[end:]
+        ids = np.array([w for w, _ in names], object)
+        where = np.where(chosen >= 0, ids[chosen], pdf["assigned_warehouse_id"])
+        price = np.where(chosen >= 0, cost[np.arange(len(pdf)), chosen], pdf["baseline_cost"].to_numpy(float))
+        return pd.DataFrame({
+            "order_id": pdf["order_id"], "order_date": pdf["order_date"], "warehouse_id": where, "original_warehouse_id": pdf["assigned_warehouse_id"], "optimal_cost": price,
+            "baseline_cost": pdf["baseline_cost"], "is_optimal_assignment": where == pdf["assigned_warehouse_id"].to_numpy(object),
+        })
 
     return rows.groupBy("order_date").applyInPandas(day, ALLOCATED)
 
 
 def allocation_savings(allocated: DataFrame) -> DataFrame:
-    total = allocated.agg(F.count(F.lit(1)).alias("orders"), half_up(F.sum("original_cost"), 2).alias("original_cost"), half_up(F.sum("cost"), 2).alias("optimized_cost"), half_up(F.avg((F.col("warehouse_id") == F.col("original_warehouse_id")).cast("double")) * 100, 2).alias("already_optimal_pct"))
-    return total.withColumn("savings_pct", half_up((F.col("original_cost") - F.col("optimized_cost")) / F.col("original_cost") * 100, 2))
+    """Totals and savings of an allocation, and the share of orders that stay where they were; sums are exact to the cent."""
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    total = allocated.agg(money("baseline_cost").alias("b"), money("optimal_cost").alias("o"), F.avg(F.col("is_optimal_assignment").cast("double")).alias("e"))
+    b, o = F.col("b"), F.col("o")
+    return total.select(
+        half_up(b, 2).alias("total_baseline_cost"), half_up(o, 2).alias("total_optimized_cost"), half_up(b - o, 2).alias("total_savings"), F.when(b > 0, half_up((b - o) / b * 100, 2)).otherwise(0.0).alias("savings_pct"),
+        half_up(F.col("e") * 100, 2).alias("allocation_efficiency_pct"),
+    )

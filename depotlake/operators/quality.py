@@ -89,8 +89,14 @@ def relationship(child: DataFrame, parent: DataFrame, key: str, parent_key: str
     return orphans(child, parent, key, parent_key)
 
 
-def columns_match(df: DataFrame, columns: Sequence[str]) -> bool:
-    return df.columns == list(columns)
+def columns_match(df: DataFrame, columns: Sequence[str], **k) -> Check:
+    """Names and order of the columns, which no row is read for."""
+    return Check("columns_match", total=F.lit(df.columns == list(columns)), **k)
+
+
+def no_negative_stock(inventory: DataFrame) -> DataFrame:
+    """Rows of the raw table with negative stock, which staging would leave out."""
+    return inventory.where("closing_stock < 0")
 
 
 def gate(results: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from depotlake.functions.sizes import small
+
 PRODUCT, PANEL = ["product_id"], ["warehouse_id", "product_id"]
 
 
@@ -36,11 +38,11 @@ def stockout_label(w: WindowSpec, flag: str = "stockout_flag", days: int = 3) ->
     return ahead.cast("int")
 
 
-def label_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the place of each label among the sorted labels, -1 for null. Labels are categories, few by nature."""
-    labels = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = labels.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(F.broadcast(codes), column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+def label_codes(df: DataFrame, column: str, name: str, labels: DataFrame | None = None) -> DataFrame:
+    """df with the place of each label among the sorted labels, -1 for null. Labels are categories, few by nature; labels: a small table that has them all, so that df isn't read for them."""
+    values = (df if labels is None else labels).where(F.col(column).isNotNull()).select(column).distinct()
+    codes = values.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
+    return df.join(small(codes), column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def inventory_ledger(moves: DataFrame, opening: int = 60) -> DataFrame:

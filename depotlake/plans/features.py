@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlake.operators.windows import PANEL, PRODUCT, label_codes, lags, rolling, series, stockout_label, trend
@@ -57,37 +57,57 @@ def dated(df: DataFrame, dates: DataFrame, day: str) -> DataFrame:
     return df.drop(*own).join(F.broadcast(c), day, "left").withColumns({"season_encoded": code("season", SEASONS), "is_holiday": flag("is_holiday"), "is_weekend": flag("is_weekend")})
 
 
-def demand_features(kpis: DataFrame, dates: DataFrame, products: DataFrame) -> DataFrame:
-    """Features by product and day; rows without the 28-row lag are left out. One exchange by product."""
+def demand_features(kpis: DataFrame, dates: DataFrame, products: DataFrame, complete: bool = True) -> DataFrame:
+    """Features by product and day; with complete, rows without the 28-row lag are left out. One exchange by product."""
     numbers = ["total_units_sold", "total_revenue", "stockout_count", "avg_closing_stock", "inventory_turnover", "avg_days_of_supply"]
     weight = F.col("weight_kg") if "weight_kg" in products.columns else F.lit(0.0)
     p = products.select("product_id", "category", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in (("cost_price", F.col("cost_price")), ("selling_price", F.col("selling_price")), ("weight_kg", weight))], flag("is_perishable").alias("is_perishable"))
     df = dated(kpis.drop("category", "price_tier").withColumns({c: number(c) for c in numbers}), dates, "date")
-    df = label_codes(df.join(p, "product_id", "left"), "category", "category_encoded")
+    df = label_codes(df.join(p, "product_id", "left"), "category", "category_encoded", p)
     w, units = series(PRODUCT, "date"), "total_units_sold"
     week = w.rowsBetween(-6, 0)
     df = df.withColumns(lags(w, units, [1, 3, 7, 14, 28], "demand") | rolling(w, units, [7, 14, 30], "demand") | trend(w, units) | {
         "demand_rolling_min_7d": F.min(units).over(week), "demand_rolling_max_7d": F.max(units).over(week), "stockout_lag_1d": F.lag("stockout_count").over(w), "avg_stock_lag_1d": F.lag("avg_closing_stock").over(w),
         "price_ratio": over(F.col("selling_price"), F.col("cost_price")), "profit_margin": F.col("selling_price") - F.col("cost_price"),
     })
-    return df.where("demand_lag_28d is not null")
+    return df.where("demand_lag_28d is not null") if complete else df
 
 
-def history(df: DataFrame, key: str, columns: dict[str, Column], as_of_start: bool) -> DataFrame:
-    """df with averages by key: over all rows, as the platform has it, or only over rows assigned before (no leak)."""
-    if not as_of_start:
-        stats = df.groupBy(key).agg(*[c.alias(n) for n, c in columns.items()])
-        return df.join(stats, key, "left")
-    from pyspark.sql import Window
+def delivered_rows(deliveries: DataFrame) -> DataFrame:
+    """Delivered deliveries with their minutes, numbers as doubles."""
+    numbers = ["actual_delivery_minutes", "estimated_eta_minutes", "distance_km", "driver_experience_years", "pickup_wait_minutes"]
+    return deliveries.where("delivery_status = 'Delivered' and actual_delivery_minutes is not null").withColumns({c: number(c) for c in numbers if c in deliveries.columns})
 
-    before = Window.partitionBy(key).orderBy(F.col("assigned_time").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({n: c.over(before) for n, c in columns.items()})
 
+def delivery_means(done: DataFrame) -> DataFrame:
+    """Mean minutes and distance of each driver, each warehouse and all, in one pass over grouping sets: driver_id and warehouse_id are null where they don't apply, level is 1, 2 or 3."""
+    sets = [[F.col("driver_id")], [F.col("warehouse_id")], []]
+    rows = done.groupingSets(sets, "driver_id", "warehouse_id").agg(
+        F.grouping_id().alias("level"), F.avg("actual_delivery_minutes").alias("minutes"), F.avg("distance_km").alias("km"), F.count(F.lit(1)).alias("deliveries"),
+    )
+    return rows.select("driver_id", "warehouse_id", F.col("level").cast("int").alias("level"), "minutes", "km", "deliveries")
 
-def eta_features(deliveries: DataFrame, dates: DataFrame, as_of_start: bool = False) -> DataFrame:
-    """Features of delivered deliveries. Drivers' and warehouses' averages are small aggregates joined back; the global mean is a one-row join."""
-    numbers = ["actual_delivery_minutes", "estimated_eta_minutes", "distance_km", "driver_experience_years", "pickup_wait_minutes"]
-    done = deliveries.where("delivery_status = 'Delivered' and actual_delivery_minutes is not null").withColumns({c: number(c) for c in numbers})
+
+def speed_of(km: Column, minutes: Column) -> Column:
+    return F.least(F.lit(120.0), F.greatest(F.lit(0.0), over(km, minutes / 60)))
+
+
+def driver_stats(deliveries: DataFrame) -> DataFrame:
+    done = delivered_rows(deliveries).where("driver_id is not null")
+    out = done.groupBy("driver_id").agg(F.avg("actual_delivery_minutes").alias("minutes"), F.avg("distance_km").alias("km"), F.count(F.lit(1)).alias("deliveries"))
+    return out.select("driver_id", "minutes", speed_of(F.col("km"), F.col("minutes")).alias("speed"), "deliveries")
+
+
+def warehouse_stats(deliveries: DataFrame) -> DataFrame:
+    return delivered_rows(deliveries).groupBy("warehouse_id").agg(F.avg("actual_delivery_minutes").alias("minutes"), F.count(F.lit(1)).alias("deliveries"))
+
+
+def eta_features(deliveries: DataFrame, dates: DataFrame, as_of_start: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """Features of delivered deliveries. Drivers', warehouses' and the global mean are one aggregate over grouping sets, joined back.
+
+    facts: the deliveries before they were enriched, from which the means are taken without the enrichment's joins.
+    """
+    done = delivered_rows(deliveries)
     df = dated(done.withColumn("date", F.to_date("assigned_time")), dates, "date")
     hour, km, eta = F.hour("assigned_time"), F.col("distance_km"), F.col("estimated_eta_minutes")
     df = df.withColumns({
@@ -95,12 +115,20 @@ def eta_features(deliveries: DataFrame, dates: DataFrame, as_of_start: bool = Fa
         "distance_squared": km * km, "distance_log": F.log1p(km), "vehicle_type_encoded": code("vehicle_type", VEHICLES, 1), "eta_speed_estimate": over(km, eta / 60), "simple_eta": eta, "pickup_wait": F.col("pickup_wait_minutes"),
         "priority_encoded": code("order_priority", PRIORITIES),
     })
-    df = history(df, "driver_id", {"_minutes": F.avg("actual_delivery_minutes"), "_km": F.avg("distance_km")}, as_of_start)
-    df = history(df, "warehouse_id", {"_warehouse": F.avg("actual_delivery_minutes")}, as_of_start)
-    mean = F.broadcast(df.agg(F.avg("actual_delivery_minutes").alias("_mean")))
-    speed = F.least(F.lit(120.0), F.greatest(F.lit(0.0), over(F.col("_km"), F.col("_minutes") / 60)))
-    return df.join(mean).withColumns({
-        "warehouse_avg_delivery": F.coalesce("_warehouse", "_mean"), "driver_avg_delivery": F.coalesce("_minutes", "_mean"), "driver_hist_speed_kmh": F.coalesce(F.when(F.col("_minutes").isNotNull(), speed), F.lit(30.0)),
+    # as the platform has them, means are over all rows; as of the start they are over rows assigned before (no leak)
+    raw = delivered_rows(facts if facts is not None else deliveries)
+    means = delivery_means(raw)
+    whole = F.broadcast(means.where("level = 3").select(F.col("minutes").alias("_mean")))  # one row
+    if as_of_start:
+        before = {k: Window.partitionBy(k).orderBy(F.col("assigned_time").cast("long")).rangeBetween(Window.unboundedPreceding, -1) for k in ("driver_id", "warehouse_id")}
+        own = {"_minutes": F.avg("actual_delivery_minutes").over(before["driver_id"]), "_km": F.avg("distance_km").over(before["driver_id"]), "_warehouse": F.avg("actual_delivery_minutes").over(before["warehouse_id"])}
+        df = df.withColumns(own)
+    else:
+        df = df.join(means.where("level = 1").select("driver_id", F.col("minutes").alias("_minutes"), F.col("km").alias("_km")), "driver_id", "left")
+        df = df.join(means.where("level = 2").select("warehouse_id", F.col("minutes").alias("_warehouse")), "warehouse_id", "left")
+    return df.join(whole).withColumns({
+        "warehouse_avg_delivery": F.coalesce("_warehouse", "_mean"), "driver_avg_delivery": F.coalesce("_minutes", "_mean"),
+        "driver_hist_speed_kmh": F.coalesce(F.when(F.col("_minutes").isNotNull(), speed_of(F.col("_km"), F.col("_minutes"))), F.lit(30.0)),
     }).drop("_warehouse", "_mean", "_minutes", "_km")
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depotlake.functions.calendar import calendar
@@ -89,6 +89,12 @@ def sort_models(metrics: DataFrame, by: str, ascending: bool = True) -> DataFram
     return metrics.orderBy(F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last(), "model")
 
 
+def ranked_models(metrics: DataFrame, by: str, ascending: bool = True) -> DataFrame:
+    """metrics with place, from the best on; one row for each model, so one window over all is small."""
+    order = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
+    return metrics.withColumn("place", F.row_number().over(Window.orderBy(order, "model")))
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str], top: int = 10) -> DataFrame:
     """The largest importances, or absolute coefficients, of a model; one row for each feature at most."""
     last = model.stages[-1]
@@ -188,14 +194,18 @@ def horizon(days_ahead: Column) -> Column:
 def forecast(model: PipelineModel, kpis: DataFrame, dates: DataFrame, products: DataFrame, generated: date, days: int = 180, seed_days: int = 60) -> DataFrame:
     """Forecast rows of one vintage: future days with the features that a seed of history allows, scored, with horizon.
 
-    Lags that reach into the future are not zero demand: they take the mean of the last 30 rows that there are.
+    Lags that reach into the future, or before a product's first row, are not zero demand: they take the product's mean in the seed, and
+    for a product without any the mean of all. So each product has each of the days.
     """
     seed = kpis.where(F.col("date") > F.date_sub(F.lit(generated), seed_days)).where(F.col("date") <= F.lit(generated))
     future = future_spine(products, F.lit(generated), days)
-    mean = seed.groupBy("product_id").agg(F.avg("total_units_sold").alias("_mean"), F.avg("avg_closing_stock").alias("_stock"))
-    filled = with_future(seed.drop("is_forecast"), future).join(mean, "product_id", "left")
-    filled = filled.withColumns({"total_units_sold": F.coalesce("total_units_sold", "_mean"), "avg_closing_stock": F.coalesce("avg_closing_stock", "_stock")}).drop("_mean", "_stock")
-    features = demand_features(filled, dates, products).where("is_forecast")
+    mean = seed.groupBy("product_id").agg(F.avg("total_units_sold").alias("_own"), F.avg("avg_closing_stock").alias("_own_stock"))
+    every = F.broadcast(seed.agg(F.avg("total_units_sold").alias("_all"), F.avg("avg_closing_stock").alias("_all_stock")))  # one row
+    filled = with_future(seed.drop("is_forecast"), future).join(mean, "product_id", "left").join(every)
+    filled = filled.withColumns({"_mean": F.coalesce("_own", "_all", F.lit(0.0)), "_stock": F.coalesce("_own_stock", "_all_stock", F.lit(0.0))})
+    filled = filled.withColumns({"total_units_sold": F.coalesce("total_units_sold", "_mean"), "avg_closing_stock": F.coalesce("avg_closing_stock", "_stock")})
+    features = demand_features(filled, dates, products, complete=False).where("is_forecast")
+    features = features.withColumns({f"demand_lag_{k}d": F.coalesce(f"demand_lag_{k}d", "_mean") for k in (1, 3, 7, 14, 28)} | {"avg_stock_lag_1d": F.coalesce("avg_stock_lag_1d", "_stock")})
     ahead = F.datediff("date", F.lit(generated))
     scored = model.transform(numeric(features, DEMAND_FEATURES))
     return scored.select("date", "product_id", half_up(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("demand_forecast"), F.lit(True).alias("is_forecast"), horizon(ahead).alias("forecast_horizon"), F.lit(generated).alias("forecast_generated_date"))

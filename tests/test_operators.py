@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlake.catalog.base import Tables
+from depotlake.functions import costs as C
 from depotlake.functions.rounding import half_up
 from depotlake.functions.stats import normal_cdf, t_quantile, t_two_sided
 from depotlake.operators import enrich as E
@@ -60,6 +61,8 @@ def test_upsert_null_keys_and_rerun(spark):
     want = [("a", None, 10, "keep"), ("b", 2, 2, "keep"), ("c", 3, 30, None)]
     assert got(once) == got(K.upsert(once, source, ["k", "d"], ["v"])) == want
     assert got(K.upsert(target, source, ["k", "d"], ["v"], insert=False)) == want[:2]
+    with pytest.raises(Exception, match="occurs twice"):
+        K.upsert(target, source.union(source), ["k", "d"], ["v"]).collect()
 
 
 def test_upsert_table_rewrites_touched_partitions(spark, tmp_path):
@@ -121,6 +124,7 @@ def test_welch_edges(spark):
     df = spark.createDataFrame(rows, "experiment_id string, group_name string, n long, mean double, variance double")
     out = {r.experiment_id: r for r in X.welch(df, ["experiment_id"]).collect()}
     assert out["one"].t_statistic == -1.5811 and out["one"].degrees_of_freedom == 8 and abs(out["one"].p_value - 0.152506) < 2e-5 and not out["one"].is_significant
+    assert out["one"].pct_change == -20.0
     assert out["few"].p_value is None and out["missing"].t_statistic is None and out["flat"].is_significant
 
 
@@ -137,18 +141,54 @@ def test_reorder_point_is_no_worse_than_a_grid(spark):
         assert cost(np.array([r.r]))[0] <= grid.min() + 1e-6
 
 
+def greedy_loop(orders, costs, capacity, usable=0.9):
+    """One order after the other, a day at a time."""
+    out, days = {}, {}
+    for o in sorted(orders, key=lambda o: (o.order_date, {"Same-Day": 0, "Express": 1}.get(o.order_priority, 2), o.order_id)):
+        room = days.setdefault(o.order_date, {w: int(c * usable) for w, c in sorted(capacity.items())})
+        best, price = o.assigned_warehouse_id, float(o.total_fulfillment_cost)
+        if o.customer_id in costs:
+            cheapest = min(((costs[o.customer_id][w], w) for w in room if room[w] > 0), default=None)
+            if cheapest:
+                price, best = cheapest
+                room[best] = max(0, room[best] - o.total_items)
+        out[o.order_id] = best, price, float(o.total_fulfillment_cost), best == o.assigned_warehouse_id
+    return out
+
+
+@pytest.mark.parametrize("shrink", [1, 5000])
+def test_greedy_against_a_loop(spark, data, shrink):
+    t = Tables(spark, data)
+    orders = S.stg_orders(t.fact_orders).withColumn("order_date", F.trunc("order_date", "year")).withColumn("order_priority", F.when(F.expr("order_id like '%5'"), "Other").otherwise(F.col("order_priority")))
+    orders = orders.withColumn("customer_id", F.when(F.expr("order_id like '%31'"), "nobody").otherwise(F.col("customer_id")))
+    warehouses = t.dim_warehouse.withColumn("capacity_units", F.floor(F.col("capacity_units") / shrink * 20))
+    matrix = C.cost_matrix(t.dim_customer, t.dim_warehouse)
+    costs = {}
+    for r in matrix.collect():
+        costs.setdefault(r.customer_id, {})[r.warehouse_id] = r.cost
+    want = greedy_loop(orders.collect(), costs, {r.warehouse_id: r.capacity_units for r in warehouses.collect()})
+    allocated = O.greedy_allocation(orders, matrix, warehouses).cache()
+    assert {r.order_id: (r.warehouse_id, r.optimal_cost, r.baseline_cost, r.is_optimal_assignment) for r in allocated.collect()} == want
+    if shrink > 1:
+        assert any(v[0] != min((c, w) for w, c in costs[o.customer_id].items())[1] for o in orders.collect() if o.customer_id in costs for v in [want[o.order_id]])
+    total = O.allocation_savings(allocated).first()
+    assert abs(total.total_savings - sum(v[2] - v[1] for v in want.values())) < 0.01 and total.allocation_efficiency_pct == round(100 * sum(v[3] for v in want.values()) / len(want), 2)
+
+
 def test_greedy_order_and_room(spark):
-    orders = spark.createDataFrame([("o1", "Standard", "c", "W2", 5), ("o2", "Same-Day", "c", "W2", 5), ("o3", "Express", "x", "W9", 1)], "order_id string, order_priority string, customer_id string, assigned_warehouse_id string, total_items long").withColumn("order_date", F.lit(date(2024, 1, 1)))
+    orders = spark.createDataFrame([("o1", "Standard", "c", "W2", 5, 7.0), ("o2", "Same-Day", "c", "W2", 9, 7.0), ("o3", "Express", "x", "W9", 1, 3.0), ("o4", "odd", "c", "W2", 1, 7.0)], "order_id string, order_priority string, customer_id string, assigned_warehouse_id string, total_items long, total_fulfillment_cost double").withColumn("order_date", F.lit(date(2024, 1, 1)))
     costs = spark.createDataFrame([("c", "W1", 1.0), ("c", "W2", 2.0)], "customer_id string, warehouse_id string, cost double")
-    out = {r.order_id: r.warehouse_id for r in O.greedy_allocation(orders, costs, {"W1": 6, "W2": 1}).collect()}
-    assert out == {"o2": "W1", "o1": "W2", "o3": "W9"}
+    warehouses = spark.createDataFrame([("W1", 7), ("W2", 3)], "warehouse_id string, capacity_units long")
+    out = {r.order_id: (r.warehouse_id, r.optimal_cost) for r in O.greedy_allocation(orders, costs, warehouses).collect()}
+    assert out == {"o2": ("W1", 1.0), "o1": ("W2", 2.0), "o4": ("W2", 7.0), "o3": ("W9", 3.0)}  # an order may take more than is left
 
 
 def test_quality_mostly_and_gate(spark):
     df = spark.createDataFrame([(1,), (None,), (3,)], "a int")
     out = Q.run_suite(df, [Q.not_null("a", mostly=0.6), Q.between("a", 2, 9), Q.positive("a", severity="warn")])
     assert {(r.check, r.violations, r.passed) for r in out.collect()} == {("not_null_a", 1, True), ("between_a", 1, False), ("positive_a", 0, True)}
-    assert Q.gate(out).first().passed is False and Q.columns_match(df, ["a"])
+    assert Q.gate(out).first().passed is False
+    assert [r.passed for r in Q.run_suite(df, [Q.columns_match(df, ["a"]), Q.columns_match(df, ["a", "b"])]).collect()] == [True, False]
 
 
 def test_csv_nulls_bad_lines_and_reload(spark, tmp_path):
@@ -230,3 +270,47 @@ def test_eta_history(spark, as_of_start):
 
     out = P.eta_features(df, calendar(spark, date(2024, 1, 1), date(2024, 1, 3)), as_of_start).orderBy("delivery_id")
     assert [r.driver_avg_delivery for r in out.collect()] == ([20.0, 10.0, 15.0] if as_of_start else [20.0] * 3)
+
+
+def test_scores_from_fitted_models(spark, data):
+    from depotlake.catalog import scoring
+
+    t = Tables(spark, data)
+    assert [r.model for r in scoring.fitted(t, "eta")[2].collect()][0] == scoring.fitted(t, "eta")[0] and scoring.fitted(t, "stockout")[2].count() == 2
+    scored = scoring.demand_scores(t).where("demand_forecast is not null")
+    errors = scored.agg(F.avg(F.abs("forecast_error")).alias("e"), F.stddev("total_units_sold").alias("s"), F.min("demand_forecast").alias("low")).first()
+    assert errors.e < errors.s and errors.low >= 0  # better than the mean would do
+    eta = scoring.eta_scores(t)
+    assert eta.where("predicted_eta is null or predicted_eta < 1 or eta_error is null").count() == 0 and eta.count() > 0
+    risk = scoring.stockout_rows(t).select(F.col("snapshot_date").alias("date"), "warehouse_id", "product_id", F.col("will_stockout_3d").cast("double").alias("y")).join(scoring.stockout_scores(t), ["date", "warehouse_id", "product_id"])
+    assert ML.auc(risk, "y", "stockout_risk_score") > 0.7
+    assert sorted(r.name for r in scoring.stored(t).collect()) == ["demand", "eta", "stockout"]
+
+
+def test_redelivered_and_tumbling_on_a_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda k, at: f"{k},{at},order"
+    (source / "1.csv").write_text("\n".join([line("a", "2024-01-01 10:00:00"), line("a", "2024-01-01 10:05:00"), line("b", "2024-01-01 10:06:00")]))
+    rows = spark.readStream.schema("key string, event_time timestamp, event_type string").option("maxFilesPerTrigger", 1).csv(str(source))
+    table = {}
+
+    def keep(batch, _):
+        table["t"] = spark.createDataFrame(EV.latest_into(table.get("t"), batch, ["key"], "event_time").collect(), batch.schema)
+
+    def run():
+        out = EV.dedup_redelivered(rows, ["key"]).writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+        out.awaitTermination()
+        EV.for_each_batch(rows, str(tmp_path / "c2"), keep).awaitTermination()
+        EV.tumbling_counts(rows).writeStream.format("parquet").option("path", str(tmp_path / "counts")).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "once")).collect()) == ["a", "b"]
+    (source / "2.csv").write_text("\n".join([line("b", "2024-01-01 10:20:00"), line("c", "2024-01-04 10:00:00"), line("a", "2024-01-01 09:00:00")]))
+    run()
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "once")).collect()) == ["a", "b", "c"]
+    assert {(r.key, str(r.event_time)) for r in table["t"].collect()} == {("a", "2024-01-01 10:05:00"), ("b", "2024-01-01 10:20:00"), ("c", "2024-01-04 10:00:00")}
+    (source / "3.csv").write_text(line("d", "2024-01-09 10:00:00"))
+    run()
+    counts = {str(r.start)[:10]: r.n for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+    assert counts["2024-01-01"] == 5  # the watermark has closed the day
