@@ -23,14 +23,14 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import materialize, per_batch, per_bytes, slices, table
+from depotlake.llm.common import materialize, per_batch, per_bytes, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces after which a worker forgets those it has met, and bytes of a piece from which merging uses a heap.
-CACHE_PIECES, LONG_PIECE = 600_000, 96
+CACHE_PIECES, LONG_PIECE = 400_000, 96
 
 # The pattern's white space (Unicode White_Space) and what its contractions have after the apostrophe.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -410,27 +410,21 @@ def decode(encoded: DataFrame, path: str | None = None, digests: bool = False) -
     return encoded.select("doc_id", "ids", "offsets").mapInArrow(per_batch(step), f"doc_id long, {kinds}")
 
 
-def token_count(text: Column, path: str | None = None) -> Column:
-    """Number of tokens of a text column, null texts included."""
-    path = path or public_tokenizers.path(VOCABULARY)
-
-    @F.arrow_udf("long")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.concat_arrays([counted(encoder(path), part) for part in slices(batch)])
-
-    return count.asNondeterministic()(text)  # else a filter on the count would have it counted twice
-
-
 def counted(own: Encoder, texts: pa.Array) -> pa.Array:
     number, _, of_text = own.pieces(texts)
     before = np.concatenate([[0], np.cumsum(own.count[number])])
     return pa.array(np.diff(before[of_text]))
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens."""
-    return docs.select("doc_id", token_count(F.col("text"), path).alias("n_tokens"))
+def token_counts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and n_tokens of each row."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    schema = docs.select(*keep).schema.add("n_tokens", "long")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], counted(encoder(path), batch.columns[-1])], names=[*keep, "n_tokens"])
+
+    return docs.select(*keep, "text").mapInArrow(per_bytes(step, len(keep)), schema)
 
 
 def length_histogram(counts: DataFrame, bucket: int = 128) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch for a Python task, and of a slice of texts that it holds in arrays.
+BATCH_BYTES, SLICE_BYTES = 1 << 22, 1 << 19
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for tables between stages, where the driver and all executors see it: below spark.checkpoint.dir, or the warehouse where that is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{given.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python tasks have BATCH_BYTES at most, unless the session has a limit of its own: 10,000 whole texts, Spark's other limit, can be of any size."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Deletes all tables between stages of this application, once its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
@@ -32,6 +42,7 @@ def clear_stages(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,7 +78,7 @@ def per_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 128)
     return run
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """texts in slices of about so many bytes; a longer text is a slice of its own. An empty array is one slice."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto, at = np.cumsum(size), 0
@@ -91,4 +102,5 @@ def per_bytes(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: int) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ FAMILIES = {
     "slavic": ["bg", "cs", "hr", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 #: Length of the hashed feature vector, documents of each language in the training sample, and machines fitted at a time.
-SIZE, PER_LANGUAGE, FITS = 2048, 300, 4
+SIZE, PER_LANGUAGE, FITS = 2048, 300, 2
 
 
 def family_of(lang: str) -> str:

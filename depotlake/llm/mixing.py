@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotlake.llm.bpe import token_count
+from depotlake.llm.bpe import token_counts
 from depotlake.llm.common import materialize, small, table
 
 SECTIONS, ROUNDS = 32, 5
@@ -125,8 +125,10 @@ def source_name() -> Column:
 
 def count_tokens(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """doc_id, source and tokens of each row, written once. tokens: a column that counts; None: byte-level BPE tokens of the text."""
-    tokens = token_count(F.col("text")) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
-    return materialize(docs.select("doc_id", source_name().alias("source"), tokens.alias("tokens")), "mix-counts")
+    named = docs.withColumn("source", source_name())
+    if tokens is None:
+        return materialize(token_counts(named, keep=("doc_id", "source")).withColumnRenamed("n_tokens", "tokens"), "mix-counts")
+    return materialize(named.select("doc_id", "source", F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")), "mix-counts")
 
 
 def taken(rows: DataFrame, plan: DataFrame, sources: int, seed: int = 7) -> DataFrame:
