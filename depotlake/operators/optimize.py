@@ -109,16 +109,17 @@ def greedy_allocation(orders: DataFrame, costs: DataFrame, warehouses: DataFrame
     rank = F.lit(2)
     for k, v in PRIORITY.items():
         rank = F.when(F.col("order_priority") == k, v).otherwise(rank)
-    by_warehouse = F.transform(F.array(*[F.lit(w) for w, _ in names]), lambda w: F.try_element_at("costs", w))
+    by_warehouse = {f"c{k}": F.try_element_at("costs", F.lit(w)) for k, (w, _) in enumerate(names)}
     rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", "total_items", F.col("total_fulfillment_cost").cast("double").alias("baseline_cost"), rank.alias("rank"))
-    rows = rows.join(maps, "customer_id", "left").withColumn("costs", by_warehouse).drop("customer_id")
+    rows = rows.join(maps, "customer_id", "left").withColumns(by_warehouse).drop("customer_id", "costs")
+
+    priced_by = list(by_warehouse)
 
     def day(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "order_id"], ignore_index=True)
-        known = pdf["costs"].notna().to_numpy()
-        cost = np.array([np.full(len(names), np.nan) if c is None else np.asarray(c, float) for c in pdf["costs"]]).reshape(len(pdf), len(names))
+        cost = pdf[priced_by].to_numpy(float)
         items, chosen = pdf["total_items"].fillna(0).to_numpy(np.int64), np.full(len(pdf), -1)
-        room, open_, todo = np.array([r for _, r in names]), np.array([r > 0 for _, r in names]), np.flatnonzero(known & ~np.isnan(cost).all(1))
+        room, open_, todo = np.array([r for _, r in names]), np.array([r > 0 for _, r in names]), np.flatnonzero(~np.isnan(cost).all(1))
         while len(todo) and open_.any():
             priced = np.where(open_ & ~np.isnan(cost[todo]), cost[todo], np.inf)
             best, end = np.where(np.isinf(priced).all(1), -1, priced.argmin(1)), len(todo)
