@@ -1,8 +1,9 @@
 """Hierarchical language identification: the language family first, then one-versus-one linear support vector machines in it.
 
 Features are the shares of hashed letter pairs and triples of the whole lower-case text; whatever is not a letter is a blank.
-Training takes a bounded sample: at most PER_LANGUAGE documents of each language, chosen by the hash of their ids among those
-with a language and with crc32(id) mod 3 other than 1. The machines are Spark ML's LinearSVC. In a prediction only the text counts.
+Training takes a bounded sample: about PER_LANGUAGE documents of each language, chosen by the hash of their ids among those
+with a language and with crc32(id) mod 3 other than 1. Rows of one id and language count as one document there, with the first
+of their texts in order, however often they repeat. The machines are Spark ML's LinearSVC. In a prediction only the text counts.
 
 Null texts and those without a letter get ``und`` with score 0, as does everything where there is nothing to learn from; equal
 texts get equal answers; texts are taken whole; ties between languages go to the first in alphabetical order; an empty table
@@ -104,7 +105,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_of(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> DataFrame:
-    """lang and features of at most so many learnable documents of each language: one pass counts, one draws."""
+    """lang and features of about so many learnable documents of each language: one pass counts, one draws."""
     learnable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     chance = {r["lang"]: per_language / r["rows"] for r in counts.orderBy("lang").collect()}  # one row for each language
@@ -115,7 +116,8 @@ def sample_of(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1)
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(feature_vectors(batch.column(2)).tolist(), pa.list_(pa.float64()))], names=["doc_id", "lang", "x"])
 
-    return learnable.where(drawn).select("doc_id", "lang", "text").mapInArrow(per_batch(step, 64), "doc_id long, lang string, x array<double>")
+    once = learnable.where(drawn).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return once.mapInArrow(per_batch(step, 64), "doc_id long, lang string, x array<double>")
 
 
 def machine(sample: DataFrame, label: Column, first: str, second: str) -> Machine:

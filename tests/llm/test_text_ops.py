@@ -146,6 +146,19 @@ def test_language_odd_rows(odd, empty, documents):
     assert kept.columns == odd.columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_language_sample_is_bounded_under_repeated_rows(spark):
+    ids = [k for k in range(900) if zlib.crc32(str(k).encode()) % 3 != 1][:400]
+    rows = [(k, f"the words of text {k}", "en") for k in ids] + [(k, f"a second text {k}", "en") for k in ids[:200]]
+    hot = spark.range(30_000).select(F.lit(ids[0]).alias("doc_id"), F.lit("one row again and again").alias("text"), F.lit("en").alias("lang"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").union(hot)
+    every = langid.sample_of(docs, per_language=docs.count()).collect()
+    assert sorted(r.doc_id for r in every) == ids
+    few = [r.doc_id for r in langid.sample_of(docs, per_language=10_000).collect()]
+    assert len(few) == len(set(few)) <= 400
+    first = {r.doc_id: r.x for r in langid.sample_of(docs.repartition(5), per_language=docs.count()).collect()}
+    assert all(first[r.doc_id] == r.x for r in every)
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
