@@ -62,6 +62,19 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def at_most(df: DataFrame, value: str, most: int) -> DataFrame:
+    """The rows of df with the greatest values (positive integers), all those of a value or none: most rows at most. Values are counted by their first seven bits."""
+    bits = f"length(bin({value})) - 1"
+    classes = df.selectExpr(f"{bits} as bits", f"shiftright({value}, greatest({bits} - 6, 0)) as head").groupBy("bits", "head").count()
+    floor = None
+    for c in classes.orderBy(F.desc("bits"), F.desc("head")).collect():  # at most 64 classes for each of 63 numbers of bits
+        most -= c["count"]
+        if most < 0:
+            break
+        floor = c["head"] << max(c["bits"] - 6, 0)
+    return df.where(F.lit(False) if floor is None else F.col(value) >= floor)
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A value from [0, 1) that depends on the columns and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed)), 11) / F.lit(float(2**53))
