@@ -49,27 +49,24 @@ def leaves(docs: DataFrame) -> DataFrame:
     return rows.groupBy("tree", "doc_id", "leaf").agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce("hurt", "leaf")).alias("shown"))
 
 
+def height(n: Column) -> Column:
+    """Levels of a tree of n leaves above them."""
+    return F.size(F.filter(F.array(*[F.lit(FAN**k) for k in range(40)]), lambda x: x < n))
+
+
 def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with pos, their place (from 0) among those of their tree in this order, n copies of a row in n places. Ranges of the order are sorted each by itself."""
+    """rows with pos, their place (from 0) among those of their tree in this order, n copies of a row in n places, and their tree's height. Ranges of the order are sorted each by itself."""
     ranged = materialize(rows, f"{name}-keys").repartitionByRange("tree", *order).withColumn("range", F.spark_partition_id())
     ranged = materialize(ranged, f"{name}-ranges")
     upto = Window.partitionBy("tree").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranged.groupBy("tree", "range").agg(F.sum("n").alias("m")).select("tree", "range", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"))
+    total = F.sum("m").over(Window.partitionBy("tree"))
+    before = ranged.groupBy("tree", "range").agg(F.sum("n").alias("m")).select("tree", "range", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"), height(total).alias("height"))
     inside = Window.partitionBy("tree", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.withColumn("last", F.sum("n").over(inside)).join(before, ["tree", "range"])
     first = F.col("before") + F.col("last") - F.col("n")
     return out.withColumn("pos", F.explode(F.sequence(first, first + F.col("n") - 1))).drop("n", "range", "last", "before")
 
 
-def height(n: Column) -> Column:
-    """Levels of a tree of n leaves above them."""
-    return F.size(F.filter(F.array(*[F.lit(FAN**k) for k in range(40)]), lambda x: x < n))
-
-
-def with_height(nodes: DataFrame) -> DataFrame:
-    return nodes.join(nodes.groupBy("tree").agg(height(F.max("pos") + 1).alias("height")), "tree")
-
-
 def above(level: Column) -> Column:
     """The digests of the runs of three in a list."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(level) - 1) / FAN).cast("int")), lambda i: F.sha2(F.array_join(F.slice(level, i * FAN + 1, FAN), ""), 256))
@@ -132,11 +129,11 @@ def roots(tiers: list[DataFrame]) -> DataFrame:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified for each row."""
-    nodes = with_height(placed(leaves(docs), ["doc_id", "leaf"], "leaf").withColumnRenamed("leaf", "digest"))
+    nodes = placed(leaves(docs), ["doc_id", "leaf"], "leaf").withColumnRenamed("leaf", "digest")
     lower = tiers_of(nodes, "leaf", ["doc_id", "shown"])
     subroots = materialize(roots(lower), "subroots")
     ordered = placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest", "tier", F.lit(1).alias("n")), ["name"], "source")
-    ordered = materialize(with_height(ordered), "sources")
+    ordered = materialize(ordered, "sources")
     upper = tiers_of(ordered.select("tree", "pos", "digest", "height"), "source")
     dag = store(*lower, *upper)
 
