@@ -33,15 +33,15 @@ from depotlake.llm.common import at_most, materialize, per_bytes, slices, table
 
 #: A: byte-level BPE, whose ranks are its ids (the file has the entries of byte_bpe_50k.json). B: BPE of pieces with byte fallback.
 FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Id pairs that all tasks get, and (document, pair) rows that a task gathers before it sums them.
-COMMON, GATHER = 1 << 20, 1 << 21
+#: Id pairs that all tasks get, (document, pair) rows that a task gathers before it sums them, and bytes of the texts that are aligned together.
+COMMON, GATHER, TOGETHER = 1 << 20, 1 << 21, 1 << 21
 BLANK, MARK = b" ", "▁"
 #: Ids are below this number.
 VOCABULARY = 1 << 17
 
 
 class Pieces:
-    """The second tokenizer in one worker, with the ids of the words met so far. A word is a run of blanks and what follows up to the next blank: no piece goes on from another character to a blank."""
+    """The second tokenizer in one worker, with the ids of the words met so far. A word begins with a blank: no piece goes on from another character to a blank."""
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,29 +67,31 @@ class Pieces:
         self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.int32, count.sum()))
         self.count, self.same = np.append(self.count, count), np.append(self.same, np.fromiter(same, bool, len(words)))
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, where each text's begin (and the end), and whether they give each text back. texts: large binary without nulls, each empty or with a blank at its start."""
-        offset = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
-        offset = offset - offset[0]
-        starts = data == 0x20
-        starts[1:] &= data[:-1] != 0x20
-        starts[offset[:-1][np.diff(offset) > 0]] = True
-        at = np.flatnonzero(starts)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > bpe.CACHE_PIECES:
             self.clear()
-        different = words.dictionary.to_pylist()
-        new = [w for w in different if w not in self.place]
+        new = [w for w in words if w not in self.place]
         if new:
             self.learn(new)
-        number = np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))[words.indices.to_numpy()]
-        count = self.count[number]
-        before = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(self.start[number] - before[:-1], count) + np.arange(before[-1])]
-        of_text = np.searchsorted(at, offset)
-        wrong = np.concatenate([[0], np.cumsum(~self.same[number])])
-        return ids, before[of_text], wrong[of_text[1:]] == wrong[of_text[:-1]]
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+def cuts(data: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Where words begin: at a text's start, and at a blank after what is no white space. Neither tokenizer has a token across such a place, or looks past it."""
+    blank = np.flatnonzero(data == 0x20)
+    before = [data[np.maximum(blank - k, 0)] for k in (1, 2, 3)]
+    # white space beyond ASCII has two bytes, of which the first is 0xC2, or three; what only looks like it may stay uncut
+    white = (before[0] == 0x20) | ((before[0] >= 0x09) & (before[0] <= 0x0D)) | (before[1] == 0xC2) | ((before[2] >= 0xE1) & (before[2] <= 0xE3))
+    begins = np.zeros(len(data), bool)
+    begins[blank[~white]] = True
+    begins[offset[:-1][np.diff(offset) > 0]] = True
+    return np.flatnonzero(begins)
+
+
+def spread(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that begin at start, one after another, and where each begins in that (and the end)."""
+    before = np.concatenate([[0], np.cumsum(count)])
+    return flat[np.repeat(start - before[:-1], count) + np.arange(before[-1])], before
 
 
 def groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +105,12 @@ def groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
             k += width
             width *= 2
         if k < n:
-            while width > 1:
+            while width > 16:
                 width //= 2
                 if a[k : k + width] == b[k + shift : k + shift + width]:
                     k += width
+            while a[k] == b[k + shift]:
+                k += 1
         else:
             k = n
         begin.append(i)
@@ -146,18 +150,32 @@ class Aligned:
     def __init__(self, first: bpe.Encoder, sizes: np.ndarray, second: Pieces, texts: pa.Array):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         read = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-        self.b, self.of_b, same = second.of(read.cast(pa.large_binary()))
-        if not same.all():
-            read = pc.if_else(pa.array(same), read, "")
-            self.b, self.of_b, _ = second.of(read.cast(pa.large_binary()))
-        number, _, of_text = first.pieces(read)
-        self.a, before = first.ids(number)
-        self.of_a = before[of_text]
+        self.encode(first, second, read)
+        if not self.same.all():
+            self.encode(first, second, pc.if_else(pa.array(self.same), read, ""))
         self.end_a, self.end_b = np.cumsum(sizes[self.a]), np.cumsum(second.size[self.b])
         self.group_a, self.group_b = groups(self.end_a, self.end_b)
         self.of_group = np.searchsorted(self.group_a, self.of_a, "right")
         self.of_link = self.of_a + self.of_b - self.of_group
 
+    def encode(self, first: bpe.Encoder, second: Pieces, texts: pa.Array) -> None:
+        """Ids of the texts, each empty or with a blank at its start, where each text's begin (and the end), and whether the second tokenizer gives it back. Equal words are encoded once."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        offset, data = np.concatenate([[0], np.cumsum(size)]), "".join(texts.to_pylist()).encode()
+        at = cuts(np.frombuffer(data, np.uint8), offset)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        which, of_text = words.indices.to_numpy(), np.searchsorted(at, offset)
+        number, _, of_word = first.pieces(words.dictionary.cast(pa.large_string()))
+        ids, before = first.ids(number)
+        start = before[of_word]
+        self.a, upto = spread(ids, start[:-1][which], np.diff(start)[which])
+        self.of_a = upto[of_text]
+        place = second.numbers(words.dictionary.to_pylist())[which]
+        self.b, upto = spread(second.flat, second.start[place], second.count[place])
+        self.of_b = upto[of_text]
+        wrong = np.concatenate([[0], np.cumsum(~second.same[place])])
+        self.same = wrong[of_text[1:]] == wrong[of_text[:-1]]
+
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The places of the tokens of each link: bytes between two neighbouring ends of either tokenizer belong to one token of each."""
         at_a, at_b = (np.bincount(end, minlength=(self.end_a[-1] if len(self.end_a) else 0) + 1).astype(bool) for end in (self.end_a, self.end_b))
@@ -195,7 +213,7 @@ def align(docs: DataFrame, first: str | None = None, second: str | None = None)
         within = [bpe.ragged(e - np.repeat(s[:-1], np.diff(g)), g) for e, s in ((x.group_a, x.of_a), (x.group_b, x.of_b))]
         return pa.RecordBatch.from_arrays([batch.column(0), bpe.ragged(x.a, x.of_a), bpe.ragged(x.b, x.of_b), *within], names=["doc_id", "a", "b", "ends_a", "ends_b"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_bytes(step, 1), "doc_id long, a array<int>, b array<int>, ends_a array<int>, ends_b array<int>")
+    return docs.select("doc_id", "text").mapInArrow(per_bytes(step, 1, TOGETHER), "doc_id long, a array<int>, b array<int>, ends_a array<int>, ends_b array<int>")
 
 
 @lru_cache(1)
@@ -216,11 +234,12 @@ def pair_counts(docs: DataFrame, first: str | None = None, second: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
         for batch in batches:
-            for texts in slices(batch.column(0)):
+            for texts in slices(batch.column(0), TOGETHER):
                 x = of(texts)
                 links = pa.array(x.codes()).dictionary_encode()
                 n = max(len(links.dictionary), 1)
-                once = np.unique(x.texts() * n + links.indices.to_numpy())  # a document counts once for each pair
+                once = np.sort(x.texts() * n + links.indices.to_numpy())
+                once = once[np.diff(once, prepend=-1) > 0]  # a document counts once for each pair
                 parts.append((links.dictionary.to_numpy(), np.bincount(once % n, minlength=len(links.dictionary))))
                 rows += len(parts[-1][0])
                 if rows > GATHER:
@@ -277,7 +296,7 @@ def measure(docs: DataFrame, counts: DataFrame, most: int = COMMON, first: str |
         columns = [batch.column(0), batch.column(1), *[pa.array(v.astype(np.int64)) for v in numbers], pa.array(digests(x), pa.string()), *lists]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(per_bytes(step, 2), schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(per_bytes(step, 2, TOGETHER), schema)
     rows = materialize(rows, "aligned")
     rest = rows.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("code"), F.col("x.times").alias("times"))
     rest = rest.join(counts, "code").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more"))

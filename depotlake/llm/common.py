@@ -101,13 +101,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = stop
 
 
-def per_bytes(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def per_bytes(step: Callable[[pa.RecordBatch], pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: step on slices of batches by the bytes of the text in a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(column)):
+            for part in slices(batch.column(column), most):
                 yield step(batch.slice(at, len(part)))
                 at += len(part)
 
