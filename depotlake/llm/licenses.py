@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
 A candidate block is all words within reach of a license's cue words, where reach is the length of the longest template, so
-it doesn't depend on how the text is wrapped; blocks that touch are one. Each block is compressed alone and with each
-template as a zstandard raw dictionary; templates are ranked by how much smaller the block gets. All that make it smaller, and
-those of a few words, which can save less than entropy coding varies, are then confirmed, or not, by the exact differences of wording at every place where enough of the template's word triples are.
+it doesn't depend on how the text is wrapped; blocks that touch are one. Each block is cut into windows of twice the reach that
+overlap by half, so that a saving doesn't depend on the block's length. Each window is compressed alone and with each license's
+templates as a zstandard raw dictionary; licenses are ranked by how much smaller the window gets. The rank never drops any: all
+are then confirmed, or not, by the exact differences of wording at every place where enough of a template's word triples are.
 
 Up to a tenth of the words may differ, besides a name that is filled in, but not those that tell a template from the others that
 it is like (versions, "affero", "lesser"), no word that tells other ones apart may come in, and a wording that goes on as a
 longer template does (with a third clause) isn't the shorter one. Where places overlap, the one with the most words
-in common counts (ties: fewer differences, then the order of the names). A block may hold any number of licenses; one without any is
+in common counts (ties: fewer differences, the larger saving, then the order of the names). A block may hold any number of licenses; one without any is
 reported as unknown.
 
 Null and empty texts have no blocks and give no rows; texts are taken whole; repeated rows each give theirs; an empty table
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from depotlake.llm.common import per_batch, table
 
 # Cue words, and templates of public licenses: notices and the texts' own wording. What is in <> is to be filled in.
-CUES = r"(?i)licen[sc]e|copyright|\(c\)\s?[0-9]{4}|rights[\W_]+reserved|public[\W_]+domain|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|warranty|warranties|spdx"
+CUES = r"(?i)licen[sc]e|copyright|\(c\)\s?[0-9]{4}|rights[\W_]+reserved|public[\W_]+domain|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|warranty|warranties|spdx|creative[\W_]+commons"
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -150,8 +151,48 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     ],
     "Proprietary": ["All rights reserved.", "All Rights Reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
-#: Differing words in relation to the template's; words of a seed; level of zstandard; share of common words from which templates are like each other; words of a name that is filled in; of a template that is confirmed whatever it saves.
-DIFFERING, SEED, LEVEL, ALIKE, FILL, FEW = 0.1, 3, 3, 0.5, 12, 16
+# Openings of the licenses' full texts.
+OPENINGS = {
+    "GPL-1.0": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "GFDL-1.2": "GNU Free Documentation License Version 1.2, November 2002",
+    "GFDL-1.3": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "MPL-1.1": "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "Artistic-1.0": "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package",
+}
+# What licenses are called in a line that grants them.
+CALLED = {
+    "MIT": ["MIT License"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "BSD-4-Clause": ["BSD 4-Clause License"],
+    "GPL-2.0": ["GNU General Public License v2.0", "GNU General Public License, version 2"],
+    "GPL-3.0": ["GNU General Public License v3.0", "GNU General Public License, version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3"],
+    "AGPL-3.0": ["GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3"],
+    "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, version 1.1"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    "BSL-1.0": ["Boost Software License 1.0"],
+    "CC-BY-3.0": ["Creative Commons Attribution 3.0 Unported License"],
+    "CC-BY-SA-3.0": ["Creative Commons Attribution-ShareAlike 3.0 Unported License"],
+}
+#: Lines that grant what is called so, or name it by its identifier.
+GRANTS, IDENTIFIER = ("under the {}", "under a {}", "under the terms of the {}"), "SPDX-License-Identifier: {}"
+#: Differing words in relation to the template's; words of a seed; level of zstandard; share of common words from which templates are like each other; words of a name that is filled in.
+DIFFERING, SEED, LEVEL, ALIKE, FILL = 0.1, 3, 3, 0.5, 12
 WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
 CUE = re.compile(CUES)
 
@@ -166,7 +207,6 @@ class Template:
     words: list[str]
     #: Places of the words that are filled in.
     free: set[int]
-    compressor: zstandard.ZstdCompressor
     #: Places of the words that tell it from templates like it, words that those have instead, and words with which longer ones go on.
     telling: set[int] = field(default_factory=set)
     foreign: set[str] = field(default_factory=set)
@@ -194,28 +234,36 @@ class Template:
                 self.foreign.update({other.words[i] for i in range(c, d) if i not in other.free} - set(self.words))
 
 
+def wordings() -> list[tuple[str, str]]:
+    """Names and texts of all templates: those that are listed, openings, and the lines made of names."""
+    out = [(name, t) for name, texts in TEMPLATES.items() for t in texts] + list(OPENINGS.items())
+    out += [(name, line.format(t)) for name, texts in CALLED.items() for t in texts for line in GRANTS]
+    return out + [(name, IDENTIFIER.format(name)) for name in dict.fromkeys(n for n, _ in out) if name != "Proprietary"]
+
+
 class Templates:
     def __init__(self):
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.all: list[Template] = []
-        for name, texts in TEMPLATES.items():
-            for text in texts:
-                free = {k for m in re.finditer("<[^>]*>", text) for k in range(len(words(text[: m.start()])), len(words(text[: m.end()])))}
-                own = words(text)
-                known = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                known.precompute_compress(level=LEVEL)
-                self.all.append(Template(name, own, free, zstandard.ZstdCompressor(level=LEVEL, dict_data=known)))
+        for name, text in wordings():
+            free = {k for m in re.finditer("<[^>]*>", text) for k in range(len(words(text[: m.start()])), len(words(text[: m.end()])))}
+            self.all.append(Template(name, words(text), free))
         for one in self.all:
             for other in self.all:
                 one.learn_from(other)
         self.reach = max(len(t.words) + t.shift for t in self.all)
-
-    def ranked(self, block: list[str]) -> list[tuple[int, float, Template]]:
-        """Bytes that each template saves, in relation to the block's alone too; the largest reduction first. Those that save nothing are left out, but for those of a FEW words."""
-        data = " ".join(block).encode()
+        self.compressors = {}
+        for name in dict.fromkeys(t.name for t in self.all):
+            known = zstandard.ZstdCompressionDict(" ".join(w for t in self.all if t.name == name for w in t.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=LEVEL)
+            self.compressors[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
+
+    def ranked(self, window: list[str]) -> dict[str, tuple[int, float]]:
+        """For each license its rank, and how much smaller its templates make the window, in relation to the window's own size; the largest reduction first."""
+        data = " ".join(window).encode()
         alone = len(self.plain.compress(data))
-        found = [(alone - len(t.compressor.compress(data)), k) for k, t in enumerate(self.all)]
-        return [(gain, gain / alone, self.all[k]) for gain, k in sorted(found, key=lambda x: (-x[0], x[1])) if gain > 0 or len(self.all[k].words) <= FEW]
+        found = sorted((len(c.compress(data)), name) for name, c in self.compressors.items())
+        return {name: (k, (alone - size) / alone) for k, (size, name) in enumerate(found)}
 
 
 @lru_cache(1)
@@ -226,6 +274,7 @@ def templates() -> Templates:
 @dataclass
 class Found:
     name: str
+    rank: int
     reduction: float
     begin: int
     end: int
@@ -249,7 +298,7 @@ def places(at: dict[tuple[str, ...], list[int]], t: Template) -> list[tuple[int,
     return out
 
 
-def compared(block: list[str], t: Template, low: int, high: int, reduction: float) -> Found | None:
+def compared(block: list[str], t: Template, low: int, high: int, rank: int, reduction: float) -> Found | None:
     """The differences of wording where the template begins between low and high; None if they are too many or touch telling words."""
     low = max(0, low)
     part = block[low : high + len(t.words)]
@@ -267,7 +316,7 @@ def compared(block: list[str], t: Template, low: int, high: int, reduction: floa
                 return None
     if counted > t.slack or not t.telling <= kept or (end < len(block) and block[end] in t.goes_on):
         return None
-    return Found(t.name, round(reduction, 4), begin, end, len(kept), lacking, added)
+    return Found(t.name, rank, round(reduction, 4), begin, end, len(kept), lacking, added)
 
 
 def licenses_in(block: list[str]) -> list[Found]:
@@ -276,9 +325,18 @@ def licenses_in(block: list[str]) -> list[Found]:
     for k in range(1, SEED + 1):
         for i in range(len(block) - k + 1):
             at[tuple(block[i : i + k])].append(i)
-    every = [f for _, share, t in templates().ranked(block) for low, high in places(at, t) if (f := compared(block, t, low, high, share))]
+    own = templates()
+    # a template that begins in the first half of a window ends in it
+    half = own.reach
+    windows = [own.ranked(block[k : k + 2 * half]) for k in range(0, max(len(block) - half, 1), half)]
+    every = []
+    for t in own.all:
+        for low, high in places(at, t):
+            rank, reduction = windows[min(max(low, 0) // half, len(windows) - 1)][t.name]
+            if f := compared(block, t, low, high, rank, reduction):
+                every.append(f)
     out: list[Found] = []
-    for f in sorted(every, key=lambda f: (-f.same, f.lacking + f.added, f.name, f.begin)):
+    for f in sorted(every, key=lambda f: (-f.same, f.lacking + f.added, f.rank, f.name, f.begin)):
         k = bisect_left(out, f.begin, key=lambda o: o.begin)
         if (k == 0 or out[k - 1].end <= f.begin) and (k == len(out) or out[k].begin >= f.end):
             out.insert(k, f)
