@@ -2,7 +2,8 @@
 
 The two halves of the unit vectors have a codebook each; a cell of their product grid holds the vectors that are nearest to
 both its centroids. A vector visits cells in the order of the sum of both distances (multi-sequence order) until the number
-of cells is reached at which, on the sample, neighbours placed at exactly the threshold are found with the target recall.
+of cells is reached at which, on the sample, neighbours are found with the target recall: such as are placed at exactly the
+threshold in random directions and in those in which the sample's vectors differ, and the sample's own similar pairs.
 In each cell the cosine of every visitor with every member is computed in double precision; nothing below the threshold links.
 A pair is found if either of the two visits the other's cell, and counts once.
 
@@ -86,16 +87,37 @@ def ranks(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cell: np.ndarray)
     return np.array(out)
 
 
+def neighbours(x: np.ndarray, threshold: float, random: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of vectors (rows of the sample, their neighbours): placed at the threshold in a random direction, towards another vector of the sample, towards one of those that are near, against the one that is away from it, and pairs of the sample that are similar themselves."""
+    some, n = x[:1024], len(x)
+    cos = some @ x.T
+    cos[np.arange(len(some)), np.arange(len(some))] = -2
+    like = np.argwhere(cos >= threshold)
+    near = np.where(cos < threshold, cos, -2).argpartition(-min(8, n), 1)[:, -min(8, n) :]
+    other = random.integers(0, n, (3, len(some)))
+    ways = [
+        random.normal(size=some.shape), x[other[0]] - some, x[other[1]] - x[other[2]],
+        x[np.take_along_axis(near, random.integers(0, near.shape[1], (len(some), 1)), 1)[:, 0]] - some,
+    ]
+    for way in ways:
+        away = way - (way * some).sum(1, keepdims=True) * some
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        rows = np.flatnonzero(size[:, 0] > 1e-9)
+        if len(rows):
+            yield some[rows], threshold * some[rows] + np.sqrt(1 - threshold**2) * away[rows] / size[rows]
+    if len(like):
+        like = like[random.permutation(len(like))[:2048]]
+        yield some[like[:, 0]], x[like[:, 1]]
+
+
 def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float, seed: int = 6) -> int:
-    """Cells to visit so that a neighbour at the threshold, in a random direction, is found by either side with the target recall."""
-    random = np.random.default_rng(seed)
-    x = x[:1024]
-    away = random.normal(size=x.shape)
-    away -= (away * x).sum(1, keepdims=True) * x
-    y = threshold * x + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    there, back = visits(x, books, 1)[:, 0], visits(y, books, 1)[:, 0]
-    rank = np.minimum(ranks(x, books, back), ranks(y, books, there))
-    return int(np.quantile(rank, recall, method="higher")) + 1
+    """Cells to visit so that of each kind of neighbours the target recall is found by either side: the sample's own directions, as real vectors differ in them, and random ones."""
+    most = 1
+    for a, b in neighbours(x, threshold, np.random.default_rng(seed)):
+        there, back = visits(a, books, 1)[:, 0], visits(b, books, 1)[:, 0]
+        rank = np.minimum(ranks(a, books, back), ranks(b, books, there))
+        most = max(most, int(np.quantile(rank, recall, method="higher")) + 1)
+    return most
 
 
 def centroids(n: int, dim: int) -> int:

@@ -253,6 +253,24 @@ def test_embeddings_recall_and_labels_ignored(spark):
     assert sum(r.n_links for r in out) >= 0.95 * sum(n for n, _ in want.values()) and all(r.n_links <= want[r.vec_id][0] for r in out)
 
 
+@pytest.mark.parametrize("dim, near, noise", [(64, 12, 0.0), (256, 12, 0.0), (768, 20, 0.3), (256, 256, 0.0)])
+def test_embeddings_recall_near_few_dimensions(spark, dim, near, noise):
+    """Vectors near a few dimensions, each with a neighbour there at cosine 0.90 to 0.93."""
+    rng = np.random.default_rng(12)
+    basis, n = rng.normal(size=(near, dim)), 1500
+    x, w = (rng.normal(size=(n, near)) @ basis + noise * rng.normal(size=(n, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w -= (w * x).sum(1, keepdims=True) * x
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.93, size=(n, 1))
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * w])
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    out = embeddings.similar_vectors(df).collect()
+    cos = v @ v.T
+    there = {k: int(m) - 1 for k, m in enumerate((cos >= 0.9 - 1e-12).sum(1))}
+    assert all(r.n_links <= there[r.vec_id] for r in out) and sum(r.n_links for r in out) >= 0.95 * sum(there.values())
+
+
 def test_fit_for_ten_million_vectors_is_small():
     import tracemalloc
 
