@@ -105,10 +105,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample_of(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 1) -> DataFrame:
-    """lang and features of about so many learnable documents of each language: one pass counts, one draws."""
+    """doc_id, lang and features of about so many learnable documents of each language: one pass counts ids (a sketch that repeated rows don't change), one draws."""
     learnable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    chance = {r["lang"]: per_language / r["rows"] for r in counts.orderBy("lang").collect()}  # one row for each language
+    counts = learnable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    chance = {r["lang"]: per_language / max(r["ids"], 1) for r in counts.orderBy("lang").collect()}  # one row for each language
     drawn = F.lit(False)
     for lang, share in chance.items():
         drawn = drawn | ((F.col("lang") == lang) & (unit_hash("doc_id", seed=seed) < share))

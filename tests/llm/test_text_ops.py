@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import difflib
 import random
 import re
 import textwrap
@@ -154,11 +155,25 @@ def test_language_sample_is_bounded_under_repeated_rows(spark):
     every = langid.sample_of(docs, per_language=docs.count()).collect()
     assert sorted(r.doc_id for r in every) == ids
     few = [r.doc_id for r in langid.sample_of(docs, per_language=10_000).collect()]
-    assert len(few) == len(set(few)) <= 400
+    assert sorted(few) == ids
     first = {r.doc_id: r.x for r in langid.sample_of(docs.repartition(5), per_language=docs.count()).collect()}
     assert all(first[r.doc_id] == r.x for r in every)
 
 
+def test_repeated_rows_leave_the_model_as_it_is(spark, documents):
+    """Each row 1, 10 or 300 times: the same sample, all languages in it, and the same machines."""
+    first = None
+    for times in (1, 10, 300):
+        docs = documents.select("doc_id", "text", "lang").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("k")
+        rows = sorted((r.lang, r.doc_id) for r in langid.sample_of(docs, per_language=25).collect())
+        model = langid.train(docs, 25)
+        learned = [r.lang for r in documents.where(documents["lang"].isNotNull()).select("lang").distinct().collect()]
+        assert sorted(x for f in model.families for x in model.languages[f]) == sorted(learned) and all(sum(a == lang for a, _ in rows) >= 10 for lang in learned)
+        weights = [m.weights.tolist() for m in model.machines()]
+        first = first or (rows, weights)
+        assert (rows, weights) == first
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
@@ -234,6 +249,48 @@ def test_redaction_keeps_columns_and_clean_rows(odd, empty, spark):
 
 
 FILLED = {name: [re.sub("[<>]", "", t) for t in texts] for name, texts in licenses.TEMPLATES.items()}
+CUED = "the quick license of brown copyright fox jumps over some warranty words here and there in prose again".split()
+
+
+@pytest.mark.parametrize("n", [0, 200, 2000, 20_000])
+def test_each_wording_between_prose_with_cues(n):
+    """However long the block is that a license lies in."""
+    rng = random.Random(n)
+    for k, (name, text) in enumerate(licenses.wordings()):
+        if n < 20_000 or k % 8 == 0:
+            before, after = (" ".join(rng.choices(CUED, k=n)) for _ in range(2))
+            found = licenses.scan_text(f"{before} zq {re.sub('[<>]', '', text)} zq {after}")
+            assert [(r[3], r[5], r[6]) for r in found] == [(name, 0, 0)], (name, text, n)
+
+
+def test_changed_wordings_against_all_places():
+    """Long wordings with some words changed, dropped and put in: the differences at the best of all places are those that are reported."""
+    rng = random.Random(8)
+    for name, texts in FILLED.items():
+        for text in texts:
+            own = licenses.words(text)
+            t = next(x for x in licenses.templates().all if x.words == own)
+            loose = [i for i in range(3, len(own) - 3) if i not in t.telling | t.free]
+            if len(own) < 40 or len(loose) < 12:
+                continue
+            changed = list(own)
+            for i in sorted(rng.sample(loose, t.slack // 3), reverse=True):
+                changed[i : i + 1] = rng.choice([["zzq"], [], [own[i], "zzr"]])
+            block = rng.choices(CUED, k=900) + ["zq"] + changed + ["zq"] + rng.choices(CUED, k=900)
+            (row,) = licenses.scan_text(" ".join(block))
+            least = min(sum(max(b - a, d - c) for kind, a, b, c, d in difflib.SequenceMatcher(None, block[k : k + len(changed)], own, autojunk=False).get_opcodes() if kind != "equal") for k in range(899, 904))
+            assert row[3] == name and max(row[5], row[6]) <= least <= row[5] + row[6] + 1
+
+
+@pytest.mark.parametrize(
+    "line, name",
+    [("Licensed under the MIT License.", "MIT"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("Released under the Apache 2.0 license", "Apache-2.0"),
+     ("This work is under a Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"), ("distributed under the terms of the GNU General Public License v3.0", "GPL-3.0")],
+)
+def test_lines_that_grant(line, name):
+    assert [r[3] for r in licenses.scan_text(f"{PROSE}{line}\n{PROSE}")] == [name]
+
+
 PROSE = "Some prose comes first, and goes on for a line.\n" * 3
 
 
