@@ -5,8 +5,9 @@ current shift between the two indices, ever longer stretches are compared (1, 2,
 halved down to the first difference. What was equal is one-to-one and is jumped over. There an irregular group begins: the end
 that lags is moved on until both meet, which gives the new shift. Texts of a batch are one sequence, as each text's end is common.
 
-Two tokens are linked where their bytes overlap. The number of documents that hold two ids linked is summed in tasks and then
-over all; the most frequent id pairs (at most COMMON) go to all tasks, and texts' other pairs are joined by id pair.
+Two tokens are linked where their bytes overlap. Texts are encoded and aligned once; a table keeps each row's figures and its
+different id pairs with their numbers. The number of documents that hold a pair is summed in tasks and then over all; the most
+frequent pairs (at most COMMON) go to all tasks, and rows' other pairs are joined by the pair.
 
 Null and empty texts, and texts that a tokenizer does not give back byte for byte, have no tokens: zeros and an empty string.
 Texts are taken whole; each row is a document, also where it repeats another; an empty table gives an empty result; only the
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlake.llm import bpe
-from depotlake.llm.common import at_most, materialize, per_bytes, slices, table
+from depotlake.llm.common import at_most, materialize, per_batch, per_bytes, table
 
 #: A: byte-level BPE, whose ranks are its ids (the file has the entries of byte_bpe_50k.json). B: BPE of pieces with byte fallback.
 FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: Id pairs that all tasks get, (document, pair) rows that a task gathers before it sums them, and bytes of the texts that are aligned together.
+#: Id pairs that all tasks get, pairs of rows that a task gathers before it sums them, and bytes of the texts that are aligned together.
 COMMON, GATHER, TOGETHER = 1 << 20, 1 << 21, 1 << 21
+#: A pair is one number: the first id times 2 ** SHIFT, and the second id. Ids of the first tokenizer are below 2 ** (31 - SHIFT).
+SHIFT = 15
 BLANK, MARK = b" ", "▁"
-#: Ids are below this number.
-VOCABULARY = 1 << 17
+VOCABULARY = 1 << 16
 
 
 class Pieces:
@@ -185,7 +187,7 @@ class Aligned:
     def codes(self) -> np.ndarray:
         """The id pair of each link as one number."""
         a, b = self.links()
-        return self.a[a].astype(np.int64) << 32 | self.b[b]
+        return self.a[a].astype(np.int64) << SHIFT | self.b[b]
 
     def texts(self) -> np.ndarray:
         """The text of each link."""
@@ -194,8 +196,10 @@ class Aligned:
 
 @lru_cache(2)
 def tools(first: str, second: str) -> tuple[bpe.Encoder, np.ndarray, Pieces]:
-    own = bpe.encoder(first)
-    return own, pc.binary_length(own.tokens).to_numpy().astype(np.int64), Pieces(second)
+    own, other = bpe.encoder(first), Pieces(second)
+    if len(own.tokens) > VOCABULARY or len(other.size) > 1 << SHIFT:
+        raise ValueError("a pair of ids doesn't fit in 31 bits")
+    return own, pc.binary_length(own.tokens).to_numpy().astype(np.int64), other
 
 
 def aligner(first: str | None = None, second: str | None = None) -> Callable[[pa.Array], Aligned]:
@@ -222,91 +226,106 @@ def names() -> pa.Array:
     return pa.array([b"%d%c" % (i, c) for c in b",|;" for i in range(VOCABULARY)], pa.large_binary())
 
 
-def pair_counts(docs: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
-    """code (the id pair), its documents, and whether no pair of the same first id has more."""
+def digests(x: Aligned) -> list[str]:
+    """The hash of each text's groups: ids of the first tokenizer, a bar, ids of the second, with a semicolon between groups."""
+    n = VOCABULARY
+    size = lambda ends: np.diff(ends, prepend=0)
+    before_b = np.concatenate([[0], x.group_b[:-1]]) if len(x.group_b) else x.group_b
+    symbol = np.zeros(len(x.a) + len(x.b), np.int64)
+    kind_a, kind_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+    kind_a[x.group_a - 1], kind_b[x.group_b - 1] = n, 2 * n
+    symbol[np.arange(len(x.a)) + np.repeat(before_b, size(x.group_a))] = x.a + kind_a
+    symbol[np.arange(len(x.b)) + np.repeat(x.group_a, size(x.group_b))] = x.b + kind_b
+    return [hashlib.sha256(s[:-1]).hexdigest() if len(s) else "" for s in bpe.joined(names(), pa.array(symbol), x.of_a + x.of_b)]
+
+
+FIGURES = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
+
+
+def figures(docs: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
+    """For each row its number, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its different pairs with how often it has each; written as a table."""
     of = aligner(first, second)
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        docs = np.bincount(back, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(docs)], names=["code", "docs"])
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, rows = of(batch.column(2)), batch.num_rows
+        own = np.sort(x.texts() << 31 | x.codes())
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        upto = pa.array(np.searchsorted(own[new], np.arange(rows + 1) << 31), pa.int32())
+        lists = [pa.ListArray.from_arrays(upto, pa.array(v.astype(np.int32))) for v in (own[new] & (1 << 31) - 1, np.diff(np.append(new, len(own))))]
+        numbers = [pa.array(np.diff(v).astype(np.int64)) for v in (x.of_a, x.of_b, x.of_group, x.of_link)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers, pa.array(digests(x), pa.string()), *lists], names=[c.split()[0] for c in FIGURES.split(", ")])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(per_bytes(step, 2, TOGETHER), FIGURES)
+    return materialize(rows, "aligned")
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """pair, the documents that have it, and whether no pair of the same first id has more; from the rows of figures()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], 0
+        parts, gathered = [], 0
+
+        def summed() -> pa.RecordBatch:
+            pairs = np.sort(np.concatenate(parts))
+            new = np.flatnonzero(np.diff(pairs, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[new]), pa.array(np.diff(np.append(new, len(pairs))))], names=["pair", "docs"])
+
         for batch in batches:
-            for texts in slices(batch.column(0), TOGETHER):
-                x = of(texts)
-                links = pa.array(x.codes()).dictionary_encode()
-                n = max(len(links.dictionary), 1)
-                once = np.sort(x.texts() * n + links.indices.to_numpy())
-                once = once[np.diff(once, prepend=-1) > 0]  # a document counts once for each pair
-                parts.append((links.dictionary.to_numpy(), np.bincount(once % n, minlength=len(links.dictionary))))
-                rows += len(parts[-1][0])
-                if rows > GATHER:
-                    yield summed(parts)
-                    parts, rows = [], 0
-        if parts:
-            yield summed(parts)
-
-    counts = docs.select("text").mapInArrow(run, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
-    counts = materialize(counts, "pairs")
-    most = counts.groupBy(F.shiftright("code", 32).alias("a")).agg(F.max("docs").alias("most"))  # one row for each id of the vocabulary
-    return counts.withColumn("a", F.shiftright("code", 32)).join(F.broadcast(most), "a").select("code", "docs", (F.col("docs") == F.col("most")).alias("best"))
+            parts.append(batch.column(0).flatten().to_numpy())
+            gathered += len(parts[-1])
+            if gathered > GATHER:
+                yield summed()
+                parts, gathered = [], 0
+        if gathered:
+            yield summed()
+
+    counts = rows.select("pairs").mapInArrow(run, "pair int, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
+    counts = materialize(counts, "pairs").withColumn("a", F.shiftright("pair", SHIFT))
+    most = counts.groupBy("a").agg(F.max("docs").alias("most"))  # one row for each id of the vocabulary
+    return materialize(counts.join(F.broadcast(most), "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair-counts")
 
 
 def common_pairs(counts: DataFrame, most: int = COMMON) -> pa.Table:
-    """The pairs of the most documents, at most so many, by code."""
-    return at_most(counts, "docs", most).toArrow().sort_by("code")
+    """The pairs of the most documents, at most so many, by pair."""
+    return at_most(counts, "docs", most).toArrow().sort_by("pair")
 
 
-def measure(docs: DataFrame, counts: DataFrame, most: int = COMMON, first: str | None = None, second: str | None = None) -> DataFrame:
-    """For each row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
+def measure(rows: DataFrame, counts: DataFrame, most: int = COMMON) -> DataFrame:
+    """For each row of figures() doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
     found = common_pairs(counts, most)
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy() for c in ("code", "docs", "best")))
-    of = aligner(first, second)
-    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rest array<long>, times array<long>"
-
-    def digests(x: Aligned) -> list[str]:
-        n = VOCABULARY
-        group = lambda ends: np.diff(ends, prepend=0)
-        before_b = np.concatenate([[0], x.group_b[:-1]]) if len(x.group_b) else x.group_b
-        symbol = np.zeros(len(x.a) + len(x.b), np.int64)
-        kind_a, kind_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
-        kind_a[x.group_a - 1], kind_b[x.group_b - 1] = n, 2 * n
-        symbol[np.arange(len(x.a)) + np.repeat(before_b, group(x.group_a))] = x.a + kind_a
-        symbol[np.arange(len(x.b)) + np.repeat(x.group_a, group(x.group_b))] = x.b + kind_b
-        return [hashlib.sha256(s[:-1]).hexdigest() if len(s) else "" for s in bpe.joined(names(), pa.array(symbol), x.of_a + x.of_b)]
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy() for c in ("pair", "docs", "best")))
+    kept = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    schema = FIGURES.replace("pairs array<int>", "n_best long, count_sum long, rest array<int>")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, (known, docs_of, best_of) = of(batch.column(2)), shared.value
-        links, text, rows = pa.array(x.codes()).dictionary_encode(), x.texts(), batch.num_rows
-        different, number = links.dictionary.to_numpy(), links.indices.to_numpy()
+        pairs, times, (known, docs_of, best_of) = batch.column(7), batch.column(8).flatten().to_numpy().astype(np.int64), shared.value
+        ends = pairs.offsets.to_numpy().astype(np.int64) - pairs.offsets[0].as_py()
+        own = pairs.flatten().dictionary_encode()
+        different, which = own.dictionary.to_numpy(), own.indices.to_numpy()
         at = np.minimum(np.searchsorted(known, different), max(len(known) - 1, 0))
         is_known = known[at] == different if len(known) else np.zeros(len(different), bool)
         value = np.where(is_known, docs_of[at], 0) if len(known) else np.zeros(len(different), np.int64)
         best = is_known & best_of[at] if len(known) else is_known
-        running = np.concatenate([[0], np.cumsum(value[number])])
-        sums = running[x.of_link[1:]] - running[x.of_link[:-1]]
-        n_best = np.bincount(text, best[number], rows).astype(np.int64)
-        rare = ~is_known[number]
-        once, times = np.unique(text[rare] * max(len(different), 1) + number[rare], return_counts=True)
-        upto = np.searchsorted(once, np.arange(rows + 1) * max(len(different), 1))
-        lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(v.astype(np.int64))) for v in (different[once % max(len(different), 1)], times)]
-        numbers = [np.diff(x.of_a), np.diff(x.of_b), np.diff(x.of_group), np.diff(x.of_link), n_best, sums]
-        columns = [batch.column(0), batch.column(1), *[pa.array(v.astype(np.int64)) for v in numbers], pa.array(digests(x), pa.string()), *lists]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(per_bytes(step, 2, TOGETHER), schema)
-    rows = materialize(rows, "aligned")
-    rest = rows.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("code"), F.col("x.times").alias("times"))
-    rest = rest.join(counts, "code").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more"))
-    out = rows.join(rest, "row", "left")
-    return out.select(
+        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
+        rare = ~is_known[which]
+        cut = pa.array(np.concatenate([[0], np.cumsum(rare)])[ends], pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(v[rare].astype(np.int32))) for v in (different[which], times)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(total(best[which] * times)), pa.array(total(value[which] * times)), *lists], names=[c.split()[0] for c in schema.split(", ")])
+
+    summed = rows.select(*kept, "pairs", "times").mapInArrow(per_batch(step, 256), schema)
+    summed = materialize(summed, "links")
+    rest = summed.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("pair"), F.col("x.times").alias("times"))
+    rest = rest.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("docs")).alias("more"))
+    return summed.join(rest, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), "groups_sha256",
     )
 
 
+def scored(docs: DataFrame, most: int = COMMON) -> DataFrame:
+    rows = figures(docs)
+    return measure(rows, pair_counts(rows), most)
+
+
 def op12_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return measure(docs, materialize(pair_counts(docs), "pair-counts"))
+    return scored(table(spark, sf_dir, "documents"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from depotlake.llm import align, bpe
-from depotlake.llm.common import materialize
 
 
 @pytest.fixture(scope="module")
@@ -86,13 +85,10 @@ def test_hard_texts(spark, libraries, most):
     """With all pairs in tasks, some, or none."""
     texts = [*HARD, HARD[0], None, "", "long " + "véry löng " * 3000]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, code string").repartition(3)
-    ours = align.measure(docs, materialize(align.pair_counts(docs), "pair-counts"), most=most)
-    want = brute(texts[:-1], libraries)
-    got = rows_of(ours.where(F.col("doc_id") < len(texts) - 1).select("doc_id", *COLUMNS))
-    # the long text, whose overlaps are too many to compare in pairs, adds to the counts only
-    plain = align.measure(docs.where(F.col("doc_id") < len(texts) - 1), materialize(align.pair_counts(docs.where(F.col("doc_id") < len(texts) - 1)), "pair-counts"), most=most)
-    assert rows_of(plain) == Counter((k, *w) for k, w in enumerate(want))
-    assert {g[:5] for g in got} == {(k, *w[:4]) for k, w in enumerate(want)}
+    want = brute_fast(texts, libraries)
+    assert rows_of(align.scored(docs, most)) == Counter((k, *w) for k, w in enumerate(want))
+    short = docs.where(F.col("doc_id") < len(texts) - 1)
+    assert rows_of(align.scored(short, most)) == Counter((k, *w) for k, w in enumerate(brute(texts[:-1], libraries)))
 
 
 def test_op12_against_brute_force(spark, data, documents, libraries):
@@ -144,8 +140,8 @@ def test_groups_of_random_ends():
 
 
 def test_outputs_and_odd_rows(spark, odd, empty):
-    assert align.measure(empty, materialize(align.pair_counts(empty), "pair-counts")).count() == 0
-    out = align.measure(odd, materialize(align.pair_counts(odd), "pair-counts")).collect()
+    assert align.scored(empty).count() == 0
+    out = align.scored(odd).collect()
     assert len(out) == odd.count() and all(r.groups_sha256 == "" and r.n_links == 0 for r in out if r.doc_id in (1, 2))
     for r in align.align(odd).collect():
         assert (r.ends_a[-1], r.ends_b[-1]) == (len(r.a), len(r.b)) if r.a else not r.b and not r.ends_a
