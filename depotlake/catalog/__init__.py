@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("staging", "series", "decisions", "checks", "scoring", "io")
+AREAS = ("staging", "series", "decisions", "checks", "scoring", "io", "history", "streams")
 
 
 def _all():

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlake.catalog.base import Tables, big, day, dbl, query
-from depotlake.catalog.decisions import event_rows
 from depotlake.sources import files as SRC
-from depotlake.streaming import events as EV
 
 ORDERS = T.StructType([T.StructField(n, t) for n, t in (("order_id", T.StringType()), ("order_status", T.StringType()), ("experiment_id", T.StringType()), ("total_items", T.IntegerType()), ("total_amount", T.DecimalType(12, 2)))])
 
@@ -89,17 +87,3 @@ def per_key(t: Tables):
 
 
 query("sink_per_key_files", per_key, None, "SELECT experiment_id, experiment_group, COUNT(*) AS n FROM {fact_orders} WHERE experiment_id <> '' GROUP BY 1, 2")
-
-
-def streamed(t: Tables):
-    source, out, mark = (SRC.scratch(t.spark, n) for n in ("events-in", "events-out", "events-offsets"))
-    event_rows(t).select(F.to_json(F.struct("topic", "key", "value")).alias("line")).repartition(4).write.text(source)
-    lines = t.spark.readStream.schema("line string").option("maxFilesPerTrigger", 2).text(source)
-    messages = lines.select(F.from_json("line", "topic string, key string, value string").alias("m")).select("m.*")
-    EV.append_batches(EV.route(messages, "orders_stream"), out, mark).awaitTermination()
-    return t.spark.read.parquet(out).select("order_id", "total_items", F.to_date("date").alias("date"))
-
-
-STREAMED = "SELECT CONCAT('O-', CAST(event_id AS VARCHAR)) AS order_id, CAST(event_id % 4 AS BIGINT) AS total_items, strftime(ts, '%Y-%m-%d') AS date FROM {events} WHERE event_id % 4 >= 1 AND value IS NOT NULL"
-query("stream_microbatch", streamed, None, STREAMED)
-query("stream_load_table", streamed, None, STREAMED)

@@ -1,4 +1,7 @@
-"""Models: training, the store, scores, and what is made of them. A model is fitted once for each application and folder of tables."""
+"""Models: training, the store, scores, and what is made of them.
+
+A query that reports on training fits its models; those that only use a model take the last one that was fitted on the same files.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from depotlake.catalog.base import ORACLES, Tables, query
-from depotlake.catalog.decisions import eta_pred
-from depotlake.catalog.series import dates_of, kpis_of
+from depotlake.catalog.series import dates_of, kpis_of, rounded
 from depotlake.catalog.staging import Staged
 from depotlake.plans import features as P
 from depotlake.plans import models as ML
@@ -30,7 +32,7 @@ def eta_rows(t: Tables):
 
 
 def stockout_rows(t: Tables):
-    return P.stockout_features(Staged(t).int_inventory, dates_of(t)).withColumn("date", F.col("snapshot_date"))
+    return P.stockout_features(Staged(t).int_inventory, dates_of(t), products=t.dim_product).withColumn("date", F.col("snapshot_date"))
 
 
 KINDS = {
@@ -40,14 +42,28 @@ KINDS = {
 }
 
 
+def state(t: Tables) -> tuple:
+    """The files of the folder, with their lengths and times: a model is another one if they change."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(t.sf_dir)
+    files = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def trained(t: Tables, kind: str) -> tuple:
+    """Fits all candidates: name of the best model, the model, and the table of all models' metrics."""
+    rows, train, label, features = KINDS[kind]
+    split = P.temporal_split(rows(t), "date", TRAIN_END, VALID_END)
+    FITTED[t.spark.sparkContext.applicationId, kind, state(t)] = out = train(split.where("split = 'train'"), split.where("split = 'validation'"), label, features)
+    return out
+
+
 def fitted(t: Tables, kind: str) -> tuple:
-    """Name of the best model, the model, and the table of all models' metrics."""
-    key = t.spark.sparkContext.applicationId, t.sf_dir, kind
-    if key not in FITTED:
-        rows, train, label, features = KINDS[kind]
-        split = P.temporal_split(rows(t), "date", TRAIN_END, VALID_END)
-        FITTED[key] = train(split.where("split = 'train'"), split.where("split = 'validation'"), label, features)
-    return FITTED[key]
+    """The model that was fitted on these files, or a new one."""
+    return FITTED.get((t.spark.sparkContext.applicationId, kind, state(t))) or trained(t, kind)
 
 
 def stored(t: Tables):
@@ -80,13 +96,27 @@ def forecasted(t: Tables):
     return ML.forecast(fitted(t, "demand")[1], kpis_of(t), ML.extend_calendar(t.spark, dates_of(t), date(2001, 12, 31)), t.dim_product, GENERATED)
 
 
-query("train_demand", lambda t: fitted(t, "demand")[2], "model mape rmse mae r2 n")
-query("train_eta", lambda t: fitted(t, "eta")[2], "model mape rmse mae r2 n")
-query("train_stockout", lambda t: fitted(t, "stockout")[2], "model tp fp fn tn precision recall f1")
+query("train_demand", lambda t: trained(t, "demand")[2], "model mape rmse mae r2 n")
+query("train_eta", lambda t: trained(t, "eta")[2], "model mape rmse mae r2 n")
+query("train_stockout", lambda t: trained(t, "stockout")[2], "model auc_roc tp fp fn tn precision recall f1")
 query("model_store", stored, None, "SELECT * FROM (VALUES ('demand', 34), ('eta', 22), ('stockout', 32)) v(name, n_features)")
 query("feature_importance_topk", lambda t: ML.feature_importance(t.spark, fitted(t, "demand")[1], P.DEMAND_FEATURES), None)
-query("sort_models", lambda t: ML.ranked_models(ML.regression_metrics(eta_pred(t), "actual_delivery_minutes", "predicted_eta", ["warehouse_id"]).withColumnRenamed("warehouse_id", "model"), "mape"), "place model mape")
-ORACLES["sort_models"] = f"SELECT ROW_NUMBER() OVER (ORDER BY mape NULLS LAST, warehouse_id) AS place, warehouse_id AS model, mape FROM ({ORACLES['metrics_regression']}) m"
+# Forecasts that need no training, ranked by their errors.
+NAIVE = {"yesterday": "demand_lag_1d", "last_week": "demand_lag_7d", "four_weeks_ago": "demand_lag_28d", "mean_7d": "demand_rolling_avg_7d", "mean_30d": "demand_rolling_avg_30d"}
+
+
+def naive_models(t: Tables):
+    rows = rounded(demand_rows(t), ["date", "product_id", *NAIVE.values()]).join(kpis_of(t).select("date", "product_id", F.col("total_units_sold").cast("double").alias("a")), ["date", "product_id"])
+    each = rows.select("a", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in NAIVE.items()])).alias("m")).select("a", "m.*")
+    return ML.ranked_models(ML.regression_metrics(each, "a", "p", ["model"]), "mape")
+
+
+query(
+    "sort_models", naive_models, "place model mape rmse mae",
+    f"""SELECT ROW_NUMBER() OVER (ORDER BY mape NULLS LAST, model) AS place, * FROM (
+        SELECT model, ROUND(AVG(CASE WHEN a <> 0 THEN ABS((a - p) / a) END) * 100, 4) AS mape, ROUND(SQRT(AVG((a - p) * (a - p))), 4) AS rmse, ROUND(AVG(ABS(a - p)), 4) AS mae
+        FROM ({' UNION ALL '.join(f"SELECT '{n}' AS model, CAST(k.total_units_sold AS DOUBLE) AS a, f.{c} AS p FROM ({ORACLES['demand_features']}) f JOIN ({ORACLES['mart_daily_product_kpis']}) k ON k.date = f.date AND k.product_id = f.product_id" for n, c in NAIVE.items())}) x GROUP BY 1) y""",
+)
 
 query("score_demand", demand_scores, "date product_id total_units_sold demand_forecast forecast_error")
 query(

@@ -61,7 +61,7 @@ def incremental_mart(t):
 
 
 query("incremental_mart", incremental_mart, None, f"SELECT {day('date')}, warehouse_id, total_orders AS total_orders_assigned, near AS orders_from_nearest FROM {O_DAY} o")
-query("incremental_score", lambda t: P.stockout_features(Staged(t).int_inventory.where("snapshot_date > date'1998-01-01' - interval 60 days"), dates_of(t)).where("snapshot_date > date'1998-01-01'").select("snapshot_date", "warehouse_id", "product_id", "closing_stock", "closing_stock_lag_1d"), None,
+query("incremental_score", lambda t: P.stockout_features(Staged(t).int_inventory.where("snapshot_date > date'1998-01-01' - interval 60 days"), dates_of(t), products=t.dim_product).where("snapshot_date > date'1998-01-01'").select("snapshot_date", "warehouse_id", "product_id", "closing_stock", "closing_stock_lag_1d"), None,
       f"""SELECT {day('snapshot_date')}, warehouse_id, product_id, CAST(closing_stock AS DOUBLE) AS closing_stock, CAST(l1 AS DOUBLE) AS closing_stock_lag_1d FROM (SELECT *, LAG(closing_stock) OVER w AS l1, LAG(closing_stock, 7) OVER w AS l7 FROM {INVENTORY} i WHERE snapshot_date > DATE '1998-01-01' - 60
       WINDOW w AS (PARTITION BY warehouse_id, product_id ORDER BY snapshot_date)) x WHERE snapshot_date > DATE '1998-01-01' AND l7 IS NOT NULL""")
 
@@ -117,7 +117,7 @@ COLUMNS = ["date", "product_id", *[c for c in P.DEMAND_FEATURES if c.startswith(
 query("demand_features", lambda t: rounded(P.demand_features(kpis_of(t), dates_of(t), t.dim_product), COLUMNS), None, f"SELECT * FROM ({DEMAND_SQL}) x WHERE demand_lag_28d IS NOT NULL")
 PANEL_W = lambda k: f"(PARTITION BY warehouse_id, product_id ORDER BY snapshot_date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
 STOCK_COLUMNS = ["snapshot_date", "warehouse_id", "product_id", *[f"{c}_lag_{k}d" for c in ("closing_stock", "units_sold") for k in (1, 3, 7)], "demand_rolling_avg_7d", "demand_rolling_std_14d", "stockout_count_30d", "will_stockout_3d", "stock_depletion_rate", "est_days_until_stockout", "stock_to_safety_ratio", "has_pending_order"]
-query("stockout_features", lambda t: rounded(P.stockout_features(Staged(t).int_inventory, dates_of(t)), STOCK_COLUMNS), None,
+query("stockout_features", lambda t: rounded(P.stockout_features(Staged(t).int_inventory, dates_of(t), products=t.dim_product), STOCK_COLUMNS), None,
       f"""SELECT {day('snapshot_date')}, warehouse_id, product_id, {', '.join(f'CAST({c}_{k} AS DOUBLE) AS {n}_lag_{k}d' for c, n in (('c', 'closing_stock'), ('u', 'units_sold')) for k in (1, 3, 7))}, ROUND(a7, 6) AS demand_rolling_avg_7d, ROUND(s14, 6) AS demand_rolling_std_14d, CAST(out_30 AS BIGINT) AS stockout_count_30d,
       CAST(COALESCE(l1, FALSE) OR COALESCE(l2, FALSE) OR COALESCE(l3, FALSE) AS BIGINT) AS will_stockout_3d, ROUND(CASE WHEN closing_stock <> 0 THEN LEAST(10, CAST(units_sold AS DOUBLE) / closing_stock) END, 6) AS stock_depletion_rate, ROUND(CASE WHEN a7 <> 0 THEN LEAST(99, closing_stock / a7) END, 6) AS est_days_until_stockout,
       ROUND(CAST(closing_stock AS DOUBLE) / NULLIF(safety_stock, 0), 6) AS stock_to_safety_ratio, CAST(closing_stock <= 40 AS BIGINT) AS has_pending_order
@@ -126,7 +126,7 @@ query("stockout_features", lambda t: rounded(P.stockout_features(Staged(t).int_i
 for name, kept in {"win_lags": [f"demand_lag_{k}d" for k in (1, 3, 7, 14, 28)] + ["stockout_lag_1d", "avg_stock_lag_1d"], "win_rolling": [c for c in P.DEMAND_FEATURES if "rolling" in c], "win_trend": ["demand_wow_change", "demand_mom_change"], "label_encode": ["category_encoded"]}.items():
     query(name, lambda t, kept=kept: rounded(P.demand_features(kpis_of(t), dates_of(t), t.dim_product), ["date", "product_id", *kept]), None, f"SELECT date, product_id, {', '.join(kept)} FROM ({DEMAND_SQL}) x WHERE demand_lag_28d IS NOT NULL")
 for name, kept in {"win_lags_panel": [f"{c}_lag_{k}d" for c in ("closing_stock", "units_sold") for k in (1, 3, 7)], "win_rolling_panel": ["demand_rolling_avg_7d", "demand_rolling_std_14d", "stockout_count_30d"], "win_stockout_label": ["will_stockout_3d"]}.items():
-    query(name, lambda t, kept=kept: rounded(P.stockout_features(Staged(t).int_inventory, dates_of(t)), ["snapshot_date", "warehouse_id", "product_id", *kept]), None)
+    query(name, lambda t, kept=kept: rounded(P.stockout_features(Staged(t).int_inventory, dates_of(t), products=t.dim_product), ["snapshot_date", "warehouse_id", "product_id", *kept]), None)
     ORACLES[name] = f"SELECT snapshot_date, warehouse_id, product_id, {', '.join(kept)} FROM ({ORACLES['stockout_features']}) y"
 D = f"(SELECT * FROM {INT_DELIVERIES} x WHERE delivery_status = 'Delivered')"
 query("eta_features", lambda t: rounded(P.eta_features(Staged(t).int_deliveries, dates_of(t), facts=Staged(t).deliveries), ["delivery_id", "distance_squared", "distance_log", "vehicle_type_encoded", "driver_hist_speed_kmh", "eta_speed_estimate", "driver_avg_delivery", "warehouse_avg_delivery", "hour", "is_peak_hour", "is_evening", "pickup_wait", "priority_encoded"], 5), None,

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlake.functions.costs import HOLDING_RATE
 from depotlake.functions.rounding import half_up
 from depotlake.functions.stats import phi
+from depotlake.operators.scans import joined
+from depotlake.sources.files import scratch
 
 # The platform's assumptions. They are parameters of the scenario, not measurements.
 REDUCTIONS = {"holding": 0.12, "transport": 0.08, "ordering": 0.05, "stockout": 0.25}
@@ -92,53 +92,58 @@ def inventory_summary(kpis: DataFrame, products: DataFrame, lead_deviation: Data
     return rows.withColumns({"avg_daily_demand": half_up(d, 4), "std_demand": half_up("std_demand", 4)}).drop("cost", "lead", "lead_std", "avg_stock", "total_holding")
 
 
-ALLOCATED = "order_id string, order_date date, warehouse_id string, original_warehouse_id string, optimal_cost double, baseline_cost double, is_optimal_assignment boolean"
-
-
 def greedy_allocation(orders: DataFrame, costs: DataFrame, warehouses: DataFrame, usable: float = USABLE) -> DataFrame:
     """Each day's orders, urgent ones first (an unknown priority is Standard), then by id, go to the cheapest warehouse that has any room left.
 
     Room is capacity_units times usable, floored, of each day; an order may take more than is left, which then is none. An order of a customer without
     costs, or for which no warehouse has room, keeps its warehouse and costs what it did. baseline_cost is total_fulfillment_cost.
 
-    A day is one task, as the next choice depends on the room that the last one left. In it, all orders choose among the open warehouses at once; the choices
-    stand up to the order that fills one, which then is closed: as many rounds as there are warehouses, each over arrays.
+    All days go in rounds, of which there are at most as many as warehouses, and one more. In a round every open order chooses among the warehouses with
+    room; running sums of items by day and warehouse find the order that fills one; the choices of a day stand up to its first such order, and the others
+    choose again. A round reads what the last one wrote; where no warehouse fills, the first round is the last.
     """
+    spark = orders.sparkSession
     names = [(r["warehouse_id"], math.floor(r["capacity_units"] * usable)) for r in warehouses.select("warehouse_id", "capacity_units").orderBy("warehouse_id").collect()]  # one row for each warehouse
-    maps = costs.groupBy("customer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("warehouse_id", "cost")))).alias("costs"))
+    number = F.lit(None).cast("int")
+    for k, (w, _) in enumerate(names):
+        number = F.when(F.col("warehouse_id") == w, k).otherwise(number)
+    choices = costs.where(F.col("cost").isNotNull()).select("customer_id", F.struct("cost", number.alias("k")).alias("c")).where("c.k is not null").groupBy("customer_id").agg(F.array_sort(F.collect_list("c")).alias("choices"))
     rank = F.lit(2)
     for k, v in PRIORITY.items():
         rank = F.when(F.col("order_priority") == k, v).otherwise(rank)
-    by_warehouse = {f"c{k}": F.try_element_at("costs", F.lit(w)) for k, (w, _) in enumerate(names)}
-    rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", "total_items", F.col("total_fulfillment_cost").cast("double").alias("baseline_cost"), rank.alias("rank"))
-    rows = rows.join(maps, "customer_id", "left").withColumns(by_warehouse).drop("customer_id", "costs")
-
-    priced_by = list(by_warehouse)
-
-    def day(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "order_id"], ignore_index=True)
-        cost = pdf[priced_by].to_numpy(float)
-        items, chosen = pdf["total_items"].fillna(0).to_numpy(np.int64), np.full(len(pdf), -1)
-        room, open_, todo = np.array([r for _, r in names]), np.array([r > 0 for _, r in names]), np.flatnonzero(~np.isnan(cost).all(1))
-        while len(todo) and open_.any():
-            priced = np.where(open_ & ~np.isnan(cost[todo]), cost[todo], np.inf)
-            best, end = np.where(np.isinf(priced).all(1), -1, priced.argmin(1)), len(todo)
-            for w in np.flatnonzero(open_):
-                full = np.flatnonzero(np.where(best == w, items[todo], 0).cumsum() >= room[w])
-                end = min(end, full[0] + 1) if len(full) else end
-            done, taken = todo[:end], best[:end]
-            chosen[done] = taken
-            room = room - np.bincount(taken[taken >= 0], weights=items[done][taken >= 0], minlength=len(names)).astype(np.int64)
-            open_, todo = room > 0, todo[end:]
-        ids = np.array([w for w, _ in names], object)
-        where = np.where(chosen >= 0, ids[chosen], pdf["assigned_warehouse_id"])
-        price = np.where(chosen >= 0, cost[np.arange(len(pdf)), chosen], pdf["baseline_cost"].to_numpy(float))
-        return pd.DataFrame({
-            "order_id": pdf["order_id"], "order_date": pdf["order_date"], "warehouse_id": where, "original_warehouse_id": pdf["assigned_warehouse_id"], "optimal_cost": price,
-            "baseline_cost": pdf["baseline_cost"], "is_optimal_assignment": where == pdf["assigned_warehouse_id"].to_numpy(object),
-        })
-
-    return rows.groupBy("order_date").applyInPandas(day, ALLOCATED)
+    rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", F.coalesce("total_items", F.lit(0)).cast("long").alias("items"), F.col("total_fulfillment_cost").cast("double").alias("baseline_cost"), rank.alias("rank"), F.monotonically_increasing_id().alias("row"))
+    path = scratch(spark, "allocation")
+    rows.join(choices, "customer_id", "left").drop("customer_id").write.parquet(f"{path}/0")
+    todo = spark.read.parquet(f"{path}/0")
+    rooms = todo.select("order_date").distinct().withColumn("room", F.array(*[F.lit(r).cast("long") for _, r in names]))
+    place = ["rank", "order_id", "row"]
+    done = None
+    for turn in range(1, len(names) + 2):
+        open_ = F.filter("choices", lambda c: F.element_at("room", c["k"] + 1) > 0)
+        chosen = joined(todo, rooms, ["order_date"]).withColumn("best", F.get(open_, F.lit(0)))
+        upto = F.sum("items").over(Window.partitionBy("order_date", "best.k").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+        filled = F.when(F.col("best").isNotNull() & (upto >= F.element_at("room", F.col("best.k") + 1)), F.struct(*place))
+        chosen.withColumn("filled", filled).write.parquet(f"{path}/{turn}")
+        chosen = spark.read.parquet(f"{path}/{turn}")
+        cuts = chosen.groupBy("order_date").agg(F.min("filled").alias("cut"))  # the order that fills the first warehouse of a day
+        settled = joined(chosen, cuts, ["order_date"]).withColumn("settled", F.coalesce(F.struct(*place) <= F.col("cut"), F.lit(True)))
+        own = settled.where("settled")
+        done = own if done is None else done.unionByName(own)
+        if chosen.where("filled is not null").isEmpty():
+            break
+        taken = own.where("best is not null").groupBy("order_date", F.col("best.k").alias("k")).agg(F.sum("items").alias("n")).groupBy("order_date").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("taken"))
+        left = F.transform("room", lambda r, k: r - F.coalesce(F.try_element_at("taken", k), F.lit(0)))
+        rooms = joined(rooms, taken, ["order_date"]).select("order_date", left.alias("room"))
+        rooms.write.parquet(f"{path}/rooms-{turn}")
+        rooms = spark.read.parquet(f"{path}/rooms-{turn}")
+        todo = settled.where("not settled").select(*todo.columns)
+    ids = F.array(*[F.lit(w) for w, _ in names])
+    where = F.coalesce(F.when(F.col("best").isNotNull(), F.element_at(ids, F.col("best.k") + 1)), F.col("assigned_warehouse_id"))
+    out = done.withColumns({"warehouse_id": where, "optimal_cost": F.coalesce("best.cost", "baseline_cost")})
+    return out.select(
+        "order_id", "order_date", "warehouse_id", F.col("assigned_warehouse_id").alias("original_warehouse_id"), "optimal_cost", "baseline_cost",
+        F.coalesce(F.col("warehouse_id") == F.col("assigned_warehouse_id"), F.lit(False)).alias("is_optimal_assignment"),
+    )
 
 
 def allocation_savings(allocated: DataFrame) -> DataFrame:

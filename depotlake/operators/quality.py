@@ -89,6 +89,18 @@ def relationship(child: DataFrame, parent: DataFrame, key: str, parent_key: str
     return orphans(child, parent, key, parent_key)
 
 
+def relationships(child: DataFrame, parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """relation, key and rows of the keys that a parent lacks, for all foreign keys of a child in one scan: its keys are counted by relation, in tasks before the shuffle, and
+    what is left is held against all parents' keys at once. parents: the parent and its key for each foreign key; keys are compared as text; nulls are no orphans."""
+    own = F.explode(F.array(*[F.struct(F.lit(k).alias("relation"), F.col(k).cast("string").alias("key")) for k in parents]))
+    used = child.select(own.alias("f")).select("f.*").where("key is not null").groupBy("relation", "key").agg(F.count(F.lit(1)).alias("rows"))
+    known = None
+    for relation, (parent, key) in parents.items():
+        keys = parent.select(F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"))
+        known = keys if known is None else known.unionByName(keys)
+    return used.join(known, ["relation", "key"], "left_anti")
+
+
 def columns_match(df: DataFrame, columns: Sequence[str], **k) -> Check:
     """Names and order of the columns, which no row is read for."""
     return Check("columns_match", total=F.lit(df.columns == list(columns)), **k)

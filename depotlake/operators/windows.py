@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from depotlake.functions.sizes import small
+from depotlake.operators.scans import ema
 
 PRODUCT, PANEL = ["product_id"], ["warehouse_id", "product_id"]
 
@@ -83,12 +82,7 @@ def units_ledger(items: DataFrame, orders: DataFrame, shipments: DataFrame) -> D
 
 def ema_demand(inventory: DataFrame, alpha: float = 0.1, most_days: float = 99.99) -> DataFrame:
     """The exponential mean of units sold, starting at the first day's, and days of supply from it, at most most_days."""
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("snapshot_date")
-        ema = rows["units_sold"].astype(float).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        days = np.where(ema > 0, np.minimum(most_days, rows["closing_stock"].to_numpy() / np.where(ema > 0, ema, 1)), most_days)
-        return rows.assign(ema_demand=ema, ema_days_of_supply=days)
-
     columns = ["snapshot_date", *PANEL, "units_sold", "closing_stock"]
-    schema = "snapshot_date date, warehouse_id string, product_id string, units_sold long, closing_stock long, ema_demand double, ema_days_of_supply double"
-    return inventory.select(columns).groupBy(*PANEL).applyInPandas(one, schema)
+    out = ema(inventory.select(columns), PANEL, "snapshot_date", "units_sold", "ema_demand", alpha)
+    days = F.least(F.lit(most_days), F.try_divide(F.col("closing_stock"), F.col("ema_demand")))
+    return out.withColumn("ema_days_of_supply", F.when(F.col("ema_demand") > 0, days).otherwise(most_days)).select(*columns, "ema_demand", "ema_days_of_supply")

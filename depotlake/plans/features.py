@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlake.operators.scans import means_before
 from depotlake.operators.windows import PANEL, PRODUCT, label_codes, lags, rolling, series, stockout_label, trend
 
 # Codes of categories.
@@ -15,6 +16,7 @@ VEHICLES = {"Bike": 0, "Car": 1, "Van": 2, "Truck": 3}
 PRIORITIES = {"Standard": 0, "Express": 1, "Same-Day": 2}
 PEAK_HOURS = [8, 9, 10, 11, 12, 17, 18, 19]
 
+# The features of each model.
 DEMAND_FEATURES = [
     *[f"demand_lag_{k}d" for k in (1, 3, 7, 14, 28)], *[f"demand_rolling_avg_{k}d" for k in (7, 14, 30)], *[f"demand_rolling_std_{k}d" for k in (7, 14, 30)], "demand_rolling_min_7d", "demand_rolling_max_7d",
     "demand_wow_change", "demand_mom_change", "stockout_count", "stockout_lag_1d", "avg_closing_stock", "avg_stock_lag_1d", "inventory_turnover", "day_of_week_num", "month", "quarter", "year", "is_holiday", "is_weekend",
@@ -120,9 +122,8 @@ def eta_features(deliveries: DataFrame, dates: DataFrame, as_of_start: bool = Fa
     means = delivery_means(raw)
     whole = F.broadcast(means.where("level = 3").select(F.col("minutes").alias("_mean")))  # one row
     if as_of_start:
-        before = {k: Window.partitionBy(k).orderBy(F.col("assigned_time").cast("long")).rangeBetween(Window.unboundedPreceding, -1) for k in ("driver_id", "warehouse_id")}
-        own = {"_minutes": F.avg("actual_delivery_minutes").over(before["driver_id"]), "_km": F.avg("distance_km").over(before["driver_id"]), "_warehouse": F.avg("actual_delivery_minutes").over(before["warehouse_id"])}
-        df = df.withColumns(own)
+        df = means_before(df, raw, "driver_id", "assigned_time", {"_minutes": "actual_delivery_minutes", "_km": "distance_km"})
+        df = means_before(df, raw, "warehouse_id", "assigned_time", {"_warehouse": "actual_delivery_minutes"})
     else:
         df = df.join(means.where("level = 1").select("driver_id", F.col("minutes").alias("_minutes"), F.col("km").alias("_km")), "driver_id", "left")
         df = df.join(means.where("level = 2").select("warehouse_id", F.col("minutes").alias("_warehouse")), "warehouse_id", "left")
@@ -132,9 +133,12 @@ def eta_features(deliveries: DataFrame, dates: DataFrame, as_of_start: bool = Fa
     }).drop("_warehouse", "_mean", "_minutes", "_km")
 
 
-def stockout_features(inventory: DataFrame, dates: DataFrame, drop_incomplete: bool = False) -> DataFrame:
-    """Features by warehouse, product and day, and the label; rows without the 7-row lag are left out, and on demand those whose label looks past the end."""
-    df = label_codes(dated(inventory, dates, "snapshot_date"), "category", "category_encoded")
+def stockout_features(inventory: DataFrame, dates: DataFrame, drop_incomplete: bool = False, products: DataFrame | None = None) -> DataFrame:
+    """Features by warehouse, product and day, and the label; rows without the 7-row lag are left out, and on demand those whose label looks past the end.
+
+    products: the table that has all categories; without it they are looked for in the inventory.
+    """
+    df = label_codes(dated(inventory, dates, "snapshot_date"), "category", "category_encoded", products)
     numbers = ["closing_stock", "opening_stock", "units_sold", "units_received", "days_of_supply", "holding_cost", "safety_stock", "reorder_point", "units_on_order"]
     w = series(PANEL, "snapshot_date")
     df = df.withColumns({c: number(c) for c in numbers})

@@ -7,7 +7,6 @@ from datetime import date, datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from depotlake.functions.calendar import calendar
 from depotlake.functions.rounding import half_up
 from depotlake.operators.keyed import upsert
+from depotlake.operators.scans import auc_roc
 from depotlake.plans.features import DEMAND_FEATURES, demand_features
 
 HORIZONS = [30, 60, 90, 180]
@@ -36,17 +36,14 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str]
     return sums.select(*(by or []), half_up(F.col("mape") * 100, 4).alias("mape"), half_up("rmse", 4).alias("rmse"), half_up("mae", 4).alias("mae"), half_up(r2, 4).alias("r2"), "n")
 
 
-def classification_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
-    """Confusion counts, precision, recall and F1; 0 where a denominator is 0."""
+def classification_metrics(df: DataFrame, label: str, predicted: str, score: str | None = None) -> DataFrame:
+    """Confusion counts, precision, recall and F1, 0 where a denominator is 0; with a score the exact area under the ROC curve, too."""
     y, p = F.col(label) == 1, F.col(predicted) == 1
     c = df.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
     rate = lambda a, b: F.when(b > 0, half_up(a / b, 4)).otherwise(0.0)
     tp = F.col("tp")
-    return c.withColumns({"precision": rate(tp, tp + F.col("fp")), "recall": rate(tp, tp + F.col("fn")), "f1": rate(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))})
-
-
-def auc(df: DataFrame, label: str, score: str) -> float:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score).evaluate(df)
+    out = c.withColumns({"precision": rate(tp, tp + F.col("fp")), "recall": rate(tp, tp + F.col("fn")), "f1": rate(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))})
+    return out if score is None else out.join(F.broadcast(auc_roc(df, label, score).select(half_up("auc", 4).alias("auc_roc"))))  # one row each
 
 
 def train_regression(train: DataFrame, valid: DataFrame, label: str, features: list[str], seed: int = 42) -> tuple[str, PipelineModel, DataFrame]:
@@ -60,7 +57,7 @@ def train_regression(train: DataFrame, valid: DataFrame, label: str, features: l
 
 
 def train_classification(train: DataFrame, valid: DataFrame, label: str, features: list[str], seed: int = 42) -> tuple[str, PipelineModel, DataFrame]:
-    """The same by F1 on validation; classes count alike through row weights."""
+    """The same by the area under the ROC curve on validation; classes count alike through row weights."""
     share = train.agg(F.avg(F.col(label).cast("double")).alias("_share"))
     weight = F.when(F.col(label) == 1, F.lit(0.5) / F.greatest("_share", F.lit(1e-9))).otherwise(F.lit(0.5) / F.greatest(1 - F.col("_share"), F.lit(1e-9)))
     weighted = train.join(F.broadcast(share)).withColumn("weight", weight).drop("_share")
@@ -68,18 +65,20 @@ def train_classification(train: DataFrame, valid: DataFrame, label: str, feature
         "logistic": LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="weight", maxIter=50),
         "gbt": GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=15, maxDepth=5, seed=seed),
     }
-    return best_of(weighted, valid, label, features, candidates, lambda df: classification_metrics(df, label, "prediction"), "f1", ascending=False)
+    return best_of(weighted, valid, label, features, candidates, lambda df: classification_metrics(df.withColumn("score", vector_to_array("probability")[1]), label, "prediction", "score"), "auc_roc", ascending=False)
 
 
 def best_of(train, valid, label, features, candidates, measure, by, ascending):
     spark = train.sparkSession
-    prepared = numeric(train, features).withColumn(label, F.col(label).cast("double")).cache()
+    # both splits are read by every candidate; a lost block is computed again
+    prepared, checked = (numeric(df, features).withColumn(label, F.col(label).cast("double")).cache() for df in (train, valid))
     rows, models = [], {}
     for name, estimator in candidates.items():
         stages = [VectorAssembler(inputCols=features, outputCol="features")] + ([StandardScaler(inputCol="features", outputCol="scaled")] if estimator.getFeaturesCol() == "scaled" else [])
         models[name] = Pipeline(stages=[*stages, estimator]).fit(prepared)
-        rows.append({"model": name} | measure(models[name].transform(numeric(valid, features))).first().asDict())
+        rows.append({"model": name} | measure(models[name].transform(checked)).first().asDict())
     prepared.unpersist()
+    checked.unpersist()
     table = sort_models(spark.createDataFrame(rows), by, ascending)
     best = table.first()["model"]
     return best, models[best], table

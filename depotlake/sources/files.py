@@ -122,5 +122,10 @@ def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local[") and (":" not in base or base.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base.rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

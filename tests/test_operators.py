@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,7 +254,9 @@ def test_models_round_trip(spark, tmp_path):
     best, classifier, table = ML.train_classification(df, df, "c", ["a", "b"])
     assert table.first().f1 > 0.95 and best in ("logistic", "gbt")
     scored = classifier.transform(ML.numeric(df, ["a", "b"]))
-    assert ML.auc(scored.withColumn("c", F.col("c").cast("double")), "c", "probability") > 0.95
+    assert ML.auc_roc(scored.withColumn("p", vector_to_array("probability")[1]), "c", "p").first().auc > 0.95
+    again = ML.load_model(str(tmp_path), "m").transform(ML.numeric(df, ["a", "b"])).select("a", "prediction")
+    assert got(again) == got(model.transform(ML.numeric(df, ["a", "b"])).select("a", "prediction"))
 
 
 def test_features_with_short_series(spark, data):
@@ -283,7 +286,9 @@ def test_scores_from_fitted_models(spark, data):
     eta = scoring.eta_scores(t)
     assert eta.where("predicted_eta is null or predicted_eta < 1 or eta_error is null").count() == 0 and eta.count() > 0
     risk = scoring.stockout_rows(t).select(F.col("snapshot_date").alias("date"), "warehouse_id", "product_id", F.col("will_stockout_3d").cast("double").alias("y")).join(scoring.stockout_scores(t), ["date", "warehouse_id", "product_id"])
-    assert ML.auc(risk, "y", "stockout_risk_score") > 0.7
+    assert ML.auc_roc(risk, "y", "stockout_risk_score").first().auc > 0.7
+    table = scoring.fitted(t, "stockout")[2].collect()
+    assert table[0].model == scoring.fitted(t, "stockout")[0] and table[0].auc_roc >= table[1].auc_roc > 0
     assert sorted(r.name for r in scoring.stored(t).collect()) == ["demand", "eta", "stockout"]
 
 
