@@ -44,4 +44,42 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y
 SELECT v.vec_id, COALESCE(n, 0) AS n_links, LEAST(v.vec_id, COALESCE(m, v.vec_id)) AS component_id, v.vec_id = LEAST(v.vec_id, COALESCE(m, v.vec_id)) AS kept, MIN(v.vec_id) OVER (PARTITION BY v.v) AS class_id
 FROM v LEFT JOIN (SELECT a, COUNT(*) AS n FROM links GROUP BY 1) c ON c.a = v.vec_id LEFT JOIN (SELECT a, MIN(b) AS m FROM reach GROUP BY 1) r ON r.a = v.vec_id"""
 
-ORACLES = {"op2_bayesian_jaccard_join": JACCARD, "op4_credential_linking": SPANS, "op6_inverted_multi_index": COSINES}
+
+
+def field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def tree(name: str, leaves: str) -> str:
+    """Nodes of trees of runs of three, level by level; n is the number of nodes of the level. leaves: tree, pos, digest, n."""
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, digest, n FROM ({leaves}) l
+    UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, n, pos // 3)"""
+
+
+def steps(nodes: str, rows: str, first: str) -> str:
+    """For each row (id, tree, pos) and level: the digests left and right of its node in their run."""
+    own = "(r.pos // CAST(POWER(3, g.level) AS BIGINT))"
+    return f"""SELECT r.id, {first} + g.level AS step, COALESCE(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < {own}), '') AS l, COALESCE(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > {own}), '') AS r
+    FROM ({rows}) r JOIN (SELECT DISTINCT tree, level FROM {nodes} WHERE n > 1) g ON g.tree IS NOT DISTINCT FROM r.tree
+    LEFT JOIN {nodes} x ON x.tree IS NOT DISTINCT FROM r.tree AND x.level = g.level AND x.pos // 3 = {own} // 3 AND x.pos <> {own} GROUP BY r.id, r.pos, g.level"""
+
+
+#: The last bit of the CRC-32 of a decimal number's text.
+ODD = """(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) & 1) = 0"""
+MERKLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, text, {' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} AS head, CASE WHEN doc_id IS NOT NULL AND NOT {ODD} THEN replace(text, chr(10), '') ELSE text END AS hurt FROM documents),
+leaves AS (SELECT doc_id, source AS tree, sha256(head || {field('text')}) AS leaf, sha256(head || {field('hurt')}) AS shown FROM d),
+placed AS (SELECT *, row_number() OVER (ORDER BY tree, doc_id, leaf) AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, COUNT(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{tree('low', 'SELECT tree, pos, leaf AS digest, n FROM placed')},
+subs AS (SELECT tree AS source, digest AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, COUNT(*) OVER () AS n FROM low WHERE n = 1),
+{tree('high', "SELECT '' AS tree, pos, subroot AS digest, n FROM subs")},
+ways AS ({steps('low', 'SELECT id, tree, pos FROM placed', '0')} UNION ALL {steps('high', "SELECT p.id, '' AS tree, s.pos FROM placed p JOIN subs s ON s.source IS NOT DISTINCT FROM p.tree", '100')}),
+way AS (SELECT id, l, r, row_number() OVER (PARTITION BY id ORDER BY step) AS step FROM ways),
+folded AS (SELECT id, CAST(0 AS BIGINT) AS step, shown AS digest FROM placed UNION ALL SELECT f.id, w.step, sha256(w.l || f.digest || w.r) FROM folded f JOIN way w ON w.id = f.id AND w.step = f.step + 1),
+ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM folded GROUP BY 1),
+proofs AS (SELECT p.id, sha256(COALESCE(string_agg(w.l || w.r, '' ORDER BY w.step), '')) AS proof_sha256 FROM placed p LEFT JOIN way w ON w.id = p.id GROUP BY 1),
+top AS (SELECT digest AS root FROM high WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, top.root, proofs.proof_sha256, ends.folded_root, ends.folded_root = top.root AS verified
+FROM placed p JOIN subs s ON s.source IS NOT DISTINCT FROM p.tree JOIN proofs ON proofs.id = p.id JOIN ends ON ends.id = p.id CROSS JOIN top"""
+
+ORACLES = {"op13_merkle_manifest": MERKLE, "op2_bayesian_jaccard_join": JACCARD, "op4_credential_linking": SPANS, "op6_inverted_multi_index": COSINES}
