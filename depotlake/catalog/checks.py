@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depotlake.catalog.base import ORACLES, day, query
-from depotlake.catalog.decisions import COST_ROWS, METRIC
+from depotlake.catalog.decisions import COST_ROWS, WELCH
 from depotlake.catalog.staging import DELIVERIES, ITEMS, ORDERS, Staged
 from depotlake.operators import enrich as E
 from depotlake.operators import experiments as X
@@ -72,6 +72,7 @@ query("dq_savings_math", lambda t: Q.savings_math(broken(costs(t), "savings_amou
 ORACLES["dq_savings_math"] = f"""SELECT date, warehouse_id FROM ({ORACLES['mart_cost_optimization']}) m
     WHERE ABS(baseline_total_cost - optimized_total_cost - savings_amount - CASE WHEN warehouse_id = 'WH-003' THEN 1 ELSE 0 END) > 0.05"""
 query(
-    "dq_significance", lambda t: Q.significance(broken(X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"]), "is_significant", "experiment_id <> 'EXP-2'", "not is_significant")), "experiment_id",
-    f"""SELECT experiment_id FROM (SELECT experiment_id, group_name, COUNT(*) AS n FROM {METRIC} m GROUP BY 1, 2) s WHERE experiment_id <> 'EXP-2' AND n >= 2 GROUP BY 1 HAVING COUNT(*) = 2""",
+    "dq_significance", lambda t: Q.significance(broken(X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"]), "is_significant", "experiment_id <> 'EXP-2'", "not is_significant")), "experiment_id p_value is_significant",
+    f"""SELECT experiment_id, p_value, said AS is_significant FROM (SELECT *, CASE WHEN experiment_id <> 'EXP-2' THEN NOT is_significant ELSE is_significant END AS said FROM ({WELCH}) w) x
+    WHERE said <> (p_value < 0.05) OR p_value NOT BETWEEN 0 AND 1""",
 )

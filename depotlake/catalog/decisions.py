@@ -48,12 +48,41 @@ def welch_sql(stats: str, keys: str) -> str:
 
 
 query("welch_ttest", lambda t: X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"], tests=False), None, welch_sql(f"SELECT experiment_id, group_name, {STATS} FROM {METRIC} m GROUP BY 1, 2", "experiment_id"))
-query("welch_p_values", lambda t: X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"]), None)
+
+
+def t_half(t: str, df: str, steps: int = 400) -> str:
+    """SQL of P(0 <= T <= t) for Student's t: Simpson's rule over so many steps."""
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""(EXP(LGAMMA(({df} + 1) / 2) - LGAMMA({df} / 2)) / SQRT({df} * PI()) * {t} / {steps} / 3
+        * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * POWER(1 + POWER(i * {t} / {steps}, 2) / {df}, -({df} + 1) / 2))))"""
+
+
+def tested_sql(stats: str, keys: str) -> str:
+    """welch_sql() with p, the interval and significance: beyond 50 standard errors p is 0 to six places, and the quantile is found by bisection."""
+    side = ", ".join(f"MAX(CASE WHEN group_name = '{g}' THEN {c} END) AS {c}_{g[0].lower()}" for g in ("Control", "Treatment") for c in ("n", "mean", "variance"))
+    middle = "((s[1] + s[2]) / 2)"
+    quantile = f"list_reduce(list_prepend([0.0E0, 20.0E0], list_transform(range(0, 45), lambda k: [0.0E0, 0.0E0])), lambda s, k: CASE WHEN {t_half(middle, 'v', 200)} < 0.475 THEN [{middle}, s[2]] ELSE [s[1], {middle}] END)[1]"
+    return f"""SELECT {keys}, n_c, n_t, ROUND(mean_c, 4) AS mean_c, ROUND(mean_t, 4) AS mean_t, ROUND(d, 4) AS difference, CASE WHEN d IS NULL THEN NULL WHEN mean_c <> 0 THEN ROUND(d / mean_c * 100, 2) ELSE 0 END AS pct_change,
+        ROUND(d / se, 4) AS t_statistic, ROUND(v, 4) AS degrees_of_freedom, ROUND(p, 6) AS p_value, ROUND(d - q * se, 4) AS ci_lower, ROUND(d + q * se, 4) AS ci_upper, p < 0.05 AS is_significant
+    FROM (
+        SELECT *, CASE WHEN d IS NULL THEN NULL WHEN ABS(d / se) > 50 THEN 0 ELSE GREATEST(0, 1 - 2 * {t_half('ABS(d / se)', 'v', 1000)}) END AS p, {quantile} AS q
+        FROM (
+            SELECT *, CASE WHEN n_c >= 2 AND n_t >= 2 THEN mean_t - mean_c END AS d, SQRT(vc + vt) AS se, CASE WHEN n_c >= 2 AND n_t >= 2 THEN (vc + vt) * (vc + vt) / (vc * vc / (n_c - 1) + vt * vt / (n_t - 1)) END AS v
+            FROM (SELECT *, GREATEST(variance_c, 1e-10) / n_c AS vc, GREATEST(variance_t, 1e-10) / n_t AS vt FROM (SELECT {keys}, {side} FROM ({stats}) s GROUP BY {keys}) a) b
+        ) c
+    ) e"""
+
+
+WELCH = tested_sql(f"SELECT experiment_id, group_name, {STATS} FROM {METRIC} m GROUP BY 1, 2", "experiment_id")
+UPLIFT = tested_sql(SEGMENTS, "experiment_id, segment_type, segment_value")
+query("welch_p_values", lambda t: X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"]), None, WELCH)
 query("uplift_segments", lambda t: X.welch(X.segment_stats(COST_ROWS(t)), ["experiment_id", "segment_type", "segment_value"], tests=False), None, welch_sql(SEGMENTS, "experiment_id, segment_type, segment_value"))
 query("effect_scenario", lambda t: X.welch(X.scenario(X.experiment_stats(COST_ROWS(t)), 0.9), ["experiment_id"], tests=False), None,
       welch_sql(f"SELECT experiment_id, group_name, n, CASE WHEN group_name = 'Treatment' THEN mean * 0.9E0 ELSE mean END AS mean, CASE WHEN group_name = 'Treatment' THEN variance * 0.81E0 ELSE variance END AS variance FROM (SELECT experiment_id, group_name, {STATS} FROM {METRIC} m GROUP BY 1, 2) z", "experiment_id"))
-query("topk_uplift", lambda t: X.uplift_top(X.welch(X.segment_stats(COST_ROWS(t)), ["experiment_id", "segment_type", "segment_value"])), None)
-query("experiment_writeback", lambda t: (lambda s: X.writeback(M.experiment_results(assignments(t), s.orders, s.deliveries, s.inventory), X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"])))(Staged(t)), "experiment_id group_name total_orders p_value is_significant")
+query("topk_uplift", lambda t: X.uplift_top(X.welch(X.segment_stats(COST_ROWS(t)), ["experiment_id", "segment_type", "segment_value"])), None,
+      f"SELECT * FROM ({UPLIFT}) u WHERE is_significant ORDER BY pct_change, experiment_id, segment_type, segment_value LIMIT 6")
+query("experiment_writeback", lambda t: (lambda s: X.writeback(M.experiment_results(assignments(t), s.orders, s.deliveries, s.inventory), X.welch(X.experiment_stats(COST_ROWS(t)), ["experiment_id"])))(Staged(t)), "experiment_id group_name total_orders p_value is_significant",
+      f"SELECT m.experiment_id, m.group_name, m.total_orders, w.p_value, w.is_significant FROM ({ORACLES['mart_experiment_results']}) m LEFT JOIN ({WELCH}) w ON w.experiment_id = m.experiment_id")
 
 KPIS = ORACLES["mart_daily_warehouse_kpis"]
 BASE = f"""(SELECT date, warehouse_id, ROUND(total_holding_cost, 2) AS holding_cost, ROUND(total_delivery_cost, 2) AS transport_cost, ROUND(total_shipment_cost, 2) AS ordering_cost, ROUND(stockout_rate * total_orders * (total_revenue / total_orders) * 0.1E0, 2) AS stockout_cost FROM ({KPIS}) k)"""

@@ -20,6 +20,7 @@ from depotlake.operators import staging as S
 from depotlake.plans import features as P
 from depotlake.plans import models as ML
 from depotlake.plans import seasonal as SE
+from depotlake.sources import files as SRC
 from depotlake.sources import jdbc
 from depotlake.sources.bucketed import bucketed
 
@@ -81,6 +82,11 @@ query(
 )
 
 
+query("allocation_savings_full", lambda t: O.allocation_savings(full_allocation(t)), None)
+ORACLES["allocation_savings_full"] = f"""SELECT ROUND(b, 2) AS total_baseline_cost, ROUND(o, 2) AS total_optimized_cost, ROUND(b - o, 2) AS total_savings, ROUND(CASE WHEN b > 0 THEN (b - o) / b * 100 ELSE 0 END, 2) AS savings_pct, ROUND(e * 100, 2) AS allocation_efficiency_pct
+    FROM (SELECT CAST(SUM(CAST(baseline_cost AS DECIMAL(18,2))) AS DOUBLE) AS b, CAST(SUM(CAST(optimal_cost AS DECIMAL(18,2))) AS DOUBLE) AS o, AVG(CASE WHEN is_optimal_assignment THEN 1.0E0 ELSE 0 END) AS e FROM ({ORACLES['greedy_allocation_full']}) g) x"""
+
+
 # The network's daily demand: a seasonal model beside the last weeks' means.
 def seasonal_rows(t: Tables):
     return P.temporal_split(SE.daily_totals(kpis_of(t), dates_of(t)), "date", TRAIN_END, VALID_END)
@@ -100,11 +106,11 @@ query("train_seasonal", seasonal_metrics, "split mape rmse mae r2 n")
 query("forecast_seasonal", lambda t: SE.seasonal_forecast(seasonal_model(t, GENERATED), GENERATED, 180, t.spark), None)
 
 
-# A database: written in batches, read in parts by the quantiles of the key, filters and sums handed down.
+# A database: written in batches, read in parts by the quantiles of the key with filters handed down, and by a query that it evaluates.
 def in_database(t: Tables):
     url = jdbc.embedded(t.spark)
     facts = t.fact_orders.select("order_id", F.expr("cast(substring(order_id, 3) as bigint)").alias("order_key"), "order_status", "total_items", "total_amount", "order_date")
-    jdbc.write_rows(facts.coalesce(4), url, "orders", "overwrite")
+    jdbc.write_rows(facts.coalesce(4), url, "orders", "overwrite", createTableColumnTypes="order_id VARCHAR(32), order_status VARCHAR(32)")
     return url
 
 
@@ -114,8 +120,8 @@ def database_read(t: Tables):
 
 
 def database_sums(t: Tables):
-    rows = t.spark.read.format("jdbc").option("url", in_database(t)).option("dbtable", "orders").load()
-    return rows.groupBy("order_status").agg(F.count(F.lit(1)).alias("n"), F.sum("total_items").alias("items"))
+    sums = 'SELECT "order_status", COUNT(*) AS "n", SUM("total_items") AS "items" FROM orders GROUP BY "order_status"'
+    return SRC.read_table(t.spark, in_database(t), query=sums)
 
 
 query("src_jdbc_partitioned", database_read, None, f"SELECT order_id, total_items, {day('order_date')} FROM {{fact_orders}} WHERE order_date >= DATE '1997-01-01' AND total_items > 2")

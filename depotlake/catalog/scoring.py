@@ -127,6 +127,20 @@ query("score_eta", eta_scores, "date warehouse_id predicted_eta eta_error")
 query("score_eta_coverage", lambda t: eta_scores(t).where("predicted_eta >= 1"), "date warehouse_id", f"SELECT date, warehouse_id FROM ({ORACLES['agg_eta_predictions']}) m")
 query("score_stockout", stockout_scores, "date warehouse_id product_id stockout_risk_score")
 query("score_stockout_coverage", lambda t: stockout_scores(t).where("stockout_risk_score between 0 and 1"), "date warehouse_id product_id", f"SELECT snapshot_date AS date, warehouse_id, product_id FROM ({ORACLES['stockout_features']}) m")
+
+
+def written_back(t: Tables):
+    """Scores up to a day, then those of an incremental run, beside the scores of all rows at once."""
+    model, s = fitted(t, "stockout")[1], Staged(t)
+    every = stockout_scores(t)
+    table = every.where("date <= date'1998-01-01'")
+    score = lambda features: ML.score_stockout(model, features, P.STOCKOUT_FEATURES)
+    build = lambda facts: P.stockout_features(facts, dates_of(t), products=t.dim_product)
+    again = ML.incremental_scores(table, s.int_inventory, "snapshot_date", build, score, ["date", "warehouse_id", "product_id"])
+    return again.join(every.withColumnRenamed("stockout_risk_score", "at_once"), ["date", "warehouse_id", "product_id"], "full_outer")
+
+
+query("incremental_writeback", lambda t: written_back(t).where("stockout_risk_score = at_once"), "date warehouse_id product_id", ORACLES["score_stockout_coverage"])
 query("score_stockout_by_day", lambda t: ML.stockout_risk_by_day(stockout_scores(t)), "date product_id stockout_risk_score")
 query("score_stockout_bands", lambda t: ML.risk_bands(stockout_scores(t)), None)
 query("score_stockout_top", lambda t: ML.top_risk(stockout_scores(t)), None)

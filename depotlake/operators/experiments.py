@@ -22,9 +22,9 @@ def metric_rows(assignments: DataFrame, orders: DataFrame, deliveries: DataFrame
     o = orders.where("order_status <> 'Cancelled'").select("order_id", "customer_id", "order_priority", F.col("total_fulfillment_cost").cast("double").alias("cost"))
     rows = assignments.select("experiment_id", "group_name", "order_id").join(e, "experiment_id").join(o, "order_id")
     d = deliveries.where("delivery_status = 'Delivered' and actual_delivery_minutes is not null").select("order_id", F.col("actual_delivery_minutes").cast("double").alias("minutes"))
-    by_cost = rows.where("experiment_type <> 'routing'").withColumn("metric", F.col("cost"))
-    by_time = rows.where("experiment_type = 'routing'").join(d, "order_id").withColumn("metric", F.col("minutes")).drop("minutes")
-    out = by_cost.unionByName(by_time)
+    timed = F.col("experiment_type") == "routing"
+    both = rows.join(d.withColumnRenamed("order_id", "_order"), (F.col("order_id") == F.col("_order")) & timed, "left")
+    out = both.where(~timed | F.col("minutes").isNotNull()).withColumn("metric", F.when(timed, F.col("minutes")).otherwise(F.col("cost")))
     if customers is None:
         return out.select("experiment_id", "group_name", "metric")
     c = customers.select("customer_id", "customer_segment", "region")

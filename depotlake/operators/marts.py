@@ -131,14 +131,18 @@ def experiment_results(assignments: DataFrame, orders: DataFrame, deliveries: Da
     """
     key = ["experiment_id", "group_name"]
     o = assignments.select(*key, "order_id").join(orders.select("order_id", "order_date", "assigned_warehouse_id", "order_status", "total_fulfillment_cost"), "order_id")
-    live = o.where("order_status <> 'Cancelled'")
-    counts = live.groupBy(key).agg(F.count_distinct("order_id").alias("total_orders"), F.avg("total_fulfillment_cost").alias("cost"), F.sum("total_fulfillment_cost").alias("costs"))
-    d = live.join(deliveries.select("order_id", "delivery_status", "actual_delivery_minutes", "on_time_flag"), "order_id").groupBy(key).agg(
-        F.avg(delivered()).alias("minutes"), F.count_if((F.col("delivery_status") == "Delivered") & F.col("on_time_flag")).alias("on_time"), F.count_if(F.col("delivery_status") == "Delivered").alias("delivered"),
+    done = F.col("delivery_status") == "Delivered"
+    of_order = deliveries.groupBy("order_id").agg(
+        F.sum(delivered().cast("double")).alias("m"), F.count(delivered()).alias("timed"), F.count_if(done & F.col("on_time_flag")).alias("on_time"), F.count_if(done).alias("delivered"),
     )
     stock = inventory.groupBy(F.col("snapshot_date").alias("order_date"), F.col("warehouse_id").alias("assigned_warehouse_id")).agg(F.count_if("stockout_flag").alias("out"), F.count(F.lit(1)).alias("n"))
-    s = o.join(stock, ["order_date", "assigned_warehouse_id"]).groupBy(key).agg(F.sum("out").alias("out"), F.sum("n").alias("n"))
-    rows = counts.join(d, key, "left").join(s, key, "left").select(
+    # one row for each assigned order, and one aggregate; cancelled orders count for the stock only
+    live = lambda c: F.when(F.col("order_status") != "Cancelled", F.col(c))
+    rows = o.join(of_order, "order_id", "left").join(stock, ["order_date", "assigned_warehouse_id"], "left").groupBy(key).agg(
+        F.count_distinct(live("order_id")).alias("total_orders"), F.avg(live("total_fulfillment_cost")).alias("cost"), F.sum(live("total_fulfillment_cost")).alias("costs"),
+        F.try_divide(F.sum(live("m")), F.sum(live("timed"))).alias("minutes"), F.sum(live("on_time")).alias("on_time"), F.sum(live("delivered")).alias("delivered"), F.sum("out").alias("out"), F.sum("n").alias("n"),
+    )
+    rows = rows.where("total_orders > 0").select(
         *key, "total_orders", r2("minutes").alias("avg_delivery_time_min"), ratio(F.col("on_time"), F.col("delivered"), factor=100.0).alias("service_level_pct"), r2("cost").alias("avg_cost"), r2("costs").alias("total_cost"),
         F.col("minutes").cast("double").alias("m"), ratio(F.col("out"), F.col("n"), 4).alias("stockout_rate"),
     )

@@ -148,6 +148,24 @@ def score_stockout(model: PipelineModel, features: DataFrame, columns: list[str]
     return model.transform(numeric(features, columns)).select(F.col("snapshot_date").alias("date"), "warehouse_id", "product_id", risk.alias("stockout_risk_score"))
 
 
+def incremental_scores(scored: DataFrame, facts: DataFrame, day: str, build, score, keys: list[str], lookback_rows: int = 30, lookback_days: int | None = None) -> DataFrame:
+    """scored after a run that scores what is new: features are built (build) from the facts after its last date and, of each key, the last rows before it that
+    features look back on; the new dates' rows are scored (score) and written into it. A run without new facts changes nothing.
+
+    keys: the date first. lookback_days, where series have a row each day, lets whole partitions before them go unread.
+    """
+    date_, *series_ = keys
+    last = scored.agg(F.max(date_).alias("_last"))  # one row
+    dated = facts.join(F.broadcast(last))
+    if lookback_days is not None:
+        dated = dated.where(F.col("_last").isNull() | (F.col(day) > F.date_sub("_last", lookback_days)))
+    fresh = F.col("_last").isNull() | (F.col(day) > F.col("_last"))
+    place = F.row_number().over(Window.partitionBy(*series_, fresh).orderBy(F.col(day).desc()))
+    recent = dated.withColumn("_place", place).where(fresh | (F.col("_place") <= lookback_rows)).drop("_place", "_last")
+    new = score(build(recent)).join(F.broadcast(last)).where(F.col("_last").isNull() | (F.col(date_) > F.col("_last"))).drop("_last")
+    return upsert(scored, new, keys, [c for c in scored.columns if c not in keys])
+
+
 def stockout_risk_by_day(scored: DataFrame) -> DataFrame:
     return scored.groupBy("date", "product_id").agg(F.max("stockout_risk_score").alias("stockout_risk_score"))
 
