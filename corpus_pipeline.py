@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlake.llm import bpe, jaccard, langid, mixing, secrets
-from depotlake.llm.common import materialize, table
+from depotlake.llm.common import clear_stages, discard, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table is deleted once the next one's is written; the operators' own tables stay until clear_stages()."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes the pipeline's result, and then deletes all tables between stages of this application."""
+    run(spark, sf_dir).write.parquet(path)
+    clear_stages(spark)
