@@ -37,7 +37,7 @@ HEADS, ENDINGS, CLASSES, PARTS, ROUNDS, COMMON = 1 << 13, 1 << 11, 64, 4, 16, 1
 #: Added to each count of a word, weight of the classes' own shares, gain of all parts' turns in nats for each token under which exchange ends.
 ADDED, WEIGHT, LEAST_GAIN = 0.1, 5.0, 5e-3
 #: Characters of an ending, bytes from which a word is represented by a digest, and pairs that a task gathers before it sums them.
-ENDING, LONG, GATHER = 3, 64, 1 << 21
+ENDING, LONG, GATHER = 3, 64, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,8 +105,12 @@ class Lexicon:
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return codes, np.bincount(back, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+    codes, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    parts.clear()
+    order = codes.argsort(kind="stable")
+    codes, n = codes[order], n[order]
+    new = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[new], np.add.reduceat(n, new) if len(new) else n
 
 
 def pair_counts(docs: DataFrame, shared) -> DataFrame:
@@ -115,8 +119,7 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, parts, rows = shared.value, [], 0
 
-        def record() -> pa.RecordBatch:
-            codes, n = summed(parts)
+        def record(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array((codes // lexicon.units).astype(np.int32)), pa.array((codes % lexicon.units).astype(np.int32)), pa.array(n)], names=["before", "after", "n"])
 
         for batch in batches:
@@ -127,13 +130,15 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
             parts.append(np.unique(before * lexicon.units + after, return_counts=True))
             rows += len(parts[-1][0])
             if rows > 2 * GATHER:
-                parts = [summed(parts)]
-                rows = len(parts[0][0])
+                known = summed(parts)
+                rows = len(known[0])
                 if rows > GATHER:
-                    yield record()
-                    parts, rows = [], 0
+                    yield record(*known)
+                    rows = 0
+                else:
+                    parts.append(known)
         if parts:
-            yield record()
+            yield record(*summed(parts))
 
     return docs.select("text").mapInArrow(run, "before int, after int, n long").groupBy("before", "after").agg(F.sum("n").alias("n"))
 

@@ -485,3 +485,14 @@ def brute_masked(text):
             out += [text[at:a], "[SECRET]"]
         at = max(at, b)
     return "".join([*out, text[at:]]) if spans else None
+
+
+def test_pipeline_is_written_and_its_tables_go(spark, documents, tmp_path):
+    import corpus_pipeline
+    from depotlake.llm.common import shared_dir
+
+    documents.limit(80).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    corpus_pipeline.write(spark, str(tmp_path), str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.n_tokens) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want and want
+    assert not os.path.exists(shared_dir(spark).removeprefix("file:"))
