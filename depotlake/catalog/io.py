@@ -49,32 +49,53 @@ query("src_bad_rows", with_bad_lines, None, "SELECT COUNT(CASE WHEN o_orderkey %
 
 def dimension(t: Tables):
     path = SRC.scratch(t.spark, "products")
-    for table in (t.dim_product.limit(1), t.dim_product):  # the second load replaces the first one
-        SRC.write_flat(table, path)
+    SRC.write_flat(t.dim_product, path)
     return SRC.good_rows(SRC.read_csv(t.spark, path, t.dim_product.schema))
 
 
+def reloaded(t: Tables):
+    """A table of products after three loads of the CSV, of which each replaces what the one before left: some rows, changed rows, all rows; then the first one's prices again, which stay out."""
+    source, table = SRC.scratch(t.spark, "products-csv"), SRC.scratch(t.spark, "products")
+    for load in (t.dim_product.limit(1), t.dim_product.withColumn("product_name", F.lit("old")), t.dim_product):
+        SRC.write_flat(load, source)
+        SRC.write_flat(SRC.good_rows(SRC.read_csv(t.spark, source, t.dim_product.schema)), table, "parquet")
+    SRC.write_flat(t.dim_product.withColumn("cost_price", F.lit(0).cast("decimal(12,2)")), source)
+    return t.spark.read.parquet(table)
+
+
 PRODUCT = f"SELECT product_id, product_name, {dbl('cost_price', 'selling_price')}, is_perishable FROM {{dim_product}}"
 query("src_csv_dimension", dimension, "product_id product_name cost_price selling_price is_perishable", PRODUCT)
-query("src_dim_reload", dimension, "product_id product_name cost_price selling_price is_perishable", PRODUCT)
+query("src_dim_reload", reloaded, "product_id product_name cost_price selling_price is_perishable", PRODUCT)
 
 
 def table_query(t: Tables):
     base = SRC.scratch(t.spark, "warehouse")
     SRC.write_table(t.fact_orders, base, "orders", "overwrite")
+    return SRC.read_table(t.spark, base, "orders", "select order_status, count(*) as n, sum(total_amount) as amount from {table} where total_items > 1 group by order_status")
+
+
+def table_sink(t: Tables):
+    """What a table holds after it was replaced twice and appended to."""
+    base = SRC.scratch(t.spark, "warehouse")
+    SRC.write_table(t.fact_orders, base, "orders", "overwrite")
+    SRC.write_table(t.fact_orders.where("total_items <= 3"), base, "orders", "overwrite")
     SRC.write_table(t.fact_orders.where("total_items = 5"), base, "orders", "append")
-    return SRC.read_table(t.spark, base, "orders", "select order_status, count(*) as n, sum(total_amount) as amount from {table} group by order_status")
+    return SRC.read_table(t.spark, base, "orders").select("order_id", "total_items", "order_status")
 
 
-COUNTS = "SELECT order_status, CAST(SUM(CASE WHEN total_items = 5 THEN 2 ELSE 1 END) AS BIGINT) AS n, CAST(SUM(CASE WHEN total_items = 5 THEN 2 ELSE 1 END * total_amount) AS DOUBLE) AS amount FROM {fact_orders} GROUP BY 1"
-query("src_table_query", table_query, None, COUNTS)
-query("sink_table", table_query, None, COUNTS)
+query(
+    "src_table_query", table_query, None,
+    "SELECT order_status, COUNT(*) AS n, CAST(SUM(total_amount) AS DOUBLE) AS amount FROM {fact_orders} WHERE total_items > 1 GROUP BY 1",
+)
+query("sink_table", table_sink, None, f"SELECT order_id, {big('total_items')}, order_status FROM {{fact_orders}} WHERE total_items <= 3 OR total_items = 5")
 
 
 def cached(t: Tables):
+    """Shipments up to a day without some that come late, and then all of them."""
     cache, facts = SRC.scratch(t.spark, "cache"), t.fact_shipments.select("shipment_id", "shipment_date", "quantity")
-    SRC.extend_cache(facts.where("shipment_date < '1998-01-01'"), cache, "shipment_date")
-    return SRC.extend_cache(facts, cache, "shipment_date")
+    late = "shipment_date > '1997-12-01' and shipment_id like '%3'"
+    SRC.extend_cache(facts.where(f"shipment_date < '1998-01-01' and not ({late})"), cache, "shipment_date")
+    return SRC.extend_cache(facts, cache, "shipment_date", ["shipment_id"], 40)
 
 
 query("src_incremental_cache", cached, None, f"SELECT shipment_id, {day('shipment_date')}, {big('quantity')} FROM {{fact_shipments}}")

@@ -67,15 +67,17 @@ def fitted(t: Tables, kind: str) -> tuple:
 
 
 def stored(t: Tables):
-    """All three models through the store: saved, loaded, listed with the number of their features."""
-    path = scratch(t.spark, "models")
-    for kind, (_, _, _, features) in KINDS.items():
+    """All three models through the store: the number of features in the listing, the rows of each model, and on how many of them the loaded model says what the saved one does."""
+    path, rows = scratch(t.spark, "models"), None
+    for kind, (of, _, _, features) in KINDS.items():
         best, model, metrics = fitted(t, kind)
         ML.save_model(model, path, kind, {"best": best} | json.loads(metrics.toJSON().first()), features)
-    kept = ML.list_saved_models(t.spark, path)
-    stages = [(kind, len(ML.load_model(path, kind).stages)) for kind in KINDS]
+        before = model.transform(ML.numeric(of(t), features)).select(*features, F.col("prediction").alias("before"))
+        again = ML.load_model(path, kind).transform(before)
+        counted = again.agg(F.lit(kind).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction") == F.col("before")).alias("n_same"))
+        rows = counted if rows is None else rows.unionByName(counted)
     n = F.size(F.from_json(F.get_json_object("metadata", "$.features"), "array<string>")).alias("n_features")
-    return kept.select("name", n).join(F.broadcast(t.spark.createDataFrame(stages, "name string, stages int").where("stages > 1")), "name", "left_semi")
+    return ML.list_saved_models(t.spark, path).select("name", n).join(F.broadcast(rows), "name")  # one row for each model
 
 
 def demand_scores(t: Tables):
@@ -99,7 +101,13 @@ def forecasted(t: Tables):
 query("train_demand", lambda t: trained(t, "demand")[2], "model mape rmse mae r2 n")
 query("train_eta", lambda t: trained(t, "eta")[2], "model mape rmse mae r2 n")
 query("train_stockout", lambda t: trained(t, "stockout")[2], "model auc_roc tp fp fn tn precision recall f1")
-query("model_store", stored, None, "SELECT * FROM (VALUES ('demand', 34), ('eta', 22), ('stockout', 32)) v(name, n_features)")
+query(
+    "model_store", stored, None,
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS name, CAST({len(KINDS[kind][3])} AS BIGINT) AS n_features, COUNT(*) AS n_rows, COUNT(*) AS n_same FROM ({ORACLES[source]}) {kind}"
+        for kind, source in (("demand", "demand_features"), ("eta", "eta_features"), ("stockout", "stockout_features"))
+    ),
+)
 query("feature_importance_topk", lambda t: ML.feature_importance(t.spark, fitted(t, "demand")[1], P.DEMAND_FEATURES), None)
 # Forecasts that need no training, ranked by their errors.
 NAIVE = {"yesterday": "demand_lag_1d", "last_week": "demand_lag_7d", "four_weeks_ago": "demand_lag_28d", "mean_7d": "demand_rolling_avg_7d", "mean_30d": "demand_rolling_avg_30d"}

@@ -83,10 +83,11 @@ def last_partition(df: DataFrame, default: date, by: str = "date") -> DataFrame:
     return df.agg(F.coalesce(F.max(by), F.lit(default)).alias("last_date"))
 
 
-def extend_cache(source: DataFrame, cache: str, by: str) -> DataFrame:
+def extend_cache(source: DataFrame, cache: str, by: str, keys: list[str] | None = None, lookback_days: int = 0) -> DataFrame:
     """Appends to the Parquet folder cache what source has after its last date (all of it at first), and returns the whole cache.
 
-    The high-water mark is read from the cache itself, so a failed append is made up by the next one.
+    The high-water mark is read from the cache itself, so a failed append is made up by the next one. With keys and lookback_days, rows of the last date
+    and of so many days before it that came late are appended, too: those whose keys the cache lacks there.
     """
     spark = source.sparkSession
     try:
@@ -97,7 +98,13 @@ def extend_cache(source: DataFrame, cache: str, by: str) -> DataFrame:
         source.write.parquet(cache)
         return spark.read.parquet(cache)
     mark = old.agg(F.max(by).alias("m")).first()["m"]
-    (source if mark is None else source.where(F.col(by) > F.lit(mark))).write.mode("append").parquet(cache)
+    if mark is not None and keys:
+        recent = lambda df: df.where(F.col(by) >= F.date_sub(F.lit(mark), lookback_days))
+        known = recent(old).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        recent(source).join(known, on, "left_anti").write.mode("append").parquet(cache)
+    else:
+        (source if mark is None else source.where(F.col(by) > F.lit(mark))).write.mode("append").parquet(cache)
     return spark.read.schema(old.schema).parquet(cache)
 
 

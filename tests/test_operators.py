@@ -210,6 +210,9 @@ def test_cache_and_jdbc_free_tables(spark, tmp_path):
     rows = lambda n: spark.createDataFrame([(date(2024, 1, d + 1), d) for d in range(n)], "d date, v int")
     assert SRC.extend_cache(rows(3), cache, "d").count() == 3
     assert SRC.extend_cache(rows(5), cache, "d").count() == 5 == SRC.extend_cache(rows(5), cache, "d").count()
+    late = spark.createDataFrame([(date(2024, 1, 5), 4), (date(2024, 1, 4), 99), (date(2024, 1, 1), 98)], "d date, v int")
+    assert sorted(r.v for r in SRC.extend_cache(rows(5).union(late.where("v > 90")), cache, "d", ["v"], 2).collect()) == [0, 1, 2, 3, 4, 99]
+    assert SRC.extend_cache(late, cache, "d", ["v"], 2).count() == 6
     SRC.write_table(rows(2), str(tmp_path), "x", "overwrite")
     assert SRC.read_table(spark, str(tmp_path), "x", "select max(v) from {table}").first()[0] == 1
     SRC.write_per_key(rows(2), str(tmp_path / "keys"), "v")
