@@ -118,14 +118,46 @@ query("allocation_savings_summary", lambda t: O.allocation_savings(allocated(t))
     FROM (SELECT SUM(CAST(baseline_cost AS DECIMAL(18,2))) AS b0, CAST(SUM(CAST(baseline_cost AS DECIMAL(18,2))) AS DOUBLE) AS b, CAST(SUM(CAST(optimal_cost AS DECIMAL(18,2))) AS DOUBLE) AS o, AVG(CASE WHEN is_optimal_assignment THEN 1.0E0 ELSE 0 END) AS e FROM {GREEDY} g) x""")
 
 s = Q  # checks
-query("dq_suite", lambda t: Q.run_suite(Staged(t).orders, [Q.not_null("order_id"), Q.not_null("experiment_id", mostly=0.3), Q.in_set("order_status", ["Delivered", "Shipped", "Processing", "Pending", "Cancelled"]), Q.in_set("order_priority", ["Standard", "Express"], severity="warn"),
-      Q.between("total_amount", 0, 900, mostly=0.8), Q.positive("total_fulfillment_cost"), Q.matches("assigned_warehouse_id", r"^WH-[0-9]{3}$"), Q.greater("total_amount", "total_fulfillment_cost", mostly=0.5), Q.row_count(1, 10**9), Q.mean_between("total_amount", 100, 900),
-      Q.distinct_equals("order_priority", ["Standard", "Express", "Same-Day"]), Q.distinct_subset("order_priority", ["Standard", "Express", "Same-Day"]), Q.approx_equal("total_amount", "total_fulfillment_cost", 5000), Q.columns_match(t.fact_orders, ["order_id", "order_date"])], "orders").drop("table"), None,
-      f"""WITH o AS (SELECT * FROM {ORDERS} x), c AS (SELECT * FROM (VALUES ('not_null_order_id', 'error', (SELECT COUNT(*) FROM o WHERE order_id IS NULL), 1.0E0), ('not_null_experiment_id', 'error', (SELECT COUNT(*) FROM o WHERE experiment_id IS NULL), 0.3E0),
-      ('in_set_order_status', 'error', (SELECT COUNT(*) FROM o WHERE order_status NOT IN ('Delivered', 'Shipped', 'Processing', 'Pending', 'Cancelled')), 1.0E0), ('in_set_order_priority', 'warn', (SELECT COUNT(*) FROM o WHERE order_priority NOT IN ('Standard', 'Express')), 1.0E0), ('between_total_amount', 'error', (SELECT COUNT(*) FROM o WHERE total_amount NOT BETWEEN 0 AND 900), 0.8E0),
-      ('positive_total_fulfillment_cost', 'error', (SELECT COUNT(*) FROM o WHERE total_fulfillment_cost < 0), 1.0E0), ('regex_assigned_warehouse_id', 'error', (SELECT COUNT(*) FROM o WHERE NOT regexp_matches(assigned_warehouse_id, '^WH-[0-9][0-9][0-9]$')), 1.0E0), ('greater_total_amount_total_fulfillment_cost', 'error', (SELECT COUNT(*) FROM o WHERE NOT total_amount > total_fulfillment_cost), 0.5E0),
-      ('row_count', 'error', 0, 1.0E0), ('mean_total_amount', 'error', (SELECT CASE WHEN AVG(CAST(total_amount AS DOUBLE)) BETWEEN 100 AND 900 THEN 0 ELSE 1 END FROM o), 1.0E0), ('distinct_equals_order_priority', 'error', (SELECT CASE WHEN COUNT(DISTINCT order_priority) = 3 THEN 0 ELSE 1 END FROM o), 1.0E0), ('distinct_subset_order_priority', 'error', (SELECT COUNT(*) FROM o WHERE order_priority NOT IN ('Standard', 'Express', 'Same-Day')), 1.0E0),
-      ('approx_equal_total_amount_total_fulfillment_cost', 'error', (SELECT COUNT(*) FROM o WHERE ABS(total_amount - total_fulfillment_cost) > 5000), 1.0E0), ('columns_match', 'error', 1, 1.0E0)) v(name, severity, bad, mostly)) SELECT name AS "check", severity, CAST(bad AS BIGINT) AS violations, (SELECT COUNT(*) FROM o) AS rows, bad <= (SELECT COUNT(*) FROM o) * (1 - mostly) + 1e-9 AS passed FROM c""")
+STATUSES, URGENCIES = ["Delivered", "Shipped", "Processing", "Pending", "Cancelled"], ["Standard", "Express", "Same-Day"]
+listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+bad_rows = lambda condition: f"(SELECT COUNT(*) FROM o WHERE {condition})"
+one_if_not = lambda condition: f"(SELECT CASE WHEN {condition} THEN 0 ELSE 1 END FROM o)"
+# Each check, and SQL for its violations.
+SUITE = [
+    (Q.not_null("order_id"), bad_rows("order_id IS NULL")),
+    (Q.not_null("experiment_id", mostly=0.3), bad_rows("experiment_id IS NULL")),
+    (Q.in_set("order_status", STATUSES), bad_rows(f"order_status NOT IN {listed(STATUSES)}")),
+    (Q.in_set("order_priority", URGENCIES[:2], severity="warn"), bad_rows(f"order_priority NOT IN {listed(URGENCIES[:2])}")),
+    (Q.between("total_amount", 0, 900, mostly=0.8), bad_rows("total_amount NOT BETWEEN 0 AND 900")),
+    (Q.positive("total_fulfillment_cost"), bad_rows("total_fulfillment_cost < 0")),
+    (Q.matches("assigned_warehouse_id", r"^WH-[0-9]{3}$"), bad_rows("NOT regexp_matches(assigned_warehouse_id, '^WH-[0-9][0-9][0-9]$')")),
+    (Q.greater("total_amount", "total_fulfillment_cost", mostly=0.5), bad_rows("NOT total_amount > total_fulfillment_cost")),
+    (Q.approx_equal("total_amount", "total_fulfillment_cost", 5000), bad_rows("ABS(total_amount - total_fulfillment_cost) > 5000")),
+    (Q.row_count(1, 10**9), one_if_not("COUNT(*) BETWEEN 1 AND 1000000000")),
+    (Q.mean_between("total_amount", 100, 900), one_if_not("AVG(CAST(total_amount AS DOUBLE)) BETWEEN 100 AND 900")),
+    (Q.distinct_equals("order_priority", URGENCIES), one_if_not(f"COUNT(DISTINCT order_priority) = 3 AND COUNT(CASE WHEN order_priority NOT IN {listed(URGENCIES)} THEN 1 END) = 0")),
+    (Q.distinct_subset("order_priority", URGENCIES), bad_rows(f"order_priority NOT IN {listed(URGENCIES)}")),
+]
+#: The columns of a table that comes as it should, and of one that doesn't.
+DAYS = ["date", "day_of_week_num", "is_weekend"]
+
+
+def suite(t: Tables):
+    dates = dates_of(t).select(*DAYS)
+    checks = [c for c, _ in SUITE] + [Q.columns_match(dates, DAYS), Q.columns_match(dates, DAYS[::-1])]
+    return Q.run_suite(Staged(t).orders, checks, "orders").drop("table")
+
+
+query(
+    "dq_suite", suite, None,
+    f"""WITH o AS (SELECT * FROM {ORDERS} x),
+    c AS (SELECT * FROM (VALUES
+        {', '.join(f"('{c.name}', '{c.severity}', {bad}, {c.mostly}E0, {'FALSE' if c.holds is not None else 'TRUE'})" for c, bad in SUITE)},
+        {', '.join(f"('columns_match', 'error', CASE WHEN {[*names]} = {[*DAYS]} THEN 0 ELSE 1 END, 1.0E0, TRUE)" for names in (DAYS, DAYS[::-1]))}
+    ) v(name, severity, bad, mostly, is_total))
+    SELECT name AS "check", severity, CAST(bad AS BIGINT) AS violations, (SELECT COUNT(*) FROM o) AS rows,
+        CASE WHEN is_total THEN bad = 0 ELSE bad <= (SELECT COUNT(*) FROM o) * (1 - mostly) + 1e-9 END AS passed FROM c""",
+)
 query("dq_unique", lambda t: Q.unique(Staged(t).items, ["order_item_id"]), None, f"SELECT order_item_id, COUNT(*) AS n FROM {ITEMS} i GROUP BY 1 HAVING COUNT(*) > 1")
 query("dq_unique_compound", lambda t: Q.unique(Staged(t).shipments, ["shipment_date", "warehouse_id", "product_id"]), None, f"SELECT {day('shipment_date')}, warehouse_id, product_id, COUNT(*) AS n FROM {{fact_shipments}} WHERE quantity > 0 GROUP BY ALL HAVING COUNT(*) > 1")
 query("dq_order_reconcile", lambda t: Q.order_reconcile(Staged(t).orders, Staged(t).items), "order_id total_amount item_revenue", f"SELECT o.order_id, {dbl('total_amount')}, CAST(r AS DOUBLE) AS item_revenue FROM {ORDERS} o JOIN (SELECT order_id, SUM(revenue) AS r FROM {ITEMS} i GROUP BY 1) i ON i.order_id = o.order_id WHERE ABS(total_amount - r) > 0.01")
