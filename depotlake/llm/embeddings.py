@@ -177,13 +177,26 @@ def placed_in(good: DataFrame, grids: dict[int, Grid]) -> DataFrame:
     return good.select("set_key", "copies", "v").mapInArrow(per_batch(visit, 1024), "set_key long, copies long, v array<double>, visits array<int>")
 
 
-def similar_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def similar_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, key_bits: int = 64) -> DataFrame:
     """key, n_links, component_id, kept and class_id (the smallest key with an equal vector) of each row."""
     rows = rows.select(F.col(key).alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     # a vector that can't link is a class of its own, by its id
-    keyed = rows.withColumn("good", usable(F.col("v"))).withColumn("set_key", F.when(F.col("good"), F.xxhash64("v", F.lit(1))).otherwise(F.xxhash64("vec_id", F.lit("alone"))))
-    classes = keyed.groupBy("set_key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("good").alias("good"), F.first("v").alias("v"))
-    classes = materialize(classes, "vectors")
+    def keyed_by(clashes: list[int]) -> DataFrame:
+        hashed = F.shiftright(F.xxhash64("v", F.lit(1)), 64 - key_bits)
+        hashed = F.when(hashed.isin(clashes), F.xxhash64("v", F.lit(2))).otherwise(hashed) if clashes else hashed  # different vectors under one key go by another hash
+        return rows.withColumn("good", usable(F.col("v"))).withColumn("set_key", F.when(F.col("good"), hashed).otherwise(F.xxhash64("vec_id", F.lit("alone"))))
+
+    def grouped(keyed: DataFrame) -> DataFrame:
+        other = F.xxhash64("v", F.lit(2))
+        clash = F.first("good") & (F.min(other) != F.max(other))
+        return materialize(keyed.groupBy("set_key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("good").alias("good"), F.first("v").alias("v"), clash.alias("clash")), "vectors")
+
+    keyed = keyed_by([])
+    classes = grouped(keyed)
+    clashes = [r["set_key"] for r in classes.where("clash").select("set_key").collect()]  # none, but for 1 of 2e18 pairs of vectors
+    if clashes:
+        keyed = keyed_by(clashes)
+        classes = grouped(keyed)
     good, members = classes.where("good"), keyed.select("vec_id", "set_key")
     lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length
     if not lengths:

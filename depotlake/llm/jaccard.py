@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlake.llm.common import materialize, per_batch, small, table
@@ -118,9 +118,11 @@ def bands_of(low: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """Equal for equal sets; different ones share it with a chance of 2 ** -64."""
-    return int(mix(np.array([mix(shingles ^ np.uint64(STEP)).sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def set_keys(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two independent keys, equal for equal sets: the first one's upper bits are the key, the other tells sets apart that share it."""
+    sums = [mix(shingles ^ np.uint64(STEP)).sum(), mix(shingles + np.uint64(BASE)).sum()]
+    first, second = mix(np.array([s + np.uint64(len(shingles)) for s in sums], np.uint64)).view(np.int64).tolist()
+    return first >> (64 - bits), second
 
 
 @lru_cache(8)
@@ -206,18 +208,18 @@ def row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key (of id and text), set_key, n (shingles), bands and sketch (bytes) of each document."""
+def sketches(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, row_key (of id and text), set_key and other_key, n (shingles), bands and sketch (bytes) of each document."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2))
         low = [minhash(s) for s in sets]
-        keys = pa.array([set_key(s) for s in sets], pa.int64())
+        keys = np.array([set_keys(s, bits) for s in sets], np.int64).reshape(-1, 2)
         bands = pa.array([bands_of(x).tolist() if len(s) else [] for s, x in zip(sets, low)], pa.list_(pa.int64()))
-        columns = [batch.column(0), batch.column(1), keys, pa.array(list(map(len, sets)), pa.int32()), bands, pa.array([bytes_of(x).tobytes() for x in low], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_key", "n", "bands", "sketch"])
+        columns = [batch.column(0), batch.column(1), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(map(len, sets)), pa.int32()), bands, pa.array([bytes_of(x).tobytes() for x in low], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_key", "other_key", "n", "bands", "sketch"])
 
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(per_batch(step), "doc_id long, row_key long, set_key long, n int, bands array<long>, sketch binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(per_batch(step), "doc_id long, row_key long, set_key long, other_key long, n int, bands array<long>, sketch binary")
 
 
 def sketch_matrix(rows: pa.Table) -> np.ndarray:
@@ -291,7 +293,7 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total[at].astype(np.int64)
 
 
-def verified(grouped: DataFrame, docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def verified(grouped: DataFrame, docs: DataFrame, threshold: float, tolerance: float, bits: int = 64) -> DataFrame:
     """set_key, links (documents of other classes linked, in this block) and to, the smallest class of its connected part of the block.
 
     grouped: set_key, doc_id and row_key (of a document of the class), copies, n, root, bands and sketch of the classes in candidate groups.
@@ -303,7 +305,7 @@ def verified(grouped: DataFrame, docs: DataFrame, threshold: float, tolerance: f
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(batch.column(0))
-        right = [set_key(s) == k for s, k in zip(found, batch.column(1).to_pylist())]
+        right = [k in set_keys(s, bits) for s, k in zip(found, batch.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["set_key", "shingles"]).filter(pa.array(right))
 
     own = materialize(texts.select("text", "set_key").mapInArrow(per_batch(sets), "set_key long, shingles binary").dropDuplicates(["set_key"]), "shingles")  # repeated rows of a document
@@ -341,19 +343,27 @@ def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut.tolist(), cut[1:].tolist()) if b > a]
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, key_bits: int = 64) -> DataFrame:
     """doc_id, class_id (smallest id with the same shingles), n_links (other rows linked directly), component_id (smallest id reachable), kept (one row of each component, or rows equal to it) and row_key."""
     docs = docs.select("doc_id", "text")
-    sketched = materialize(sketches(docs), "sketches")
+    sketched = materialize(sketches(docs, key_bits), "sketches")
     own = F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.xxhash64("row_key", F.lit("alone")))  # texts without words don't meet
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    classes = sketched.withColumn("set_key", own).groupBy("set_key").agg(
-        F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-    )
-    classes = materialize(classes, "classes")
+
+    def grouped_by(key: Column) -> DataFrame:
+        return materialize(sketched.withColumn("set_key", key).groupBy("set_key").agg(
+            F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+            (F.min("other_key") != F.max("other_key")).alias("clash"),
+        ), "classes")
+
+    classes = grouped_by(own)
+    clashes = [r["set_key"] for r in classes.where("clash and n > 0").select("set_key").collect()]  # none, but for 1 of 2e18 pairs of sets
+    if clashes:  # different sets under one key go by their other key
+        own = F.when(own.isin(clashes), F.col("other_key")).otherwise(own)
+        classes = grouped_by(own)
     groups = components(candidate_edges(classes, threshold, tolerance))
     grouped = groups.select(F.col("node").alias("set_key"), "root").join(classes.select("set_key", "rep.row_key", "copies", "n", "bands", "sketch"), "set_key")
-    found = materialize(verified(grouped, docs, threshold, tolerance), "links")
+    found = materialize(verified(grouped, docs, threshold, tolerance, key_bits), "links")
     parts = components(found.select(F.col("set_key").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("set_key").agg(F.sum("links").alias("links"))
     placed = classes.select("set_key", "rep", "copies", "n").join(links, "set_key", "left").join(parts.withColumnRenamed("node", "set_key"), "set_key", "left")

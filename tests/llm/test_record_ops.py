@@ -496,3 +496,15 @@ def test_pipeline_is_written_and_its_tables_go(spark, documents, tmp_path):
     corpus_pipeline.write(spark, str(tmp_path), str(tmp_path / "out"))
     assert sorted((r.doc_id, r.n_tokens) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want and want
     assert not os.path.exists(shared_dir(spark).removeprefix("file:"))
+
+
+def test_keys_that_clash_lose_nothing(spark, documents):
+    """With keys of a few bits, which very many different texts and vectors share, the results are those of whole keys."""
+    docs = documents.limit(120)
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "class_id", "n_links", "component_id", "kept").collect()))
+    assert rows(jaccard.similar_documents(docs, key_bits=4)) == rows(jaccard.similar_documents(docs))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 16))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x[:20], x[:50] + 0.05 * rng.normal(size=(50, 16))]))] + [(900, None), (901, None)], "vec_id long, embedding array<double>")
+    a, b = (sorted(map(repr, embeddings.similar_vectors(vectors, key_bits=bits).collect())) for bits in (4, 64))
+    assert a == b and len(a) == 222
