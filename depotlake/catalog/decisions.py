@@ -122,29 +122,31 @@ STATUSES, URGENCIES = ["Delivered", "Shipped", "Processing", "Pending", "Cancell
 listed = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
 bad_rows = lambda condition: f"(SELECT COUNT(*) FROM o WHERE {condition})"
 one_if_not = lambda condition: f"(SELECT CASE WHEN {condition} THEN 0 ELSE 1 END FROM o)"
-# Each check, and SQL for its violations.
+# Each check's name, how it is made, its options, and SQL for its violations (1 for a check of the table as a whole that fails).
 SUITE = [
-    (Q.not_null("order_id"), bad_rows("order_id IS NULL")),
-    (Q.not_null("experiment_id", mostly=0.3), bad_rows("experiment_id IS NULL")),
-    (Q.in_set("order_status", STATUSES), bad_rows(f"order_status NOT IN {listed(STATUSES)}")),
-    (Q.in_set("order_priority", URGENCIES[:2], severity="warn"), bad_rows(f"order_priority NOT IN {listed(URGENCIES[:2])}")),
-    (Q.between("total_amount", 0, 900, mostly=0.8), bad_rows("total_amount NOT BETWEEN 0 AND 900")),
-    (Q.positive("total_fulfillment_cost"), bad_rows("total_fulfillment_cost < 0")),
-    (Q.matches("assigned_warehouse_id", r"^WH-[0-9]{3}$"), bad_rows("NOT regexp_matches(assigned_warehouse_id, '^WH-[0-9][0-9][0-9]$')")),
-    (Q.greater("total_amount", "total_fulfillment_cost", mostly=0.5), bad_rows("NOT total_amount > total_fulfillment_cost")),
-    (Q.approx_equal("total_amount", "total_fulfillment_cost", 5000), bad_rows("ABS(total_amount - total_fulfillment_cost) > 5000")),
-    (Q.row_count(1, 10**9), one_if_not("COUNT(*) BETWEEN 1 AND 1000000000")),
-    (Q.mean_between("total_amount", 100, 900), one_if_not("AVG(CAST(total_amount AS DOUBLE)) BETWEEN 100 AND 900")),
-    (Q.distinct_equals("order_priority", URGENCIES), one_if_not(f"COUNT(DISTINCT order_priority) = 3 AND COUNT(CASE WHEN order_priority NOT IN {listed(URGENCIES)} THEN 1 END) = 0")),
-    (Q.distinct_subset("order_priority", URGENCIES), bad_rows(f"order_priority NOT IN {listed(URGENCIES)}")),
-]
+    ("not_null_order_id", lambda **k: Q.not_null("order_id", **k), {}, bad_rows("order_id IS NULL")),
+    ("not_null_experiment_id", lambda **k: Q.not_null("experiment_id", **k), {"mostly": 0.3}, bad_rows("experiment_id IS NULL")),
+    ("in_set_order_status", lambda **k: Q.in_set("order_status", STATUSES, **k), {}, bad_rows(f"order_status NOT IN {listed(STATUSES)}")),
+    ("in_set_order_priority", lambda **k: Q.in_set("order_priority", URGENCIES[:2], **k), {"severity": "warn"}, bad_rows(f"order_priority NOT IN {listed(URGENCIES[:2])}")),
+    ("between_total_amount", lambda **k: Q.between("total_amount", 0, 900, **k), {"mostly": 0.8}, bad_rows("total_amount NOT BETWEEN 0 AND 900")),
+    ("positive_total_fulfillment_cost", lambda **k: Q.positive("total_fulfillment_cost", **k), {}, bad_rows("total_fulfillment_cost < 0")),
+    ("regex_assigned_warehouse_id", lambda **k: Q.matches("assigned_warehouse_id", r"^WH-[0-9]{3}$", **k), {}, bad_rows("NOT regexp_matches(assigned_warehouse_id, '^WH-[0-9][0-9][0-9]$')")),
+    ("greater_total_amount_total_fulfillment_cost", lambda **k: Q.greater("total_amount", "total_fulfillment_cost", **k), {"mostly": 0.5}, bad_rows("NOT total_amount > total_fulfillment_cost")),
+    ("approx_equal_total_amount_total_fulfillment_cost", lambda **k: Q.approx_equal("total_amount", "total_fulfillment_cost", 5000, **k), {}, bad_rows("ABS(total_amount - total_fulfillment_cost) > 5000")),
+    ("distinct_subset_order_priority", lambda **k: Q.distinct_subset("order_priority", URGENCIES, **k), {}, bad_rows(f"order_priority NOT IN {listed(URGENCIES)}")),
+    ("row_count", lambda **k: Q.row_count(1, 10**9, **k), {}, one_if_not("COUNT(*) BETWEEN 1 AND 1000000000")),
+    ("mean_total_amount", lambda **k: Q.mean_between("total_amount", 100, 900, **k), {}, one_if_not("AVG(CAST(total_amount AS DOUBLE)) BETWEEN 100 AND 900")),
+    ("distinct_equals_order_priority", lambda **k: Q.distinct_equals("order_priority", URGENCIES, **k), {},
+     one_if_not(f"COUNT(DISTINCT order_priority) = 3 AND COUNT(CASE WHEN order_priority NOT IN {listed(URGENCIES)} THEN 1 END) = 0")),
+]
+WHOLE = ("row_count", "mean_total_amount", "distinct_equals_order_priority")
 #: The columns of a table that comes as it should, and of one that doesn't.
 DAYS = ["date", "day_of_week_num", "is_weekend"]
 
 
 def suite(t: Tables):
     dates = dates_of(t).select(*DAYS)
-    checks = [c for c, _ in SUITE] + [Q.columns_match(dates, DAYS), Q.columns_match(dates, DAYS[::-1])]
+    checks = [make(**options) for _, make, options, _ in SUITE] + [Q.columns_match(dates, DAYS), Q.columns_match(dates, DAYS[::-1])]
     return Q.run_suite(Staged(t).orders, checks, "orders").drop("table")
 
 
@@ -152,7 +154,7 @@ query(
     "dq_suite", suite, None,
     f"""WITH o AS (SELECT * FROM {ORDERS} x),
     c AS (SELECT * FROM (VALUES
-        {', '.join(f"('{c.name}', '{c.severity}', {bad}, {c.mostly}E0, {'FALSE' if c.holds is not None else 'TRUE'})" for c, bad in SUITE)},
+        {', '.join(f"('{name}', '{options.get('severity', 'error')}', {bad}, {options.get('mostly', 1.0)}E0, {name in WHOLE})" for name, _, options, bad in SUITE)},
         {', '.join(f"('columns_match', 'error', CASE WHEN {[*names]} = {[*DAYS]} THEN 0 ELSE 1 END, 1.0E0, TRUE)" for names in (DAYS, DAYS[::-1]))}
     ) v(name, severity, bad, mostly, is_total))
     SELECT name AS "check", severity, CAST(bad AS BIGINT) AS violations, (SELECT COUNT(*) FROM o) AS rows,

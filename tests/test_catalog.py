@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -36,3 +40,9 @@ def test_same_rows(name, spark, duck, data):
 
 def test_all_queries_with_sql_are_queries():
     assert set(ORACLES) <= set(catalog.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
