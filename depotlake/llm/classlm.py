@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlake.llm.common import at_most, materialize, table
+from depotlake.llm.common import at_most, materialize, per_bytes, slices, table
 
 #: Words that are units, units of other words, classes, parts of the units that move in turn, their turns, and words whose counts all tasks get.
 HEADS, ENDINGS, CLASSES, PARTS, ROUNDS, COMMON = 1 << 13, 1 << 11, 64, 4, 16, 1 << 18
 #: Added to each count of a word, weight of the classes' own shares, gain of all parts' turns in nats for each token under which exchange ends.
 ADDED, WEIGHT, LEAST_GAIN = 0.1, 5.0, 5e-3
-#: Characters of an ending, bytes from which a word is represented by a digest, and pairs that a task gathers before it sums them.
-ENDING, LONG, GATHER = 3, 64, 1 << 20
+#: Characters of an ending, bytes from which a word is represented by a digest, pairs that a task gathers before it sums them, and bytes of the texts that it holds in arrays.
+ENDING, LONG, GATHER, TOGETHER = 3, 64, 1 << 19, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,8 +122,8 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
         def record(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array((codes // lexicon.units).astype(np.int32)), pa.array((codes % lexicon.units).astype(np.int32)), pa.array(n)], names=["before", "after", "n"])
 
-        for batch in batches:
-            found, upto = words(batch.column(0))
+        for texts in (part for batch in batches for part in slices(batch.column(0), TOGETHER)):
+            found, upto = words(texts)
             _, which, _, unit = lexicon.look_up(found)
             after, _ = lexicon.sequence(unit[which], upto)
             before = np.concatenate([[lexicon.end], after[:-1]])
@@ -290,31 +290,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, class_logs double, rest array<string>, times array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        for batch in batches:
-            found, upto = words(batch.column(3))
-            different, which, count, unit = model.lexicon.look_up(found)
-            units, begin = model.lexicon.sequence(unit[which], upto)
-            own = model.classes[units]
-            before = np.concatenate([[model.classes[-1]], own[:-1]])
-            class_logs = np.add.reduceat(model.step[before, own] - model.under[own], begin[:-1]) if batch.num_rows else np.zeros(0)
-            log = np.concatenate([np.where(count > 0, np.log10(count + ADDED), 0), [np.log10(model.ends + ADDED)]])
-            number = np.insert(which, upto[1:], len(different))
-            logs = np.add.reduceat(log[number], begin[:-1]) if batch.num_rows else np.zeros(0)
-            known = np.append(count > 0, model.ends > 0)
-            n_known = np.add.reduceat(known[number].astype(np.int64), begin[:-1]) if batch.num_rows else np.zeros(0, np.int64)
-            # the words that are not known here, once for each text
-            at = np.flatnonzero(count[which] == 0)
-            text, kinds = np.searchsorted(upto, at, "right") - 1, max(len(different), 1)
-            once, times = np.unique(text * kinds + which[at], return_counts=True)
-            cut = pa.array(np.searchsorted(once, np.arange(batch.num_rows + 1) * kinds), pa.int32())
-            rest = pa.ListArray.from_arrays(cut, different.take(pa.array(once % kinds)).cast(pa.string()))
-            columns = [*batch.columns[:3], pa.array(np.diff(begin)), pa.array(n_known), pa.array(logs), pa.array(class_logs), rest, pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        found, upto = words(batch.column(3))
+        different, which, count, unit = model.lexicon.look_up(found)
+        units, begin = model.lexicon.sequence(unit[which], upto)
+        own = model.classes[units]
+        before = np.concatenate([[model.classes[-1]], own[:-1]])
+        class_logs = np.add.reduceat(model.step[before, own] - model.under[own], begin[:-1]) if batch.num_rows else np.zeros(0)
+        log = np.concatenate([np.where(count > 0, np.log10(count + ADDED), 0), [np.log10(model.ends + ADDED)]])
+        number = np.insert(which, upto[1:], len(different))
+        logs = np.add.reduceat(log[number], begin[:-1]) if batch.num_rows else np.zeros(0)
+        known = np.append(count > 0, model.ends > 0)
+        n_known = np.add.reduceat(known[number].astype(np.int64), begin[:-1]) if batch.num_rows else np.zeros(0, np.int64)
+        # the words that are not known here, once for each text
+        at = np.flatnonzero(count[which] == 0)
+        text, kinds = np.searchsorted(upto, at, "right") - 1, max(len(different), 1)
+        once, times = np.unique(text * kinds + which[at], return_counts=True)
+        cut = pa.array(np.searchsorted(once, np.arange(batch.num_rows + 1) * kinds), pa.int32())
+        rest = pa.ListArray.from_arrays(cut, different.take(pa.array(once % kinds)).cast(pa.string()))
+        columns = [*batch.columns[:3], pa.array(np.diff(begin)), pa.array(n_known), pa.array(logs), pa.array(class_logs), rest, pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    rows = materialize(rows.mapInArrow(run, schema), "class-scores")
+    rows = materialize(rows.mapInArrow(per_bytes(step, 3, TOGETHER), schema), "class-scores")
     rest = rows.where(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     rest = rest.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + ADDED)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
