@@ -46,7 +46,9 @@ def held_out(doc_id: Column) -> Column:
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and where each text's begin (and the end). A long word is its digest after a blank, which no word has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # a copy, as ascii_lower gives wrong bytes for a slice of an array
+    own = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
     size = pc.binary_length(flat).to_numpy(zero_copy_only=False)

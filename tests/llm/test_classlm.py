@@ -10,6 +10,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from depotlake.llm import classlm
 
@@ -113,6 +114,13 @@ def test_exchange_raises_the_likelihood(spark, documents):
     units.unpersist()
 
 
+def test_slices_of_a_batch(spark, documents):
+    """Batches of far more bytes than are held in arrays at a time."""
+    docs = documents.select("doc_id", F.repeat("text", 20).alias("text")).coalesce(1)
+    model, counts = classlm.learn(docs, classes=4, rounds=2)
+    assert ours(classlm.score(docs, model, counts)) == plain(docs.collect(), model)
+
+
 def test_odd_rows(spark, odd, empty):
     model, counts = classlm.learn(empty)
     assert classlm.score(empty, model, counts).count() == 0
@@ -123,6 +131,10 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_words():
+    many = pa.array([f"Été {k} À la  ƒin\n" * (k % 5) for k in range(400)])
+    for a, n in ((0, 400), (123, 77), (399, 1), (5, 0)):  # slices of an array
+        found, upto = classlm.words(many.slice(a, n))
+        assert [found.to_pylist()[x:y] for x, y in zip(upto, upto[1:])] == [plain_words(t) for t in many.slice(a, n).to_pylist()]
     texts = ["", None, "  A b\tC\n", "É É\x0bx\x0cy\rz\x1fq", "w" * 70 + " w"]
     found, upto = classlm.words(pa.array(texts))
     assert [found.to_pylist()[a:b] for a, b in zip(upto, upto[1:])][:4] == [plain_words(t) for t in texts[:4]]
