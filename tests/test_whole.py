@@ -7,9 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from depotlake import catalog
-from depotlake.operators import enrich as E
 from depotlake.plans import models as ML
-from depotlake.sources import files as SRC
 
 
 def got(df):
@@ -19,3 +17,14 @@ def got(df):
 def test_table_query_counts_all_orders(spark, data):
     found = catalog.queries()["src_table_query"](spark, data).collect()
     assert sum(r.n for r in found) == spark.read.parquet(f"{data}/orders.parquet").count()
+
+
+def test_classifiers_without_both_classes(spark):
+    """No row with label 1, in validation or anywhere: the area is null, and scores are chances all the same."""
+    df = spark.createDataFrame([(float(k % 7), float(k), k % 2) for k in range(60)], "a double, b double, y int")
+    for train in (df, df.where("y = 0")):
+        name, model, table = ML.train_classification(train, df.where("y = 0"), "y", ["a", "b"])
+        assert [(r.auc_roc, r.tp + r.fn, r.fp + r.tn) for r in table.collect()] == [(None, 0, 30)] * 2 and name == "gbt"
+        rows = df.withColumns({"snapshot_date": F.lit("d"), "warehouse_id": F.lit("w"), "product_id": F.lit("p")})
+        scores = [r.stockout_risk_score for r in ML.score_stockout(model, rows, ["a", "b"]).collect()]
+        assert len(scores) == 60 and all(0 <= s <= 1 for s in scores)
