@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from depotlake import catalog
+from depotlake.operators import enrich as E
 from depotlake.plans import models as ML
 
 
@@ -28,3 +29,14 @@ def test_classifiers_without_both_classes(spark):
         rows = df.withColumns({"snapshot_date": F.lit("d"), "warehouse_id": F.lit("w"), "product_id": F.lit("p")})
         scores = [r.stockout_risk_score for r in ML.score_stockout(model, rows, ["a", "b"]).collect()]
         assert len(scores) == 60 and all(0 <= s <= 1 for s in scores)
+
+
+def test_suppliers_are_counted_without_pairs(spark):
+    products = spark.createDataFrame([("p", "A"), ("p", "A"), ("q", "B"), ("r", None), ("t", "D")], "product_id string, category string")
+    suppliers = spark.createDataFrame([("x", "A, B"), ("y", "A,A"), ("z", None)], "supplier_id string, product_categories string")
+    assert got(E.supplier_counts(products, suppliers, F.col("category"))) == [("p", 6), ("q", 1)]
+    pairs = E.supplier_categories(products, suppliers, F.col("category")).groupBy("product_id").count()
+    assert got(pairs) == got(E.supplier_counts(products, suppliers, F.col("category")))
+    many = spark.range(3000).select(F.concat(F.lit("p"), "id").alias("product_id"), F.lit("A").alias("category"))
+    sellers = spark.range(100000).select(F.col("id").alias("supplier_id"), F.lit("A, B").alias("product_categories"))  # 300 million pairs
+    assert E.supplier_counts(many, sellers, F.col("category")).where("suppliers = 100000").count() == 3000
