@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from depotlake import catalog
 from depotlake.operators import enrich as E
 from depotlake.plans import models as ML
+from depotlake.sources import files as SRC
 
 
 def got(df):
@@ -40,3 +41,14 @@ def test_suppliers_are_counted_without_pairs(spark):
     many = spark.range(3000).select(F.concat(F.lit("p"), "id").alias("product_id"), F.lit("A").alias("category"))
     sellers = spark.range(100000).select(F.col("id").alias("supplier_id"), F.lit("A, B").alias("product_categories"))  # 300 million pairs
     assert E.supplier_counts(many, sellers, F.col("category")).where("suppliers = 100000").count() == 3000
+
+
+def test_cache_keeps_rows_of_a_repeated_key(spark, tmp_path):
+    cache, kind = str(tmp_path / "cache"), "d date, k string, v int"
+    first = [(date(2024, 1, 9), "a", 1), (date(2024, 1, 10), "b", 2), (date(2024, 1, 10), "c", 3)]
+    more = [(date(2024, 2, 1), "a", 4), (date(2024, 1, 10), "b", 2), (date(2024, 1, 10), "b", 5), (date(2024, 1, 10), "b", 5), (None, "n", 6)]
+    SRC.extend_cache(spark.createDataFrame(first, kind), cache, "d")
+    for _ in range(2):
+        assert got(SRC.extend_cache(spark.createDataFrame(first + more, kind), cache, "d", ["k"], 5)) == sorted(first + more, key=repr)
+    changed = spark.createDataFrame([(date(2024, 2, 1), "a", 7)], kind)  # not one more row of its key
+    assert SRC.extend_cache(changed, cache, "d", ["k"], 5).count() == 8
