@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -15,6 +17,8 @@ from depotlake.streaming.events import latest_into
 #: States after which a delivery is no more late than it was.
 ENDED = ("Delivered", "Failed", "Cancelled")
 OUTPUT = "delivery_id string, kind string, delivery_status string, ms long"
+COLUMNS = ["delivery_id", "kind", "delivery_status", "ms"]
+STATES = pa.schema([("delivery_id", pa.string()), ("delivery_status", pa.string()), ("ms", pa.int64()), ("ended", pa.int64()), ("due", pa.int64()), ("alerted", pa.bool_())])
 
 
 class DeliveryTracker(StatefulProcessor):
@@ -22,48 +26,86 @@ class DeliveryTracker(StatefulProcessor):
 
     Rows have delivery_id, delivery_status, ms and due_ms (milliseconds). Of a delivery's events the latest counts (ties: the later status by name), so
     repeated and late ones change nothing. A timer waits for the promised time; what ended by then, by the events' own times, gives no alert.
+
+    The key is a shard of deliveries, whose states are one table (an Arrow stream): a batch reads and writes it once for each shard, and not once for each
+    delivery, and one timer waits for the first promised time of the shard that is still open.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "delivery_status string, ms long, ended long, due long, alerted boolean")
+        self.states = handle.getValueState("states", "states binary, timer long")
+
+    def load(self) -> tuple[pd.DataFrame | None, int | None]:
+        if not self.states.exists():
+            return None, None
+        packed, timer = self.states.get()
+        return pa.ipc.open_stream(bytes(packed)).read_pandas().astype({"ended": "Int64", "due": "Int64"}).set_index("delivery_id"), timer
+
+    def save(self, states: pd.DataFrame, timer: int | None) -> None:
+        """Sees to it that a timer waits for the first open time; one that waits for an earlier time stays, and sets the next when it expires."""
+        still = states.loc[waits(states), "due"]
+        first = int(still.min()) if len(still) else None
+        if first is not None and (timer is None or first < timer):
+            self.handle.registerTimer(first)
+            timer = first
+        table, sink = pa.Table.from_pandas(states.reset_index(), STATES, preserve_index=False), io.BytesIO()
+        with pa.ipc.new_stream(sink, STATES) as out:
+            out.write_table(table)
+        self.states.update((sink.getvalue(), timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, ms, ended, due, alerted = self.latest.get() if self.latest.exists() else (None, None, None, None, False)
-        was = status, ms
-        for batch in rows:
-            for s, at, promised in zip(batch["delivery_status"].tolist(), batch["ms"].tolist(), batch["due_ms"].tolist()):
-                at = int(at)
-                if ms is None or (at, s or "") > (ms, status or ""):
-                    status, ms = s, at
-                if s in ENDED and (ended is None or at < ended):
-                    ended = at
-                if due is None and not pd.isna(promised):
-                    due = int(promised)
-                    self.handle.registerTimer(due)
-        self.latest.update((status, ms, ended, due, alerted))
-        if (status, ms) != was:
-            yield pd.DataFrame({"delivery_id": [key[0]], "kind": ["status"], "delivery_status": [status], "ms": [ms]})
+        was, timer = self.load()
+        new = pd.concat(list(rows), ignore_index=True)
+        new = pd.DataFrame({
+            "delivery_id": new["delivery_id"], "delivery_status": new["delivery_status"], "ms": new["ms"].astype("int64"), "ended": new["ms"].astype("Int64").where(new["delivery_status"].isin(ENDED)),
+            "due": new["due_ms"].astype("Int64"), "alerted": False,
+        })
+        if was is not None:
+            own = was[was.index.isin(new["delivery_id"])]
+            new = pd.concat([own.reset_index(), new], ignore_index=True)
+        last = new.assign(place=new["delivery_status"].fillna("")).sort_values(["ms", "place"], kind="stable").drop_duplicates("delivery_id", keep="last").set_index("delivery_id")[["delivery_status", "ms"]]
+        of_id = new.groupby("delivery_id", sort=False)
+        states = last.join(of_id.agg(ended=("ended", "min"), due=("due", "first"), alerted=("alerted", "max")))
+        changed = last
+        if was is not None:
+            old = own.reindex(last.index)
+            same = (old["ms"] == last["ms"]).fillna(False) & (old["delivery_status"].fillna("") == last["delivery_status"].fillna(""))
+            changed = last[~same.astype(bool)]
+            states = pd.concat([was[~was.index.isin(states.index)], states])
+        self.save(states, timer)
+        if len(changed):
+            yield changed.reset_index().assign(kind="status")[COLUMNS]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, ms, ended, due, alerted = self.latest.get()
-        if not alerted and (ended is None or ended > due):
-            self.latest.update((status, ms, ended, due, True))
-            yield pd.DataFrame({"delivery_id": [key[0]], "kind": ["alert"], "delivery_status": [status], "ms": [due]})
+        states, timer = self.load()
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        # all times that the watermark has passed, each of which a timer of its own would have met by now
+        late = waits(states) & ((states["due"] <= expired) | (states["due"] < timerValues.getCurrentWatermarkInMs())).fillna(False).astype(bool)
+        states.loc[late, "alerted"] = True
+        self.save(states, None if timer is not None and timer <= expired else timer)
+        if late.any():
+            yield states[late].drop(columns="ms").rename(columns={"due": "ms"}).reset_index().assign(kind="alert").astype({"ms": "int64"})[COLUMNS]
 
     def close(self) -> None:
         pass
 
 
-def track(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def waits(states: pd.DataFrame) -> pd.Series:
+    """Whether an alert can still come: the delivery has a promised time, no alert yet, and no end by that time."""
+    by_then = (states["ended"] <= states["due"]).fillna(False).astype(bool)
+    return states["due"].notna() & ~states["alerted"].astype(bool) & ~by_then
+
+
+def track(events: DataFrame, delay: str = "1 hour", shards: int = 1024) -> DataFrame:
     """delivery_id, kind (status or alert), delivery_status and at, from a stream of delivery_id, delivery_status, event_time and due. Rows without an id or a time are left out.
 
-    Needs the RocksDB state store, which is set for the session.
+    Needs the RocksDB state store, which is set for the session. shards must stay as it is when a stream goes on from its checkpoint.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = events.where("delivery_id is not null and event_time is not null").withWatermark("event_time", delay)
-    rows = timed.select("delivery_id", "delivery_status", "event_time", F.unix_millis("event_time").alias("ms"), F.unix_millis("due").alias("due_ms"))
-    out = rows.groupBy("delivery_id").transformWithStateInPandas(DeliveryTracker(), OUTPUT, "Append", "EventTime")
+    shard = F.pmod(F.xxhash64("delivery_id"), F.lit(shards)).cast("int").alias("shard")
+    rows = timed.select(shard, "delivery_id", "delivery_status", "event_time", F.unix_millis("event_time").alias("ms"), F.unix_millis("due").alias("due_ms"))
+    out = rows.groupBy("shard").transformWithStateInPandas(DeliveryTracker(), OUTPUT, "Append", "EventTime")
     return out.select("delivery_id", "kind", "delivery_status", F.timestamp_millis("ms").alias("at"))
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from depotlake import catalog
 from depotlake.operators import enrich as E
 from depotlake.plans import models as ML
 from depotlake.sources import files as SRC
+from depotlake.streaming.state import DeliveryTracker
 
 
 def got(df):
@@ -52,3 +54,32 @@ def test_cache_keeps_rows_of_a_repeated_key(spark, tmp_path):
         assert got(SRC.extend_cache(spark.createDataFrame(first + more, kind), cache, "d", ["k"], 5)) == sorted(first + more, key=repr)
     changed = spark.createDataFrame([(date(2024, 2, 1), "a", 7)], kind)  # not one more row of its key
     assert SRC.extend_cache(changed, cache, "d", ["k"], 5).count() == 8
+
+
+def test_tracker_reads_and_writes_its_state_once_for_many_deliveries():
+    """A fake handle counts what goes to the state store; one in three deliveries ends late, and a third never."""
+    calls, store = [], {}
+
+    class Value:
+        exists = lambda self: "v" in store
+        get = lambda self: calls.append("get") or store["v"]
+        update = lambda self, v: calls.append("update") or store.update(v=v)
+
+    class Handle:
+        getValueState = lambda self, *a: Value()  # noqa: E731, N815
+        registerTimer = lambda self, at: calls.append("timer") or store.update(at=at)  # noqa: E731, N815
+
+    class At:
+        getExpiryTimeInMs = lambda self: store["at"]  # noqa: E731, N815
+        getCurrentWatermarkInMs = lambda self: 10**12 + 10**6  # noqa: E731, N815
+
+    tracker, base = DeliveryTracker(), 10**12
+    tracker.init(Handle())
+    frame = lambda rows: pd.DataFrame(rows, columns=["delivery_id", "delivery_status", "ms", "due_ms"])
+    begun = frame([(f"d{k}", "Assigned", base, base + 100 + k) for k in range(999)])
+    ended = frame([(f"d{k}", "Delivered", base + (1 if k % 3 else 5000), None) for k in range(999) if k % 3 < 2])
+    out = [pd.concat(tracker.handleInputRows((0,), iter(part), None)) for part in ([begun], [ended[:300], ended[300:], begun])]
+    assert len(out[0]) == 999 and len(out[1]) == 666 and set(out[1]["delivery_status"]) == {"Delivered"}
+    alerts = pd.concat(tracker.handleExpiredTimer((0,), At(), At()))
+    assert sorted(zip(alerts["delivery_id"], alerts["ms"])) == sorted((f"d{k}", base + 100 + k) for k in range(999) if k % 3 != 1)
+    assert not list(tracker.handleExpiredTimer((0,), At(), At())) and len(calls) <= 12
