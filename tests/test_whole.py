@@ -83,3 +83,9 @@ def test_tracker_reads_and_writes_its_state_once_for_many_deliveries():
     alerts = pd.concat(tracker.handleExpiredTimer((0,), At(), At()))
     assert sorted(zip(alerts["delivery_id"], alerts["ms"])) == sorted((f"d{k}", base + 100 + k) for k in range(999) if k % 3 != 1)
     assert not list(tracker.handleExpiredTimer((0,), At(), At())) and len(calls) <= 12
+
+
+def test_future_days_are_made_in_many_tasks(spark):
+    products = spark.range(400).select(F.concat(F.lit("P-"), "id").alias("product_id")).coalesce(1)
+    spine = ML.future_spine(products, F.lit(date(2024, 1, 1)), 3)
+    assert spine.rdd.getNumPartitions() > 1 and spine.count() == 1200 == spine.distinct().count()
