@@ -100,30 +100,33 @@ def greedy_allocation(orders: DataFrame, costs: DataFrame, warehouses: DataFrame
 
     All days go in rounds, of which there are at most as many as warehouses, and one more. In a round every open order chooses among the warehouses with
     room; running sums of items by day and warehouse find the order that fills one; the choices of a day stand up to its first such order, and the others
-    choose again. A round reads what the last one wrote; where no warehouse fills, the first round is the last.
+    choose again. A round reads what the last one wrote; where no warehouse fills, the first round is the last. Rounds carry the order of a customer's
+    warehouses only, one byte each; what the chosen one costs is looked up at the end.
     """
     spark = orders.sparkSession
     names = [(r["warehouse_id"], math.floor(r["capacity_units"] * usable)) for r in warehouses.select("warehouse_id", "capacity_units").orderBy("warehouse_id").collect()]  # one row for each warehouse
     number = F.lit(None).cast("int")
     for k, (w, _) in enumerate(names):
         number = F.when(F.col("warehouse_id") == w, k).otherwise(number)
-    choices = costs.where(F.col("cost").isNotNull()).select("customer_id", F.struct("cost", number.alias("k")).alias("c")).where("c.k is not null").groupBy("customer_id").agg(F.array_sort(F.collect_list("c")).alias("choices"))
+    kind = "tinyint" if len(names) <= 127 else "int"
+    least = costs.where(F.col("cost").isNotNull()).select("customer_id", number.cast(kind).alias("k"), "cost").where("k is not null").groupBy("customer_id", "k").agg(F.min("cost").alias("cost"))
+    choices = least.groupBy("customer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cost", "k"))), lambda c: c["k"]).alias("choices"))
     rank = F.lit(2)
     for k, v in PRIORITY.items():
         rank = F.when(F.col("order_priority") == k, v).otherwise(rank)
     rows = orders.select("order_id", "order_date", "customer_id", "assigned_warehouse_id", F.coalesce("total_items", F.lit(0)).cast("long").alias("items"), F.col("total_fulfillment_cost").cast("double").alias("baseline_cost"), rank.alias("rank"), F.monotonically_increasing_id().alias("row"))
     path = scratch(spark, "allocation")
-    rows.join(choices, "customer_id", "left").drop("customer_id").write.parquet(f"{path}/0")
+    rows.join(choices, "customer_id", "left").write.parquet(f"{path}/0")
     todo = spark.read.parquet(f"{path}/0")
     rooms = todo.select("order_date").distinct().withColumn("room", F.array(*[F.lit(r).cast("long") for _, r in names]))
     place = ["rank", "order_id", "row"]
     done = None
     for turn in range(1, len(names) + 2):
-        open_ = F.filter("choices", lambda c: F.element_at("room", c["k"] + 1) > 0)
+        open_ = F.filter("choices", lambda k: F.element_at("room", k.cast("int") + 1) > 0)
         chosen = joined(todo, rooms, ["order_date"]).withColumn("best", F.get(open_, F.lit(0)))
-        upto = F.sum("items").over(Window.partitionBy("order_date", "best.k").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
-        filled = F.when(F.col("best").isNotNull() & (upto >= F.element_at("room", F.col("best.k") + 1)), F.struct(*place))
-        chosen.withColumn("filled", filled).write.parquet(f"{path}/{turn}")
+        upto = F.sum("items").over(Window.partitionBy("order_date", "best").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+        filled = F.when(F.col("best").isNotNull() & (upto >= F.element_at("room", F.col("best").cast("int") + 1)), F.struct(*place))
+        chosen.withColumn("filled", filled).drop("room").write.parquet(f"{path}/{turn}")
         chosen = spark.read.parquet(f"{path}/{turn}")
         cuts = chosen.groupBy("order_date").agg(F.min("filled").alias("cut"))  # the order that fills the first warehouse of a day
         settled = joined(chosen, cuts, ["order_date"]).withColumn("settled", F.coalesce(F.struct(*place) <= F.col("cut"), F.lit(True)))
@@ -131,15 +134,16 @@ def greedy_allocation(orders: DataFrame, costs: DataFrame, warehouses: DataFrame
         done = own if done is None else done.unionByName(own)
         if chosen.where("filled is not null").isEmpty():
             break
-        taken = own.where("best is not null").groupBy("order_date", F.col("best.k").alias("k")).agg(F.sum("items").alias("n")).groupBy("order_date").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("taken"))
+        taken = own.where("best is not null").groupBy("order_date", F.col("best").cast("int").alias("k")).agg(F.sum("items").alias("n")).groupBy("order_date").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("taken"))
         left = F.transform("room", lambda r, k: r - F.coalesce(F.try_element_at("taken", k), F.lit(0)))
         rooms = joined(rooms, taken, ["order_date"]).select("order_date", left.alias("room"))
         rooms.write.parquet(f"{path}/rooms-{turn}")
         rooms = spark.read.parquet(f"{path}/rooms-{turn}")
         todo = settled.where("not settled").select(*todo.columns)
     ids = F.array(*[F.lit(w) for w, _ in names])
-    where = F.coalesce(F.when(F.col("best").isNotNull(), F.element_at(ids, F.col("best.k") + 1)), F.col("assigned_warehouse_id"))
-    out = done.withColumns({"warehouse_id": where, "optimal_cost": F.coalesce("best.cost", "baseline_cost")})
+    where = F.coalesce(F.when(F.col("best").isNotNull(), F.element_at(ids, F.col("best").cast("int") + 1)), F.col("assigned_warehouse_id"))
+    priced = joined(done.drop("choices", "filled"), least.withColumnRenamed("k", "best"), ["customer_id", "best"])
+    out = priced.withColumns({"warehouse_id": where, "optimal_cost": F.coalesce("cost", "baseline_cost")})
     return out.select(
         "order_id", "order_date", "warehouse_id", F.col("assigned_warehouse_id").alias("original_warehouse_id"), "optimal_cost", "baseline_cost",
         F.coalesce(F.col("warehouse_id") == F.col("assigned_warehouse_id"), F.lit(False)).alias("is_optimal_assignment"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 from datetime import date
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from depotlake import catalog
 from depotlake.operators import enrich as E
+from depotlake.operators import optimize as O
 from depotlake.plans import models as ML
 from depotlake.sources import files as SRC
 from depotlake.streaming.state import DeliveryTracker
@@ -89,3 +91,16 @@ def test_future_days_are_made_in_many_tasks(spark):
     products = spark.range(400).select(F.concat(F.lit("P-"), "id").alias("product_id")).coalesce(1)
     spine = ML.future_spine(products, F.lit(date(2024, 1, 1)), 3)
     assert spine.rdd.getNumPartitions() > 1 and spine.count() == 1200 == spine.distinct().count()
+
+
+def test_allocation_rounds_carry_no_costs(spark):
+    kind = "order_id string, order_date date, customer_id string, assigned_warehouse_id string, order_priority string, total_items int, total_fulfillment_cost double"
+    orders = spark.createDataFrame([(f"o{k}", date(2024, 1, 1), "c", "A", "Express", 4, 50.0) for k in range(4)], kind)
+    costs = spark.createDataFrame([("c", "A", 3.0), ("c", "B", 2.0), ("c", "A", 1.0), ("c", "B", 9.0)], "customer_id string, warehouse_id string, cost double")  # the least cost of a repeated pair counts
+    warehouses = spark.createDataFrame([("A", 5), ("B", 4)], "warehouse_id string, capacity_units int")
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/allocation-*"))
+    out = O.greedy_allocation(orders, costs, warehouses, 1.0)
+    assert got(out.select("order_id", "warehouse_id", "optimal_cost")) == [("o0", "A", 1.0), ("o1", "A", 1.0), ("o2", "B", 2.0), ("o3", "A", 50.0)]
+    (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/allocation-*")) - before
+    written = dict(spark.read.parquet(f"{path}/1").dtypes)
+    assert "room" not in written and written["choices"] == "array<tinyint>" and written["best"] == "tinyint"
