@@ -104,3 +104,13 @@ def test_allocation_rounds_carry_no_costs(spark):
     (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/allocation-*")) - before
     written = dict(spark.read.parquet(f"{path}/1").dtypes)
     assert "room" not in written and written["choices"] == "array<tinyint>" and written["best"] == "tinyint"
+
+
+def test_training_rows_come_in_few_tasks_without_lineage(spark):
+    rows = spark.range(2000).repartition(150).select((F.col("id") % 7).alias("a"), (F.col("id") * 1.5).alias("y"), F.lit("text").alias("wide"), F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))), (F.col("id") % 3 + 1).cast("int")).alias("split"))
+    table = ML.stored_rows(rows, "y", ["a"])
+    assert table.columns == ["a", "y", "split"] and table.groupBy("split").count().orderBy("split").collect() == [("train", 667), ("validation", 667)]
+    train = table.where("split = 'train'")
+    assert train.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert "repartition" not in train._jdf.queryExecution().toString().lower()
+    assert sorted(r.y for r in train.collect()) == [k * 1.5 for k in range(0, 2000, 3)]
