@@ -52,6 +52,9 @@ def cost_matrix(customers: DataFrame, warehouses: DataFrame) -> DataFrame:
 
 
 def nearest_warehouse(customers: DataFrame, warehouses: DataFrame) -> DataFrame:
-    """The nearest warehouse of each customer; of equally near ones the first by id."""
-    best = F.min(F.struct("distance_km", "warehouse_id"))
-    return cost_matrix(customers, warehouses).groupBy("customer_id").agg(best.alias("b")).select("customer_id", F.col("b.warehouse_id").alias("nearest_warehouse_id"), F.col("b.distance_km").alias("distance_km"))
+    """The nearest warehouse of each customer; of equally near ones the first by id. A customer's row looks at all warehouses in one array, so that no pairs are made or sorted."""
+    all_of = warehouses.agg(F.collect_list(F.struct("warehouse_id", "latitude", "longitude")).alias("_w"))  # one row
+    seen = F.transform("_w", lambda w: F.struct(delivery_distance(F.col("latitude"), F.col("longitude"), w["latitude"], w["longitude"]).alias("distance_km"), w["warehouse_id"].alias("warehouse_id")))
+    near = customers.select("customer_id", "latitude", "longitude").join(F.broadcast(all_of)).where(F.size("_w") > 0).select("customer_id", F.array_min(seen).alias("b"))
+    best = near.groupBy("customer_id").agg(F.min("b").alias("b"))  # a customer has one row, as a rule
+    return best.select("customer_id", F.col("b.warehouse_id").alias("nearest_warehouse_id"), F.col("b.distance_km").alias("distance_km"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from depotlake import catalog
+from depotlake.functions import costs as C
 from depotlake.operators import enrich as E
 from depotlake.operators import optimize as O
 from depotlake.plans import models as ML
@@ -114,3 +115,16 @@ def test_training_rows_come_in_few_tasks_without_lineage(spark):
     assert train.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert "repartition" not in train._jdf.queryExecution().toString().lower()
     assert sorted(r.y for r in train.collect()) == [k * 1.5 for k in range(0, 2000, 3)]
+
+
+def test_nearest_warehouse_makes_no_pairs(spark):
+    customers = spark.createDataFrame([("a", 40.0, -75.0), ("b", 34.0, -118.0), ("b", 40.7, -74.0), ("n", None, 1.0), (None, 40.0, -75.0)], "customer_id string, latitude double, longitude double")
+    warehouses = spark.createDataFrame([("W2", 40.7, -74.0), ("W1", 40.7, -74.0), ("W3", 34.0, -118.2)], "warehouse_id string, latitude double, longitude double")
+    out = C.nearest_warehouse(customers, warehouses)
+    best = F.min(F.struct("distance_km", "warehouse_id")).alias("b")
+    want = C.cost_matrix(customers, warehouses).groupBy("customer_id").agg(best).select("customer_id", "b.warehouse_id", "b.distance_km")
+    assert got(out) == got(want) and ("b", "W1", 0.0) in got(out) and len(got(out)) == 4
+    assert C.nearest_warehouse(customers, warehouses.limit(0)).count() == 0
+    many = spark.range(3).select(F.col("id").cast("string").alias("warehouse_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    plan = C.nearest_warehouse(customers, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "Join" in plan.split("collect_list")[0] and plan.index("Aggregate [customer_id") < plan.index("array_min") < plan.index("Join")  # the least of each row before rows are grouped
