@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlake.functions.sizes import SMALL
 from depotlake.operators.enrich import orphans
 
 
@@ -89,16 +91,26 @@ def relationship(child: DataFrame, parent: DataFrame, key: str, parent_key: str
     return orphans(child, parent, key, parent_key)
 
 
-def relationships(child: DataFrame, parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """relation, key and rows of the keys that a parent lacks, for all foreign keys of a child in one scan: its keys are counted by relation, in tasks before the shuffle, and
-    what is left is held against all parents' keys at once. parents: the parent and its key for each foreign key; keys are compared as text; nulls are no orphans."""
-    own = F.explode(F.array(*[F.struct(F.lit(k).alias("relation"), F.col(k).cast("string").alias("key")) for k in parents]))
-    used = child.select(own.alias("f")).select("f.*").where("key is not null").groupBy("relation", "key").agg(F.count(F.lit(1)).alias("rows"))
-    known = None
-    for relation, (parent, key) in parents.items():
-        keys = parent.select(F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"))
-        known = keys if known is None else known.unionByName(keys)
-    return used.join(known, ["relation", "key"], "left_anti")
+def relationships(child: DataFrame, parents: dict[str, tuple[DataFrame, str]], keys_of_task: int = 1_000_000) -> DataFrame:
+    """relation, key and rows of the keys that a parent lacks, for all foreign keys of a child. parents: the parent and its key for each foreign key; keys are compared as text; nulls are no orphans.
+
+    Small parents are broadcast, and what they lack is counted in tasks before the shuffle. The keys of large parents, nearly as many as rows, would fill a task before
+    the shuffle: they are dealt to as many tasks as let each have about keys_of_task of them, are counted there, and stay if they have rows and the parent does not.
+    """
+    cell = lambda relation, key: F.struct(F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"))
+    used = lambda relations: child.select(F.explode(F.array(*[cell(k, k) for k in relations])).alias("f")).select("f.*").where("key is not null")
+    keys = {k: parent.select(cell(k, key).alias("f")).select("f.*").where("key is not null") for k, (parent, key) in parents.items()}
+    few = [k for k, v in keys.items() if v.limit(SMALL + 1).count() <= SMALL]
+    many, out = [k for k in keys if k not in few], []
+    if few:
+        lacking = used(few).join(F.broadcast(reduce(DataFrame.unionByName, [keys[k] for k in few])), ["relation", "key"], "left_anti")
+        out.append(lacking.groupBy("relation", "key").agg(F.count(F.lit(1)).alias("rows")))
+    if many:
+        tasks = max(child.sparkSession.sparkContext.defaultParallelism, -(-child.count() * len(many) // keys_of_task))
+        both = reduce(DataFrame.unionByName, [used(many).withColumn("n", F.lit(1)), *[keys[k].withColumn("n", F.lit(0)) for k in many]])
+        held = both.repartition(tasks, "relation", "key").groupBy("relation", "key").agg(F.sum("n").alias("rows"), F.min("n").alias("_lacks"))
+        out.append(held.where("_lacks = 1").select("relation", "key", "rows"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def columns_match(df: DataFrame, columns: Sequence[str], **k) -> Check:

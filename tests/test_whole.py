@@ -12,6 +12,7 @@ from depotlake import catalog
 from depotlake.functions import costs as C
 from depotlake.operators import enrich as E
 from depotlake.operators import optimize as O
+from depotlake.operators import quality as Q
 from depotlake.plans import models as ML
 from depotlake.sources import files as SRC
 from depotlake.streaming.state import DeliveryTracker
@@ -128,3 +129,14 @@ def test_nearest_warehouse_makes_no_pairs(spark):
     many = spark.range(3).select(F.col("id").cast("string").alias("warehouse_id"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
     plan = C.nearest_warehouse(customers, many)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and "Join" in plan.split("collect_list")[0] and plan.index("Aggregate [customer_id") < plan.index("array_min") < plan.index("Join")  # the least of each row before rows are grouped
+
+
+def test_orphans_of_large_parents_are_counted_in_bounded_tasks(spark, monkeypatch):
+    child = spark.range(3000).select((F.col("id") % 700).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("w"), F.col("id") % 9)).alias("b"))
+    parents = {"a": (spark.range(2000).where("id % 5 > 0"), "id"), "b": (spark.createDataFrame([("w1",), ("w2",), (None,)], "id string"), "id")}
+    want = sorted([("a", str(k), 5 if k < 200 else 4) for k in range(0, 700, 5)] + [("b", f"w{k}", n) for k in (4, 5, 7, 8) for n in [334 if k < 3000 % 9 else 333]], key=repr)
+    for most in (10**6, 10, 0):  # both parents small, one of them, none
+        monkeypatch.setattr(Q, "SMALL", most)
+        assert got(Q.relationships(child, parents)) == want
+    dealt = Q.relationships(child, parents, keys_of_task=100)
+    assert dealt.rdd.getNumPartitions() >= 60 and got(dealt) == want
