@@ -118,6 +118,39 @@ def test_training_rows_come_in_few_tasks_without_lineage(spark):
     assert sorted(r.y for r in train.collect()) == [k * 1.5 for k in range(0, 2000, 3)]
 
 
+def test_products_that_are_alike_are_forecast_once(spark, monkeypatch):
+    """The rows of a forecast of each product by itself, which are made for one product of each group."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from depotlake.functions.calendar import calendar
+    from depotlake.plans.features import DEMAND_FEATURES
+
+    kind = "product_id string, category string, cost_price decimal(12,2), selling_price decimal(12,2), is_perishable boolean"
+    sold = [(f"p{k}", "AB"[k % 2], k % 3 + 1, k % 3 + 2, k % 5 == 0) for k in range(200)]
+    products = spark.createDataFrame(sold, "product_id string, category string, cost_price int, selling_price int, is_perishable boolean").selectExpr("product_id", "nullif(category, 'B') as category", "cast(cost_price as decimal(12,2)) as cost_price", "cast(selling_price as decimal(12,2)) as selling_price", "is_perishable")
+    assert ", ".join(f"{c} {t}" for c, t in products.dtypes) == kind
+    history = spark.range(90).crossJoin(spark.createDataFrame([("p0",), ("p1",), ("gone",)], "product_id string")).select(
+        "product_id", F.date_add(F.lit(date(2024, 1, 1)), F.col("id").cast("int")).alias("date"), (F.col("id") * 7 % 31 + F.length("product_id")).alias("total_units_sold"), (F.col("id") % 11 / 3).alias("avg_closing_stock"),
+        *[F.lit(1.0).alias(c) for c in ("total_revenue", "stockout_count", "inventory_turnover", "avg_days_of_supply")], F.lit(False).alias("is_forecast"),
+    )
+    days = calendar(spark, date(2024, 1, 1), date(2024, 12, 31))
+    y = sum((F.col(c) * (k + 1) for k, c in enumerate(DEMAND_FEATURES)), F.lit(0.0))
+    learn = spark.range(300).select(*[(F.rand(k) * 30).alias(c) for k, c in enumerate(DEMAND_FEATURES)]).withColumn("y", y)
+    model = Pipeline(stages=[VectorAssembler(inputCols=DEMAND_FEATURES, outputCol="features"), DecisionTreeRegressor(labelCol="y", maxDepth=8)]).fit(learn)
+    until = date(2024, 3, 20)
+    seed = history.where(F.col("date") > F.date_sub(F.lit(until), 60)).where(F.col("date") <= F.lit(until))
+    made = []
+    each = ML.forecast_rows
+    monkeypatch.setattr(ML, "forecast_rows", lambda model, seed, dates, products, *rest: made.append(products.count()) or each(model, seed, dates, products, *rest))
+    out = ML.forecast(model, history, days, products, until, 40)
+    want = each(model, seed, days, products, until, 40)
+    assert out.columns == ["date", "product_id", "demand_forecast", "is_forecast", "forecast_horizon", "forecast_generated_date"]
+    assert out.count() == 8000 and got(out.select(*want.columns)) == got(want) and made == [14]
+    assert {(r.is_forecast, r.forecast_generated_date) for r in out.collect()} == {(True, until)}
+
+
 def test_nearest_warehouse_makes_no_pairs(spark):
     customers = spark.createDataFrame([("a", 40.0, -75.0), ("b", 34.0, -118.0), ("b", 40.7, -74.0), ("n", None, 1.0), (None, 40.0, -75.0)], "customer_id string, latitude double, longitude double")
     warehouses = spark.createDataFrame([("W2", 40.7, -74.0), ("W1", 40.7, -74.0), ("W3", 34.0, -118.2)], "warehouse_id string, latitude double, longitude double")
