@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import glob
-from datetime import date
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from depotlake import catalog
 from depotlake.functions import costs as C
+from depotlake.functions.calendar import calendar
 from depotlake.operators import enrich as E
 from depotlake.operators import optimize as O
 from depotlake.operators import quality as Q
+from depotlake.plans import features as P
 from depotlake.plans import models as ML
 from depotlake.sources import files as SRC
 from depotlake.streaming.state import DeliveryTracker
@@ -173,3 +175,37 @@ def test_orphans_of_large_parents_are_counted_in_bounded_tasks(spark, monkeypatc
         assert got(Q.relationships(child, parents)) == want
     dealt = Q.relationships(child, parents, keys_of_task=100)
     assert dealt.rdd.getNumPartitions() >= 60 and got(dealt) == want
+
+
+def counted(df, column):
+    """df whose rows are counted each time that they are computed."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def seen(x):
+        n.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(seen, df.schema[column].dataType)(column)), n
+
+
+def test_candidates_share_the_vectors_of_training_rows(spark):
+    df = spark.range(300).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.col("id") % 7 * 2 + 1).cast("double").alias("y"))
+    train, n = counted(df, "a")
+    name, model, table = ML.train_regression(train, df, "y", ["a", "b"])
+    assert n.value == 300 and table.count() == 3
+    alone = ML.Pipeline(stages=[ML.VectorAssembler(inputCols=["a", "b"], outputCol="features"), ML.LinearRegression(featuresCol="features", labelCol="y", regParam=0.01)]).fit(df)
+    mae = ML.regression_metrics(alone.transform(df), "y", "prediction").first().mae
+    assert [r.mae for r in table.collect() if r.model == "linear"] == [mae]
+    assert model.transform(df.select("a", "b")).count() == 300  # the model takes rows of features, not vectors
+
+
+def test_delivery_features_read_the_facts_once(spark):
+    rows = [(f"d{i}", f"r{i % 3}" if i % 5 else None, f"w{i % 2}", datetime(2024, 1, 1 + i % 4, i % 24) if i % 11 else None, "Delivered", float(10 + i), 30.0, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "delivery_id string, driver_id string, warehouse_id string, assigned_time timestamp, delivery_status string, actual_delivery_minutes double, estimated_eta_minutes double, distance_km double").withColumns({"driver_experience_years": F.lit(1.0), "pickup_wait_minutes": F.lit(1), "vehicle_type": F.lit("Van"), "order_priority": F.lit("Express")})
+    facts, n = counted(df, "distance_km")
+    out = {r.delivery_id: r for r in P.eta_features(df, calendar(spark, date(2024, 1, 1), date(2024, 1, 5)), True, facts).collect()}
+    assert n.value == 60 == len(out)
+    every = sum(r[5] for r in rows) / 60
+    for key, _, place, at, _, _, _, _ in rows:
+        before = [r[5] for r in rows if r[2] == place and (r[3] is None or at and r[3] < at)]  # rows without a time come first, as in a window
+        assert abs(out[key].warehouse_avg_delivery - (sum(before) / len(before) if before else every)) < 1e-9
